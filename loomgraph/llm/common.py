@@ -53,20 +53,34 @@ def slices(texts: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list], list]], chars: int = SLICE_CHARS) -> DataFrame:
-    """make() is called once a task and gives a function of (ids, texts; null: empty) that returns the columns of schema."""
-    from pyspark.sql.types import StructType
+def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], chars: int = SLICE_CHARS) -> DataFrame:
+    """make() is called once a task and gives a function of the columns of df, as lists, that returns the columns of schema.
+
+    The first column is an id, the second a text (null: empty). A last column called row passes by untouched, as Arrow data.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    carried = df.columns[-1] == "row"
+    kind = StructType.fromDDL(schema)
+    out = to_arrow_schema(kind)
+    if carried:
+        kind = StructType([*kind.fields, StructField("row", df.schema["row"].dataType)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = None
         for b in batches:
             one = one or make()
-            texts = b.column(1).to_pylist()
-            for i, j in slices(texts, chars):
-                columns = one(b.column(0).slice(i, j - i).to_pylist(), [t or "" for t in texts[i:j]])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            columns = [c.to_pylist() for c in b.columns[: b.num_columns - carried]]
+            columns[1] = [t or "" for t in columns[1]]
+            for i, j in slices(columns[1], chars):
+                made = one(*(c[i:j] for c in columns))
+                arrays = [pa.array(c, f.type) for c, f in zip(made, out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, b.column(b.num_columns - 1).slice(i, j - i)] if carried else arrays, names=[*out.names, *["row"] * carried])
+
+    return df.mapInArrow(run, kind)
+
 
-    return df.mapInArrow(run, schema)
+def carried(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As id_text, and all columns of df in a struct called row."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
