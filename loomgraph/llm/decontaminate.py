@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import id_text, map_texts, table, written
+from loomgraph.llm.common import carried, id_text, map_texts, table, written
 from loomgraph.llm.words import normal
 
 WINDOW = 10
@@ -63,24 +63,25 @@ def _batches(benchmark: DataFrame, chars: int) -> list[tuple[tuple[str, str], ..
     return lots + [tuple(lot)] if lot or not lots else lots
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = AUTOMATON_CHARS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = AUTOMATON_CHARS, carry: bool = False) -> DataFrame:
     """One row for each document: its words, the hit spans (word numbers first to last, and characters start to end, exclusive), the items.
 
     Each automaton holds at most about chars characters of items, so what a task holds is bounded; a larger benchmark takes a scan
     for each lot, joined on the row's number. Null texts have no words, items that are null or have none no windows; repeated rows
-    and null ids stay.
+    and null ids stay. With carry, a column row holds all columns of the input.
     """
+    docs = (carried if carry else id_text)(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     lots = _batches(items, chars)
     if len(lots) == 1:
-        return _scan(id_text(docs, id_col, text_col), lots[0], window)
-    numbered = written(id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    rows = numbered.select(F.col("row").alias("doc_id"), "text")
+        return _scan(docs, lots[0], window)
+    numbered = written(docs.withColumn("number", F.monotonically_increasing_id()), "decontaminate")
+    rows = numbered.select(F.col("number").alias("doc_id"), "text")
     parts = _scan(rows, lots[0], window)
     for lot in lots[1:]:
         parts = parts.unionByName(_scan(rows, lot, window))
-    joined = parts.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return numbered.drop("text").join(joined, "row").select("doc_id", "n_words", "spans", "items")
+    joined = parts.groupBy(F.col("doc_id").alias("number")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return numbered.drop("text").join(joined, "number").select("doc_id", "n_words", "spans", "items", *(["row"] if carry else []))
 
 
 def _scan(docs: DataFrame, lot: tuple[tuple[str, str], ...], window: int) -> DataFrame:

@@ -5,10 +5,28 @@ from __future__ import annotations
 from loomgraph.llm import decontaminate, lines, warc
 from loomgraph.llm.decontaminate import op3_decontaminate
 from loomgraph.llm.flac import op10_flac
+from loomgraph.llm.language import op6_language
 from loomgraph.llm.lines import op8_line_dedup
+from loomgraph.llm.near_dups import op4_near_duplicates
 from loomgraph.llm.packing import op9_pack_sequences
+from loomgraph.llm.quality import op5_quality
+from loomgraph.llm.secrets import op2_secrets
 from loomgraph.llm.token_files import op1_token_files
 from loomgraph.llm.warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_decontaminate, op7_warc, op8_line_dedup, op9_pack_sequences, op10_flac)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_secrets,
+        op3_decontaminate,
+        op4_near_duplicates,
+        op5_quality,
+        op6_language,
+        op7_warc,
+        op8_line_dedup,
+        op9_pack_sequences,
+        op10_flac,
+    )
+}
 ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": lines.ORACLE}
