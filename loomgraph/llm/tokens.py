@@ -13,8 +13,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Distinct pre-tokens held by a task, about 200 bytes each; beyond it the memory starts anew.
-HELD = 800_000
+#: Distinct pre-tokens held by a worker process, about 150 bytes each; beyond it the memory starts anew.
+HELD = 1_600_000
 
 #: The white space of Unicode, as the library's patterns see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -44,8 +44,8 @@ def _classes(last: int) -> tuple[str, str]:
     return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found[k]) for k in "LN")
 
 
-class Pieces:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+class Pieces(dict):
+    """The ids of pre-tokens seen so far, as little-endian unsigned 32-bit integers; ids(texts) gives those of whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,10 +53,11 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None
         self.splits = [re.compile(self.pattern(*_classes(last))).findall for last in ALPHABETS]
         self.beyond = re.compile(f"[^\\x00-\\u{ALPHABETS[1]:04x}]").search
-        self.known: dict[str, bytes] = {}
+        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
     def pattern(self, letters: str, numbers: str) -> str:
         tails = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -72,24 +73,24 @@ class Pieces:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
+    def __missing__(self, piece: str) -> bytes:
+        """The library's merges, on the letters by which it writes bytes."""
+        found = self[piece] = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return found
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > HELD:
-            self.known.clear()
-        get, out, missing = self.known.get, [], set()
-        for t in texts:
-            pieces = self.split(self.normal(t) if self.lower else t)
-            found = list(map(get, pieces))
-            if None in found:
-                missing.update(p for p, f in zip(pieces, found) if f is None)
-                out.append(pieces)
-            else:
-                out.append(b"".join(found))
-        if missing:
-            asked = list(missing)
-            for p, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
-                self.known[p] = array("I", e.ids).tobytes()
-            out = [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in out]
-        return out
+        if len(self) > HELD:
+            self.clear()
+        if self.lower:
+            texts = map(self.normal, texts)
+        return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
+
+
+def _byte_letters() -> list[str]:
+    """Visible Latin-1 characters stand for themselves, the other bytes in turn for characters from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
 
 
 @lru_cache(4)
