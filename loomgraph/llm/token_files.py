@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import id_text, slices, table, work_path
@@ -22,7 +22,7 @@ from loomgraph.llm.tokens import pieces, vocabulary
 MAGIC, HEAD, EVERY = b"LGEF", struct.Struct("<4s7I"), 64
 #: A segment is closed at about so many ids (2 MB of 2-byte ids) and at so many documents.
 SEGMENT_IDS, SEGMENT_DOCS = 1_000_000, 100_000
-SEGMENTS = "part int, seq int, n_docs long, n_ids long, doc_ids array<bigint>, image binary"
+SEGMENTS = "part int, inside long, n_docs long, n_ids long, doc_ids array<bigint>, image binary"
 RESULT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -94,7 +94,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     ordered = id_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        coder, part, seq = pieces(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, inside = pieces(tokenizer), TaskContext.get().partitionId(), 0
         wide = coder.tokenizer.get_vocab_size() > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         docs, held, lengths, n = [], [], [], 0
@@ -102,9 +102,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
         def row():
             ids = np.frombuffer(b"".join(held), "<u4").astype("<u4" if wide else "<u2")
             image = pack(np.cumsum(lengths), ids)
-            columns = [[part], [seq], [len(docs)], [len(ids)], [docs], [image]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "seq", "n_docs", "n_ids", "doc_ids", "image"])
+            columns = [[part], [inside], [len(docs)], [len(ids)], [docs], [image]]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "inside", "n_docs", "n_ids", "doc_ids", "image"])
 
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -116,7 +116,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                     n += lengths[-1]
                     if n >= SEGMENT_IDS or len(docs) >= SEGMENT_DOCS:
                         yield row()
-                        docs, held, lengths, n, seq = [], [], [], 0, seq + 1
+                        docs, held, lengths, n, inside = [], [], [], 0, inside + n
         if docs:
             yield row()
 
@@ -126,28 +126,26 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each document of the segments below path: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Only one number for each written part reaches the driver, as in zipWithIndex.
+    A segment holds how many ids its own part has before it; only one number for each written part passes the driver, as in
+    zipWithIndex, and no image is shuffled.
     """
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    parts = sorted(segments.groupBy("part").agg(F.sum("n_ids")).collect())
-    starts, total = [], 0
-    for part, n in parts:
-        starts.append((part, total))
+    starts, total = {}, 0
+    for part, n in sorted(segments.groupBy("part").agg(F.sum("n_ids")).collect()):
+        starts[part] = total
         total += n
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("inside"))
-    bases = bases.join(spark.createDataFrame(starts, "part int, base bigint"), "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("base"))
+    sent = spark.sparkContext.broadcast(starts)
 
     def run(batches):
         for b in batches:
-            for docs, image, base in zip(*(b.column(k) for k in ("doc_ids", "image", "base"))):
-                s = Segment(image.as_py())
+            for part, inside, docs, image in zip(*b.columns):
+                s, base = Segment(image.as_py()), sent.value[part.as_py()] + inside.as_py()
                 ends = s.ends()
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 crcs = [zlib.crc32(s.ids[i:j].astype("<u4").tobytes()) for i, j in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.array(starts + base.as_py(), pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(bases, ["part", "seq"]).select("doc_ids", "image", "base").mapInArrow(run, RESULT)
+    return segments.select("part", "inside", "doc_ids", "image").mapInArrow(run, RESULT)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
