@@ -69,13 +69,12 @@ def _coded_number(n: int) -> bytes:
     """UTF-8's scheme, carried on to 36 bits."""
     if n < 0x80:
         return bytes([n])
-    tail = []
-    first = 0x3F
-    while n > first:
+    tail, most = [], 0x3F
+    while n > most or not tail:
         tail.append(0x80 | n & 0x3F)
         n >>= 6
-        first >>= 1
-    return bytes([(0xFE ^ (first << 1 | 1)) & 0xFF | n, *tail[::-1]])
+        most >>= 1
+    return bytes([(0xFF00 >> (len(tail) + 1)) & 0xFF | n, *tail[::-1]])
 
 
 @lru_cache(100_000)
@@ -260,7 +259,7 @@ def _stream_head(media: bytes) -> tuple[int, bytes, list[tuple[int, int, int]],
 def _check_head(media: bytes, at: int, n: int, number: int) -> int:
     """The head's length, once its fields and checksum are right."""
     first = media[at + 4]
-    more = 0 if first < 0x80 else max(0, 6 - (first ^ 0xFF).bit_length())
+    more = 0 if first < 0x80 else 7 - (first ^ 0xFF).bit_length()
     size = 5 + more + (2 if media[at + 2] >> 4 == 7 else 0) + 1
     head = media[at : at + size]
     if crc8(head[:-1]) != head[-1] or head != frame_head(number, n):
