@@ -139,4 +139,4 @@ def invalid_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     known = sessions.select(F.col("session_id").alias("known_id")).distinct()
     rows = requests.join(known, F.col("session_id") == F.col("known_id"), "left")
     reason = F.when(F.coalesce(F.length("message"), F.lit(0)) < 1, "empty message").when(F.col("session_id").isNotNull() & F.col("known_id").isNull(), "unknown session")
-    return rows.drop("known_id").withColumn("error", reason)
+    return rows.withColumn("error", reason).drop("known_id")

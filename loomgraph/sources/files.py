@@ -24,7 +24,7 @@ def as_plain_text(data: bytes) -> str:
 
 def read_directory(spark: SparkSession, path: str, pdf: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
     """The files of a directory, not of those below it, whose suffix, in lower case, is pdf, txt or docx: path and text; and those left
-    out, with a reason. PDF needs an extractor; docx isn't plain text, and is left out. A file that can't be extracted is left out.
+    out, with a reason (Spark itself passes over files of no bytes). PDF needs an extractor; docx isn't plain text, and is left out. A file that can't be extracted is left out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(path)
     kind = F.regexp_extract("path", r"\.(\w+)$", 1)

@@ -76,7 +76,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "sub" / "h.txt").write_text("deep")
     good, bad = read_directory(spark, str(tmp_path))
     assert [r.text for r in good.collect()] == ["hello"]
-    assert {r.path[-6:]: r.reason for r in bad.collect()} == {"/b.pdf": "no extractor for pdf", "c.docx": "no extractor for docx", "/e.txt": "empty", "/f.txt": "error"}
+    assert {r.path[-6:]: r.reason for r in bad.collect()} == {"/b.pdf": "no extractor for pdf", "c.docx": "no extractor for docx", "/f.txt": "error"}
     assert read_directory(spark, str(tmp_path), pdf=lambda b: "page").__getitem__(0).count() == 2
     assert read_text(spark, str(tmp_path / "a.txt")).first().text == "hello"
     assert probe(spark).first().test == 1
