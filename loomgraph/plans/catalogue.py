@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import ingest, introspect, merge, sessions
 from loomgraph.operators.graph import Graph, limited, node_id, reachable
-from loomgraph.plans import retrieval
+from loomgraph.plans import extraction, retrieval
 from loomgraph.sources.files import as_json
 from loomgraph.sources.star import star_graph, table
 
@@ -200,6 +200,13 @@ def statement_rejects(spark, d):
     return merge.statement_rows(_batches(spark, d)).where("kind = 'rejected'").select("batch", "pos", "statement")
 
 
+@query("SELECT n_nationkey AS batch, replace(replace('MERGE (~:Nation {title: #N#, context: #Nation#})|MERGE (@:Region {title: #R#, context: #Region#})|MERGE (~)-[:LIES_IN]->(@)', '~', lower(n_name)), '@', lower(r_name)).replace('#N#', chr(39) || n_name || chr(39)).replace('#R#', chr(39) || r_name || chr(39)).replace('#', chr(39)) AS statements FROM (SELECT n_nationkey, n_name, replace(r_name, ' ', '_') AS r_name, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def extracted_statements(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("r", F.translate("r_name", " ", "_"))
+    text = F.format_string("%s is a Nation. And %s is a Region. %s LIES_IN %s. It LIES_IN nowhere.", "n_name", "r", "n_name", "r")
+    return extraction.extracted(rows.select(F.col("n_nationkey").alias("batch"), text.alias("text")), "batch")
+
+
 def _batches(spark, d):
     """For each nation a batch that names it, its region, and their relationship, and something that isn't allowed."""
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

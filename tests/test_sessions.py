@@ -89,3 +89,22 @@ def test_ingest_feedback(spark, tmp_path):
     pages = spark.readStream.schema("text string").parquet(f"{tmp_path}/pages")
     live.ingest(pages, lambda df, summary: df, lambda df, n: seen.append(df.count()) or "summary", f"{tmp_path}/cp").awaitTermination()
     assert seen == [1]
+
+
+def test_extraction(spark):
+    from loomgraph.operators import merge
+    from loomgraph.operators.graph import Graph
+    from loomgraph.plans import extraction
+
+    texts = [(1, "Nowak is a Professor. Analysis is a Course. Nowak TEACHES Analysis. Nowak TEACHES Nothing."), (2, "  "), (3, "no facts"), (4, None)]
+    chunks = at(spark, texts, "doc_id long, text string")
+    rows = {r.doc_id: r.statements for r in extraction.extracted(chunks).collect()}
+    assert set(rows) == {1, 3} and rows[3] == "" and rows[1].endswith("|MERGE (nowak)-[:TEACHES]->(analysis)")
+    batches = extraction.extracted(chunks).select(F.col("doc_id").alias("batch"), F.col("statements").alias("text"))
+    g = merge.merge_batches(Graph(), merge.statement_rows(batches))
+    assert g.all_nodes().count() == 2 and g.all_edges().count() == 1
+    replies = extraction.extracted_by_model(chunks, "{schema_context}: {context}", lambda c: F.when(F.contains(c, F.lit("no facts")), F.lit(None).cast("string")).otherwise(F.lit(" a | |b")))
+    assert {r.doc_id: r.statements for r in replies.collect()} == {1: "a|b", 3: ""}
+    same, report = extraction.load_blocks(g, [lambda g: g, lambda g: 1 / 0, lambda g: g])
+    assert same is g and [r.split()[0] for r in report] == ["OK", "ERROR", "OK"]
+    assert extraction.choose({"b": F.upper}, ("a", "b")) is F.upper and extraction.choose({}, ("a",)) is None
