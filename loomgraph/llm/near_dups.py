@@ -9,13 +9,16 @@ in it with a probability that is their weighted Jaccard similarity. Processes en
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import map_texts, table, written
 from loomgraph.llm.words import mixed, normal, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 28, 5
+#: Texts of a block, on average; numbers of bags that are searched at once.
+BLOCK, TOKENS = 256, 300_000
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -82,37 +85,132 @@ def sketch(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def cells(df: DataFrame, words: int) -> DataFrame:
-    """df: node and text. The text's multiset as a set: a number for each shingle and each of its occurrences."""
+    """df: node and text. The text's multiset as a set: a 32-bit number for each shingle and each of its occurrences, and their count.
+
+    Of two texts of n shingles, n * n / 2**32 numbers agree by chance: less than one in 10,000 of them up to 400,000 shingles.
+    """
 
     def make():
         def one(ids, texts):
             of, hashes, weights = bags(texts, words)
             each = np.repeat(np.arange(len(of)), weights)
             copy = np.arange(len(each)) - np.repeat(np.cumsum(weights) - weights, weights)
-            made = mixed(hashes[each] + copy.astype(np.uint64) * np.uint64(_GOLD)).view(np.int64)
-            ends = np.cumsum(np.bincount(of[each], minlength=len(texts)))
-            return ids, np.split(made, ends[:-1])
+            made = (mixed(hashes[each] + copy.astype(np.uint64) * np.uint64(_GOLD)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            found = [np.unique(c) for c in np.split(made, np.cumsum(np.bincount(of[each], minlength=len(texts)))[:-1])]
+            return ids, found, [len(c) for c in found]
 
         return one
 
-    return map_texts(df, "node long, cells array<long>", make)
+    return map_texts(df, "node long, cells array<int>, n int", make)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """The smallest node of each edge's component, by spreading of smallest labels and jumps to labels' labels."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), f"{name}-labels")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
     while True:
-        spread = both.join(labels.withColumnsRenamed({"node": "b", "label": "seen"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
+        spread = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         near = labels.join(spread, "node").select("node", "label", F.least("label", "seen").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        found = written(near.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")), f"{name}-labels")
-        moved = found.where("label <> next").limit(1).count()
+        found = near.join(jump, "next").select("node", "label", F.least("next", "far").alias("next"))
+        moves = Observation()
+        found = written(found.observe(moves, F.count(F.when(F.col("label") != F.col("next"), 1)).alias("n")), f"{name}-labels")
         labels = found.select("node", F.col("next").alias("label"))
-        if not moved:
+        if not moves.get["n"]:
             return labels
 
 
+def _alike(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose bags overlap enough; sizes alone rule out many before any bag moves."""
+    sizes = bag.select("node", "n")
+    near = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+    near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
+    left, right = bag.select(F.col("node").alias("a"), F.col("cells").alias("x")), bag.select(F.col("node").alias("b"), F.col("cells").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return near.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """df: node and more. Each node's class so far; a node without links is its own."""
+    named = df if labels is None else df.join(labels, "node", "left")
+    return named.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
+
+
+def _still_open(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one class."""
+    several = buckets.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("key")
+    return buckets.join(several, "key", "left_semi")
+
+
+def _block_links(rows: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """Links between the two blocks of a task (or inside the one), no more than join classes: each row's bag is counted against all
+    of the first block at once. Only pairs that share a band and aren't of one class count."""
+    side = rows["side"].to_numpy()
+    first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    node, label = rows["node"].to_pylist(), rows["label"].to_numpy()
+    keys = np.stack(rows["keys"].to_numpy())
+    bags_ = rows["cells"].to_numpy()
+    sizes = np.array([len(c) for c in bags_])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for some in np.split(first, np.flatnonzero(np.diff(np.cumsum(sizes[first]) // TOKENS)) + 1):
+        tokens, owner = np.concatenate([bags_[i] for i in some]), np.repeat(np.arange(len(some)), sizes[some])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for j in second.tolist():
+            wanted = (label[some] != label[j]) & (keys[some] == keys[j]).any(1)
+            if not wanted.any():
+                continue
+            low, high = np.searchsorted(tokens, bags_[j], "left"), np.searchsorted(tokens, bags_[j], "right")
+            n = high - low
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            shared = np.bincount(owner[at], minlength=len(some))
+            wanted &= shared >= similarity * (sizes[some] + sizes[j] - shared)
+            for i in np.flatnonzero(wanted).tolist():
+                a, b = root(int(label[some[i]])), root(int(label[j]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out[0].append(node[some[i]])
+                    out[1].append(node[j])
+    return out
+
+
+def _linked_by_blocks(open_: DataFrame, base: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """All pairs that share a bucket and aren't of one class, in tasks of two blocks of bounded size.
+
+    Buckets with a common class are one group, so that a member goes along once for each block that it meets, not for each bucket.
+    The most frequent class of a group has no pairs inside: its blocks only meet those of the other members.
+    """
+    head = open_.groupBy("key").agg(F.min("label").alias("a"))
+    group = components(open_.join(head, "key").where("label <> a").select("a", F.col("label").alias("b")).distinct(), "near-groups")
+    member = open_.select("node", "label").distinct().join(group.select(F.col("label").alias("gid"), F.col("node").alias("label")), "label")
+    counts = member.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("gid").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all"))
+    member = member.join(groups, "gid")
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    own, others = F.col("label") == F.col("major"), blocks(F.col("n_all") - F.col("n_major"))
+    # blocks of the others are 0, 1, ..., those of the most frequent class -1, -2, ...
+    block = F.when(own, -1 - F.pmod(F.xxhash64("node"), blocks(F.col("n_major")))).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    member = member.select("gid", "node", "label", block.alias("block"), others.alias("others"), blocks(F.col("n_major")).alias("majors"))
+    meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("majors"), F.col("others") - 1))
+    dealt = member.select("gid", "node", "label", "block", F.explode(meets).alias("other"))
+    dealt = dealt.select("gid", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
+    # in a block that meets itself every row is on both sides; with another, the lower block is the first side
+    full = dealt.join(bag.select("node", "cells"), "node").join(base.select("node", "keys").dropDuplicates(["node"]), "node")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b = _block_links(rows, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of df: doc_id and class_id, the smallest id of all documents that links lead to.
 
@@ -121,60 +219,51 @@ def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMIL
     similarity. At 0.8, 28 bands of 5 rows miss a pair with a probability of 1.5e-5. Texts without words have no links. Rows with
     equal ids are one document. Null ids: a text that has no other id goes by a number from 2**62 on.
 
-    A band's bucket never gives all its pairs. Its member that shares most buckets is compared with the others; then, of the members
-    left, if they aren't all of one class by now, two, then four, and so on, so that every pair of a bucket is either compared or
-    joined by links. A bucket's rows are dealt over tasks by joins whose large keys Spark splits; nothing gathers a bucket.
+    A bucket never gives all its pairs. First its member that shares most buckets is compared with the others; that joins groups of
+    copies. What is left of buckets that hold several classes is compared in blocks, inside tasks of bounded size, and gives no more
+    links than join classes. So every pair of a bucket is compared, or of one class already.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("digest", F.unhex(F.md5("text")))
-    node = F.coalesce(F.min("doc_id"), F.min(F.shiftrightunsigned(F.xxhash64("digest"), 2).bitwiseOR(F.lit(1 << 62))))
-    base = sketch(docs.select("doc_id", "text", "digest"), words, bands, rows).groupBy("digest").agg(node.alias("node"), F.first("keys").alias("keys"))
+    found = sketch(docs.select("doc_id", "text", "digest"), words, bands, rows)
+    base = found.groupBy("digest").agg(F.min(_own_id("doc_id", "digest")).alias("node"), F.first("keys").alias("keys"))
     base = written(base, "near-texts")
     member = base.select("node", F.explode("keys").alias("key"))
     large = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = written(member.join(large, "key"), "near-members")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
-    open_ = written(member.drop("n").join(score, "node"), "near-buckets")
-    nodes = written(base.join(score, "node", "left_semi").select("digest", "node"), "near-nodes")
+    nodes = base.select("digest", "node").join(score, "node", "left_semi")
     texts = docs.select("digest", "text").join(nodes, "digest").dropDuplicates(["node", "digest"]).select("node", "text")
     bag = written(cells(texts, words), "near-cells")
-    labels = edges = checked = None
-    pivots = 1
-    while not open_.isEmpty():
-        named = open_ if labels is None else open_.join(labels, "node", "left")
-        named = named.withColumn("label", F.col("node") if labels is None else F.coalesce("label", "node"))
-        named = written(named, "near-named")
-        mixed_ = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("key")
-        named = written(named.join(mixed_, "key", "left_semi"), "near-open")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
-        lead = written(named.withColumn("turn", turn).where(F.col("turn") <= pivots).select("key", F.col("node").alias("lead"), F.col("label").alias("lead_label")), "near-leads")
-        pairs = named.join(lead, "key").where("label <> lead_label").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        left, right = bag.withColumnsRenamed({"node": "a", "cells": "x"}), bag.withColumnsRenamed({"node": "b", "cells": "y"})
-        shared = F.size(F.array_intersect("x", "y"))
-        sizes = pairs.join(left.select("a", F.size("x").alias("nx")), "a").join(right.select("b", F.size("y").alias("ny")), "b")
-        sizes = sizes.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")).select("a", "b")
-        alike = sizes.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-        alike = written(alike, "near-links")
-        if not alike.isEmpty():
-            edges = alike if edges is None else edges.union(alike)
-            labels = components(edges, "near")
-        open_ = named.select("key", "node", "score").join(lead.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti")
-        open_ = written(open_, "near-buckets")
-        pivots = min(2 * pivots, 512)
-    named = base.select("digest", "node") if labels is None else base.select("digest", "node").join(labels, "node", "left")
-    named = named.select("digest", (F.col("node") if labels is None else F.coalesce("label", "node")).alias("class_id"))
+    member = member.drop("n").join(score, "node")
+    lead = member.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("lead"))
+    pairs = member.join(lead, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    labels = components(written(_alike(pairs, bag, similarity), "near-links"), "near")
+    rest = member.join(lead, "key").where("node <> lead").select("key", "node")
+    rest = written(_still_open(_labelled(rest, labels)), "near-open")
+    if not rest.isEmpty():
+        more = written(_linked_by_blocks(rest, base, bag, similarity), "near-links")
+        if not more.isEmpty():
+            of = lambda end: _labelled(more.select("a", "b", F.col(end).alias("node")), labels).select("a", "b", F.col("label").alias(f"of_{end}"))
+            classes = of("a").join(of("b"), ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+            joined = components(classes, "near-classes").select(F.col("node").alias("label"), F.col("label").alias("whole"))
+            named = _labelled(base.select("node").distinct(), labels)
+            labels = written(named.join(joined, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "near-labels")
+    named = _labelled(base.select("digest", "node"), labels).select("digest", F.col("label").alias("class_id"))
     return docs.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
 
 
+def _own_id(doc_id: str | Column, digest: str | Column) -> Column:
+    """The id, or where it is null a number from 2**62 on that goes with the text."""
+    return F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(digest), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def keep_one(df: DataFrame, **how) -> DataFrame:
-    """The rows of df, whole, of each class's smallest id; of rows with that same id, one."""
-    kept = near_duplicates(df, **how).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    id_col = how.get("id_col", "doc_id")
-    return df.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    """The rows of df, whole, of each class's smallest id; of rows with that same id, one. A class of null ids keeps one of its rows."""
+    kept = near_duplicates(df, **how).select("class_id").distinct().withColumnRenamed("class_id", "near__kept")
+    text = F.coalesce(F.col(how.get("text_col", "text")).cast("string"), F.lit(""))
+    own = df.withColumn("near__id", _own_id(F.col(how.get("id_col", "doc_id")).cast("long"), F.unhex(F.md5(text))))
+    return own.join(kept, F.col("near__id") == F.col("near__kept"), "left_semi").dropDuplicates(["near__id"]).drop("near__id")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,7 @@ def test_near_duplicates_of_nothing_and_nulls(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
     got = near_dups.near_duplicates(df).collect()
     lone = {r.class_id for r in got if r.doc_id is None}
+    assert sorted(str(r.doc_id) for r in near_dups.keep_one(df).collect()) == ["4", "None"]
     assert len(lone) == 1 and min(lone) >= 1 << 62 and {r.class_id for r in got if r.doc_id == 4} == {4}
 
 
