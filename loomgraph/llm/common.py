@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are handled in slices of about this many characters inside a task.
-SLICE_CHARS = 2_000_000
+#: Texts are handled in slices of about this many bytes inside a task.
+SLICE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,17 +42,15 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def slices(texts: list, chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Row ranges of about chars characters, of one row at least."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > chars:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Row ranges of about size bytes of a text or binary column, of one row at least. Only such a range becomes Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield start, stop
+        start = stop
 
 
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], chars: int = SLICE_CHARS) -> DataFrame:
@@ -71,12 +71,12 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]
         one = None
         for b in batches:
             one = one or make()
-            columns = [c.to_pylist() for c in b.columns[: b.num_columns - carried]]
-            columns[1] = [t or "" for t in columns[1]]
-            for i, j in slices(columns[1], chars):
-                made = one(*(c[i:j] for c in columns))
-                arrays = [pa.array(c, f.type) for c, f in zip(made, out, strict=True)]
+            for i, j in slices(b.column(1), chars):
+                columns = [c.slice(i, j - i).to_pylist() for c in b.columns[: b.num_columns - carried]]
+                columns[1] = [t or "" for t in columns[1]]
+                arrays = [pa.array(c, f.type) for c, f in zip(one(*columns), out, strict=True)]
                 yield pa.RecordBatch.from_arrays([*arrays, b.column(b.num_columns - 1).slice(i, j - i)] if carried else arrays, names=[*out.names, *["row"] * carried])
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, kind)
 

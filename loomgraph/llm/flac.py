@@ -413,9 +413,8 @@ def _map_media(media: DataFrame, schema: str, one) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, sizes, streams = (b.column(i).to_pylist() for i in range(3))
-            for i, j in slices(streams, 4_000_000):
-                columns = one(ids[i:j], sizes[i:j], streams[i:j])
+            for i, j in slices(b.column(2), 4_000_000):
+                columns = one(*(c.slice(i, j - i).to_pylist() for c in b.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from loomgraph.llm.words import mixed, span_hashes
 
 MIN_CHARS = 10
 #: Lines of a shard, on average; bytes for a line in all arrays; bytes of arrays that a task may hold whole.
-SHARD_LINES, LINE_BYTES, HELD_BYTES = 200_000, 24, 128_000_000
+SHARD_LINES, LINE_BYTES, HELD_BYTES = 200_000, 24, 64_000_000
 #: Lines that are probed by one task beyond that.
 PROBES = 1_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

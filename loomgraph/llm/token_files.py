@@ -88,10 +88,11 @@ class Segment:
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts (null: empty), each followed by end_id, into segments below path in ascending order of id.
 
-    Null ids come first; equal ids stay together, ordered by text; every row is kept. An empty table gives no segment.
+    Null ids come first; equal ids stay together, in the table's order, but may fill many parts; every row is kept. An empty table gives no segment.
     Spark's committer writes the segments, so a lost executor's task is simply run again.
     """
-    ordered = id_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = id_text(df, id_col, text_col).withColumn("at", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at")
 
     def run(batches):
         coder, part, inside = pieces(tokenizer), TaskContext.get().partitionId(), 0
@@ -107,9 +108,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "inside", "n_docs", "n_ids", "doc_ids", "image"])
 
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in slices(texts):
-                for name, ids in zip(names[i:j], coder.ids([t or "" for t in texts[i:j]])):
+            for i, j in slices(b.column(1)):
+                names, texts = b.column(0).slice(i, j - i).to_pylist(), b.column(1).slice(i, j - i).to_pylist()
+                for name, ids in zip(names, coder.ids([t or "" for t in texts])):
                     docs.append(name)
                     held += (ids, end)
                     lengths.append(len(ids) // 4 + 1)

@@ -13,8 +13,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Distinct pre-tokens held by a worker process, about 150 bytes each; beyond it the memory starts anew.
-HELD = 1_600_000
+#: Distinct pre-tokens held by a worker process, about 165 bytes each: the first, among which are the frequent ones.
+HELD = 500_000
 
 #: The white space of Unicode, as the library's patterns see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -57,6 +57,7 @@ class Pieces(dict):
         self.lower = self.tokenizer.normalizer is not None
         self.splits = [re.compile(self.pattern(*_classes(last))).findall for last in ALPHABETS]
         self.beyond = re.compile(f"[^\\x00-\\u{ALPHABETS[1]:04x}]").search
+        self.missed = 0
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
     def pattern(self, letters: str, numbers: str) -> str:
@@ -75,12 +76,16 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         """The library's merges, on the letters by which it writes bytes."""
-        found = self[piece] = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        found = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self.missed += 1
+        if len(self) < HELD:
+            self[piece] = found
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self) > HELD:
+        if self.missed > 5 * HELD:  # the texts have changed
             self.clear()
+            self.missed = 0
         if self.lower:
             texts = map(self.normal, texts)
         return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
