@@ -6,6 +6,7 @@ built step by step, and every step is a DataFrame step, so filters, columns and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,10 +24,28 @@ def node_id(label: Column | str, title: Column, context: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", label, F.coalesce(title, F.lit("\x00")), F.coalesce(context, F.lit("\x00"))), 256)
 
 
+class Tables(Mapping):
+    """Tables by name that are opened when they are first asked for, as opening one reads its footers."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._open = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self._makers[name]()
+        return self._open[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass(frozen=True)
 class Graph:
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    edges: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: Mapping[str, DataFrame] = field(default_factory=dict)
+    edges: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def all_nodes(self) -> DataFrame:
         """Nodes of any label."""

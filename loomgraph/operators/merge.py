@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import Graph, Match, node_id
+from loomgraph.operators.graph import Graph, Match, Tables, node_id
+
+
+def _with(tables: Mapping[str, DataFrame], name: str, df: DataFrame) -> Tables:
+    return Tables({**{k: lambda k=k: tables[k] for k in tables}, name: lambda: df})
 
 
 def merge_nodes(graph: Graph, label: str, batch: DataFrame) -> Graph:
@@ -14,7 +20,7 @@ def merge_nodes(graph: Graph, label: str, batch: DataFrame) -> Graph:
     new = new.withColumn("props", F.create_map(F.lit("title"), F.col("title"), F.lit("context"), F.col("context")))
     old = graph.nodes.get(label)
     merged = new if old is None else old.unionByName(new.join(old.select("id"), "id", "left_anti"))
-    return Graph({**graph.nodes, label: merged}, graph.edges)
+    return Graph(_with(graph.nodes, label, merged), graph.edges)
 
 
 def merge_edges(graph: Graph, kind: str, batch: DataFrame) -> Graph:
@@ -22,7 +28,7 @@ def merge_edges(graph: Graph, kind: str, batch: DataFrame) -> Graph:
     new = batch.select("src", "dst").where("src is not null and dst is not null").distinct()
     old = graph.edges.get(kind)
     merged = new if old is None else old.unionByName(new.join(old, ["src", "dst"], "left_anti"))
-    return Graph(graph.nodes, {**graph.edges, kind: merged})
+    return Graph(graph.nodes, _with(graph.edges, kind, merged))
 
 
 def match_merge(graph: Graph, rows: Match, src: str, kind: str, dst: str) -> Graph:
@@ -33,10 +39,14 @@ def match_merge(graph: Graph, rows: Match, src: str, kind: str, dst: str) -> Gra
 def detach_delete(graph: Graph, ids: DataFrame | None = None) -> Graph:
     """Drops nodes (ids: a column id; none: all) and the edges at either of their ends."""
     if ids is None:
-        return Graph({k: v.limit(0) for k, v in graph.nodes.items()}, {k: v.limit(0) for k, v in graph.edges.items()})
+        return Graph(_each(graph.nodes, lambda v: v.limit(0)), _each(graph.edges, lambda v: v.limit(0)))
     gone = ids.select("id").distinct()
     ends = lambda df, end: df.join(gone.withColumnRenamed("id", end), end, "left_anti")
-    return Graph({k: v.join(gone, "id", "left_anti") for k, v in graph.nodes.items()}, {k: ends(ends(v, "src"), "dst").select("src", "dst") for k, v in graph.edges.items()})
+    return Graph(_each(graph.nodes, lambda v: v.join(gone, "id", "left_anti")), _each(graph.edges, lambda v: ends(ends(v, "src"), "dst").select("src", "dst")))
+
+
+def _each(tables: Mapping[str, DataFrame], change: Callable[[DataFrame], DataFrame]) -> Tables:
+    return Tables({k: lambda k=k: change(tables[k]) for k in tables})
 
 
 _TEXT = r"'((?:[^'\\]|\\.)*)'"

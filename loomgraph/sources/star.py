@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import Graph
+from loomgraph.operators.graph import Graph, Tables
 
 #: Label, table, key, title, context.
 LABELS = (
@@ -36,13 +38,16 @@ def _id(label: str, key: str) -> Column:
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Lazy: a pattern reads only the tables and columns that it needs."""
-    nodes, edges = {}, {}
-    for label, name, key, title, context in LABELS:
-        own = table(spark, sf_dir, name)
+    """Lazy: a pattern opens only the tables and reads only the columns that it needs."""
+    opened = Tables({name: partial(table, spark, sf_dir, name) for name in {x[1] for x in (*LABELS, *TYPES)}})
+
+    def nodes(label: str, name: str, key: str, title: str, context: str | None) -> DataFrame:
         text = F.col(context).cast("string") if context else F.lit("")
-        nodes[label] = own.select(_id(label, key).alias("id"), F.col(title).cast("string").alias("title"), text.alias("context"), F.create_map(F.lit("title"), F.col(title).cast("string"), F.lit("context"), text).alias("props"))
-    for kind, name, a, source, b, target, repeats in TYPES:
-        own = table(spark, sf_dir, name).select(source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull())
-        edges[kind] = (own.distinct() if repeats else own).select(_id(a, source).alias("src"), _id(b, target).alias("dst"))
-    return Graph(nodes, edges)
+        named = F.col(title).cast("string")
+        return opened[name].select(_id(label, key).alias("id"), named.alias("title"), text.alias("context"), F.create_map(F.lit("title"), named, F.lit("context"), text).alias("props"))
+
+    def edges(name: str, a: str, source: str, b: str, target: str, repeats: bool) -> DataFrame:
+        own = opened[name].select(source, target).where(F.col(source).isNotNull() & F.col(target).isNotNull())
+        return (own.distinct() if repeats else own).select(_id(a, source).alias("src"), _id(b, target).alias("dst"))
+
+    return Graph(Tables({x[0]: partial(nodes, *x) for x in LABELS}), Tables({x[0]: partial(edges, *x[1:]) for x in TYPES}))
