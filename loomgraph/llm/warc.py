@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import table, work_path, written
 
-#: Pages that the dictionary is trained on, at most; its bytes at most; bytes of records after which an archive is closed.
-SAMPLE, DICTIONARY, ARCHIVE = 200, 32_768, 8_000_000
+#: Pages that the dictionary is trained on, about, and how much of each (records are always whole); its bytes at most; bytes of records
+#: after which an archive is closed.
+SAMPLE, SAMPLE_CHARS, DICTIONARY, ARCHIVE = 200, 20_000, 32_768, 8_000_000
 #: Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -147,7 +148,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    first = rows.orderBy(F.xxhash64("page_id", "digest")).limit(sample).collect()
+    share = min(1.0, sample / max(1, pages.count()))
+    chosen = rows.where(F.shiftrightunsigned(F.xxhash64("page_id", "digest"), 11) / float(1 << 53) < share)
+    first = sorted(chosen.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(4 * sample).collect(), key=str)
     dictionary = train_dictionary([record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass"), None, False, date) for r in first])
     same = rows.where(F.octet_length("html") >= min_bytes).groupBy(F.col("digest").alias("payload")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     same = written(same.where("n > 1 and keeper is not null"), "payloads")
