@@ -233,7 +233,9 @@ def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMIL
     member = written(member.join(large, "key"), "near-members")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
     nodes = base.select("digest", "node").join(score, "node", "left_semi")
-    texts = docs.select("digest", "text").join(nodes, "digest").dropDuplicates(["node", "digest"]).select("node", "text")
+    # only the row that a text is named by, so that copies, however many, don't meet in a task
+    named = docs.select(_own_id("doc_id", "digest").alias("node"), "digest", "text")
+    texts = named.join(nodes, ["digest", "node"]).dropDuplicates(["node", "digest"]).select("node", "text")
     bag = written(cells(texts, words), "near-cells")
     member = member.drop("n").join(score, "node")
     lead = member.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("lead"))
