@@ -22,9 +22,10 @@ def _restored(df: DataFrame, **changed) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter go; a missing language is filled in."""
-    found = language.identify(docs, language.fit(docs), carry=True).where(F.col("lang_pred") != language.UNKNOWN)
-    return _restored(found, lang=F.coalesce("row.lang", "lang_pred"))
+    """Documents without any letter go; a missing language is filled in, unless there was no language to learn."""
+    model = language.fit(docs)
+    found = language.identify(docs, model, carry=True).where("has_letter")
+    return _restored(found, lang=F.coalesce("row.lang", "lang_pred")) if model.languages else _restored(found)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

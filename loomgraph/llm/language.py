@@ -21,7 +21,7 @@ SAMPLE, CELLS, LENGTHS = 4000, 1 << 15, (3, 4)
 #: A word's n-grams overlap, so their evidence counts in part; steps of each fit; what a language's parameter costs, times log(words).
 TEMPER, STEPS, PENALTY = 0.5, 6, 1.0
 UNKNOWN = "und"
-RESULT = "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>"
+RESULT = "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>, has_letter boolean"
 
 
 @dataclass(frozen=True)
@@ -144,8 +144,8 @@ def mixtures(texts: list[str], model: Model) -> np.ndarray:
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The language with the largest share (the first by name of equal ones), that share, and all languages of the chosen set.
 
-    A text that is null or has no letter is und with score 0, and so is every text if nothing was learned. Every row stays, with null
-    ids and repeats. With carry, a column row holds all columns of the input.
+    A text that is null or has no letter is und with score 0, and so is every text if nothing was learned; has_letter tells them apart.
+    Every row stays, with null ids and repeats. With carry, a column row holds all columns of the input.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # CELLS * len(LENGTHS) * 4 bytes a language
 
@@ -166,7 +166,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 langs.append(known.languages[best])
                 scores.append(min(1.0, float(s[best])))
                 sets.append([{"lang": known.languages[i], "share": float(s[i])} for i in np.argsort(-s, kind="stable").tolist() if s[i] > 0])
-            return ids, langs, scores, sets
+            return ids, langs, scores, sets, letters
 
         return one
 

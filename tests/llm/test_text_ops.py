@@ -272,3 +272,19 @@ def test_pipeline_on_odd_rows(spark):
         for _, stage in p.STAGES:
             out = stage(spark, out, SF)
         out.collect()
+
+
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bare = [(1, "plain words here", None, "s", 16), (2, "\u0436", None, "s", 1), (3, "12 !?", None, "s", 5), (4, None, None, "s", 0)]
+    lone = [(None, "plain words here", "en", "s", 16), (None, "other words there", None, "s", 17), (None, "12", "en", "s", 2)]
+    und = [(1, "plain words here", "und", "s", 16), (2, "12", "und", "s", 2)]
+    for rows, n in ((bare, 2), (lone, 2), (und, 1)):
+        kept = p.identify_language(spark, spark.createDataFrame(rows, schema), SF)
+        assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows[:n]))
+        out = kept
+        for _, stage in p.STAGES[1:]:
+            out = stage(spark, out, SF)
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r[0]) for r in rows[:n])
