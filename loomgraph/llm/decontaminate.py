@@ -26,11 +26,11 @@ def windows(text: str, window: int = WINDOW) -> set[bytes]:
 
 
 @lru_cache(2)
-def _automaton(items: tuple[tuple[str, str], ...], window: int):
+def _automaton(items: tuple[tuple[str | None, str], ...], window: int):
     """Patterns are bytes as Latin-1 characters, between spaces; each has its words' number and its items."""
     import ahocorasick
 
-    found: dict[bytes, set[str]] = {}
+    found: dict[bytes, set[str | None]] = {}
     for item, text in items:
         for w in windows(text, window):
             found.setdefault(w, set()).add(item)
@@ -67,11 +67,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     """One row for each document: its words, the hit spans (word numbers first to last, and characters start to end, exclusive), the items.
 
     Each automaton holds at most about chars characters of items, so what a task holds is bounded; a larger benchmark takes a scan
-    for each lot, joined on the row's number. Null texts have no words, items that are null or have none no windows; repeated rows
-    and null ids stay. With carry, a column row holds all columns of the input.
+    for each lot, joined on the row's number. Null texts have no words, items whose text is null or has none no windows; repeated rows
+    and null ids stay. Items without an id hit as others do, and are one null among the items. With carry, a column row holds all
+    columns of the input.
     """
     docs = (carried if carry else id_text)(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     lots = _batches(items, chars)
     if len(lots) == 1:
         return _scan(docs, lots[0], window)
@@ -114,7 +115,7 @@ def _scan(docs: DataFrame, lot: tuple[tuple[str, str], ...], window: int) -> Dat
                         merged.append([a, b])
                 at = _word_offsets(t, {w for m in merged for w in m})
                 spans.append([{"first": a, "last": b, "start": at[a][0], "end": at[b][1]} for a, b in merged])
-                items.append(sorted(own))
+                items.append(sorted(own, key=lambda i: (i is None, i or "")))
             return ids, counts, spans, items
 
         return one
@@ -123,7 +124,10 @@ def _scan(docs: DataFrame, lot: tuple[tuple[str, str], ...], window: int) -> Dat
 
 
 def digest(hits: DataFrame) -> DataFrame:
-    """The counts and the digest of item ids for each document of scan(); spans of several lots may overlap, so words are counted once."""
+    """The counts and the digest of item ids for each document of scan(); spans of several lots may overlap, so words are counted once.
+
+    As in the SQL, items without an id count as one item, and the digest leaves them out.
+    """
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("to")),

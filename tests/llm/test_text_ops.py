@@ -90,6 +90,20 @@ def test_decontamination(spark, chars):
     assert decontaminate.scan(d.limit(0), b, chars=chars).count() == 0
 
 
+@pytest.mark.parametrize("chars", [10**6, 10])
+def test_items_without_an_id_hit_as_in_sql(spark, chars):
+    docs = [(1, "x Some words y"), (2, "other text"), (3, "some words and other text"), (4, "none")]
+    items = [(None, "some words"), (None, "words and"), (7, "other text"), (None, None), (None, "!!")]
+    con = duckdb.connect()
+    for name, rows in (("documents (doc_id BIGINT, text VARCHAR)", docs), ("benchmark (item_id BIGINT, text VARCHAR)", items)):
+        con.execute(f"CREATE TABLE {name}")
+        con.executemany(f"INSERT INTO {name.split()[0]} VALUES (?, ?)", rows)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.scan(d, b, chars=chars)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(decontaminate.ORACLE).fetchall())
+    assert [r.n_hit for r in sorted(got)] == [2, 2, 5, 0] and [r.n_items for r in sorted(got)] == [1, 1, 2, 0]
+
+
 def test_hit_spans_map_to_the_text(spark):
     d = spark.createDataFrame([(1, "İx… One, TWO three? äöü")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two THREE")], "item_id long, text string")
