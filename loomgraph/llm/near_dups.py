@@ -202,7 +202,7 @@ def _linked_by_blocks(open_: DataFrame, base: DataFrame, bag: DataFrame, similar
     dealt = member.select("gid", "node", "label", "block", F.explode(meets).alias("other"))
     dealt = dealt.select("gid", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
     # in a block that meets itself every row is on both sides; with another, the lower block is the first side
-    full = dealt.join(bag.select("node", "cells"), "node").join(base.select("node", "keys").dropDuplicates(["node"]), "node")
+    full = dealt.join(bag.select("node", "cells"), "node").join(base.select("node", "keys"), "node")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, b = _block_links(rows, similarity)
@@ -216,8 +216,9 @@ def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMIL
 
     Equal texts (null: empty) are of one class and are sketched once. Different texts are linked if they share a band and the
     weighted Jaccard similarity of their bags of shingles (of so many words; all words of a shorter text are one) is at least
-    similarity. At 0.8, 28 bands of 5 rows miss a pair with a probability of 1.5e-5. Texts without words have no links. Rows with
-    equal ids are one document. Null ids: a text that has no other id goes by a number from 2**62 on.
+    similarity. At 0.8, 28 bands of 5 rows miss a pair with a probability of 1.5e-5. Texts without words have no links. Different
+    texts under one id are documents of their own, so unlike ones are of two classes, even if both go by that id. Null ids: a text
+    that has no other id goes by a number from 2**62 on.
 
     A bucket never gives all its pairs. First its member that shares most buckets is compared with the others; that joins groups of
     copies. What is left of buckets that hold several classes is compared in blocks, inside tasks of bounded size, and gives no more
@@ -225,17 +226,23 @@ def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMIL
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("digest", F.unhex(F.md5("text")))
+    return docs.select("doc_id", "digest").join(_classes(docs, words, similarity, bands, rows), "digest").select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs: doc_id, text, digest. For each distinct text: digest, class_id, and the digest of the class's text that goes by that id
+    (of several such texts, the smallest digest)."""
     found = sketch(docs.select("doc_id", "text", "digest"), words, bands, rows)
-    base = found.groupBy("digest").agg(F.min(_own_id("doc_id", "digest")).alias("node"), F.first("keys").alias("keys"))
-    base = written(base, "near-texts")
+    base = found.groupBy("digest").agg(F.min(_own_id("doc_id", "digest")).alias("id"), F.first("keys").alias("keys"))
+    base = written(base.withColumn("node", F.monotonically_increasing_id()), "near-texts")  # a number for each text, whatever its id
     member = base.select("node", F.explode("keys").alias("key"))
     large = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = written(member.join(large, "key"), "near-members")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
-    nodes = base.select("digest", "node").join(score, "node", "left_semi")
+    nodes = base.select("digest", "id", "node").join(score, "node", "left_semi")
     # only the row that a text is named by, so that copies, however many, don't meet in a task
-    named = docs.select(_own_id("doc_id", "digest").alias("node"), "digest", "text")
-    texts = named.join(nodes, ["digest", "node"]).dropDuplicates(["node", "digest"]).select("node", "text")
+    named = docs.select(_own_id("doc_id", "digest").alias("id"), "digest", "text")
+    texts = named.join(nodes, ["digest", "id"]).dropDuplicates(["node"]).select("node", "text")
     bag = written(cells(texts, words), "near-cells")
     member = member.drop("n").join(score, "node")
     lead = member.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("lead"))
@@ -249,10 +256,12 @@ def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMIL
             of = lambda end: _labelled(more.select("a", "b", F.col(end).alias("node")), labels).select("a", "b", F.col("label").alias(f"of_{end}"))
             classes = of("a").join(of("b"), ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
             joined = components(classes, "near-classes").select(F.col("node").alias("label"), F.col("label").alias("whole"))
-            named = _labelled(base.select("node").distinct(), labels)
+            named = _labelled(base.select("node"), labels)
             labels = written(named.join(joined, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "near-labels")
-    named = _labelled(base.select("digest", "node"), labels).select("digest", F.col("label").alias("class_id"))
-    return docs.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
+    linked = base.select("node", "id", "digest").join(labels, "node")
+    head = linked.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("head"))
+    named = base.select("digest", "id", "node").join(labels, "node", "left").join(head, "label", "left")
+    return named.select("digest", F.coalesce("head.id", "id").alias("class_id"), F.coalesce("head.digest", "digest").alias("named_by"))
 
 
 def _own_id(doc_id: str | Column, digest: str | Column) -> Column:
@@ -260,12 +269,15 @@ def _own_id(doc_id: str | Column, digest: str | Column) -> Column:
     return F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(digest), 2).bitwiseOR(F.lit(1 << 62)))
 
 
-def keep_one(df: DataFrame, **how) -> DataFrame:
-    """The rows of df, whole, of each class's smallest id; of rows with that same id, one. A class of null ids keeps one of its rows."""
-    kept = near_duplicates(df, **how).select("class_id").distinct().withColumnRenamed("class_id", "near__kept")
-    text = F.coalesce(F.col(how.get("text_col", "text")).cast("string"), F.lit(""))
-    own = df.withColumn("near__id", _own_id(F.col(how.get("id_col", "doc_id")).cast("long"), F.unhex(F.md5(text))))
-    return own.join(kept, F.col("near__id") == F.col("near__kept"), "left_semi").dropDuplicates(["near__id"]).drop("near__id")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of df, whole, of each class: of its smallest id, and of several texts with that id that with the smallest digest; of
+    rows with the same id and text, one."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
+    kept = _classes(docs, **how).where(F.col("digest") == F.col("named_by")).select(F.col("class_id").alias("near__kept"), F.col("digest").alias("near__text"))
+    own = df.withColumn("near__digest", F.unhex(F.md5(text))).withColumn("near__id", _own_id(F.col(id_col).cast("long"), "near__digest"))
+    own = own.join(kept, (F.col("near__id") == F.col("near__kept")) & (F.col("near__digest") == F.col("near__text")), "left_semi")
+    return own.dropDuplicates(["near__id", "near__digest"]).drop("near__id", "near__digest")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,16 @@ def test_near_duplicates_of_nothing_and_nulls(spark):
     assert len(lone) == 1 and min(lone) >= 1 << 62 and {r.class_id for r in got if r.doc_id == 4} == {4}
 
 
+def test_near_duplicates_of_texts_under_one_id(spark):
+    rnd = random.Random(8)
+    a, b = ([f"{c}{rnd.randint(0, 999)}" for _ in range(120)] for c in "vw")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (7, " ".join(b)), (8, " ".join(a[:-1])), (9, " ".join(b[:-1])), (9, "lone words"), (9, "LONE words")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, id int").repartition(3)
+    kept = sorted((r.doc_id, normal(r.text)) for r in near_dups.keep_one(df).collect())
+    assert kept == sorted((i, normal(t)) for i, t in (rows[0], rows[1], rows[5]))
+    assert sorted(map(tuple, near_dups.near_duplicates(df).collect())) == [(7, 7)] * 3 + [(8, 7), (9, 7), (9, 9), (9, 9)]
+
+
 def test_blocks_only_links_between_classes():
     import pyarrow as pa
 
