@@ -11,12 +11,15 @@ from loomgraph.plans.retrieval import APOLOGY, Plan, TextModel, answer_questions
 
 def chat(store: Store, requests: DataFrame, guard: TextModel, plan: Plan, final=no_model_answer) -> tuple[Store, DataFrame]:
     """requests: session_id, user_id, message, at; one for a session in a call. Sessions that are unknown under an id given with them are
-    refused (error); requests without an id need one made beforehand (Store.create).
+    refused (error); a request without an id gets a session of its own, whose id is made up, unless its message is empty.
 
     Gives the store with both messages of each turn, and for each request: session_id, message (the answer), source, error.
     """
     checked = invalid_requests(requests, store.sessions)
-    good = checked.where("error is null and session_id is not null")
+    made = checked.where("error is null and session_id is null").withColumn("session_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
+    made = made.checkpoint() if made.sparkSession.sparkContext.getCheckpointDir() else made.localCheckpoint()  # ids are made up once
+    store = store.create(made.select("session_id", "user_id", "at"))
+    good = checked.where("error is null and session_id is not null").unionByName(made)
     store, _ = store.append(good.select("session_id", F.lit("user").alias("role"), F.col("message").alias("text"), "at"))
     past = chat_history(store.messages.join(good.select("session_id"), "session_id", "left_semi"))
     asked = good.select("session_id", "message", "at").join(past, "session_id", "left")

@@ -66,6 +66,20 @@ def test_chat(spark):
     assert rows.first().answer == "(NO PRIOR CONVERSATION)|WHO TEACHES NOBODY|[]"
 
 
+def test_chat_without_a_session(spark):
+    s, _ = store(spark)
+    plan = retrieval.Plan(r"teaches (\w+)", at(spark, [("analysis", "Nowak")], "course string, teacher string"), "course", ["teacher"], [F.col("teacher")], "who teaches {key}")
+    asked = [(None, "w", "who teaches Analysis?", AT), (None, "w", "who teaches Analysis?", AT), (None, "w", "", AT), ("a", "u", "tell a joke", AT)]
+    requests = at(spark, asked, "session_id string, user_id string, message string, at timestamp_ntz")
+    after, answers = chat(s, requests, retrieval.keyword_guard("teaches"), plan)
+    got = answers.collect()
+    made = {r.session_id for r in got} - {"a", None}
+    answer = retrieval.NO_MODEL + '[{"teacher":"Nowak"}]'
+    assert len(got) == 4 and len(made) == 2
+    assert sorted(str(r.message or r.error) for r in got) == sorted([answer, answer, "empty message", retrieval.REFUSAL])
+    assert {r.session_id: r.message_count for r in after.info().where("user_id = 'w'").collect()} == dict.fromkeys(made, 2)
+
+
 def test_diagram():
     text = retrieval.mermaid(retrieval.STATES)
     assert text.splitlines()[0] == "graph TD" and "    guard -->|end| refuse" in text
