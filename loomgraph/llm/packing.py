@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import id_text, map_texts, table
+from loomgraph.llm.common import id_text, map_texts, table, written
 from loomgraph.llm.tokens import pieces, vocabulary
 
 #: Pieces that are packed together, on average.
@@ -67,12 +67,14 @@ def pack_sequences(df: DataFrame, tokenizer: str, length: int = 4096, end_id: in
     """One row for each piece: which ids of which document, and its place in a sequence of at most length ids.
 
     Pieces are dealt at random, whatever their document, into groups of about group_pieces, and each group is packed on its own:
-    only lengths are shuffled, and no key gathers more than a group. Null ids and repeated rows are packed as rows of their own;
+    only lengths are shuffled, and no key gathers more than a group. Pieces, which are numbers only, are written to the shared
+    folder and counted there, so the groups hold for documents of any length. Null ids and repeated rows are packed as rows of their own;
     a null or empty text has its end id only. An empty table gives no rows.
     """
-    groups = max(1, -(-df.count() // group_pieces))
-    cut = cut_pieces(df, tokenizer, length, end_id, id_col, text_col)
-    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
+    cut = cut_pieces(df, tokenizer, length, end_id, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
+    cut = written(cut, "pieces")
+    groups = max(1, -(-cut.count() // group_pieces))
+    dealt = cut.withColumn("pack", F.pmod(F.xxhash64("doc_id", "start", "number"), F.lit(groups))).drop("number")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns("pack").sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])

@@ -98,3 +98,17 @@ def test_packing(spark):
         at[r.sequence_id] = r.offset + r.length
     assert max(at.values()) <= 4096
     assert packing.pack_sequences(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_groups_go_by_pieces_not_documents(spark):
+    from loomgraph.llm.packing import pack_sequences
+
+    docs = spark.createDataFrame([(i, "some words of a long document " * 400) for i in range(2)], "doc_id long, text string")
+    rows = pack_sequences(docs, vocabulary("word_bpe_49k.json"), length=8, group_pieces=50).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert len(rows) > 400 and len(sizes) >= len(rows) // 60 and max(sizes.values()) < 100
+    for i in range(2):
+        own = [r for r in rows if r.doc_id == i]
+        assert sum(r.length for r in own) == own[0].doc_tokens and len({r.start for r in own}) == len(own)
