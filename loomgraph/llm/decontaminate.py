@@ -6,15 +6,18 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import carried, id_text, map_texts, table, written
+from loomgraph.llm.common import carried, id_text, map_texts, table, work_path, written
 from loomgraph.llm.words import normal
 
 WINDOW = 10
 #: Characters of items in one automaton (about 60 bytes of memory for each); more items go to further automata, one scan each.
 AUTOMATON_CHARS = 4_000_000
+#: Lots that one task deals out, on average.
+LOTS = 8
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 HITS = "doc_id bigint, n_words bigint, spans array<struct<first: bigint, last: bigint, start: bigint, end: bigint>>, items array<string>"
 
@@ -51,43 +54,55 @@ def _word_offsets(text: str, wanted: set[int]) -> dict[int, tuple[int, int]]:
     return {i: (int(edges[2 * i]), int(edges[2 * i + 1])) for i in wanted}
 
 
-def _batches(benchmark: DataFrame, chars: int) -> list[tuple[tuple[str, str], ...]]:
-    """The items in lots of bounded size; items are read in turn, so the driver never holds all of a large benchmark."""
-    lots, lot, held = [], [], 0
-    for item, text in benchmark.toLocalIterator():
-        lot.append((item, text))
-        held += len(text)
-        if held >= chars:
-            lots.append(tuple(lot))
-            lot, held = [], 0
-    return lots + [tuple(lot)] if lot or not lots else lots
+def _lots(items: DataFrame, chars: int) -> tuple[DataFrame, list[int]]:
+    """Distinct items dealt into lots, in the shared folder by lot, and the lots' numbers.
+
+    Hashes deal items into buckets of about LOTS lots; in each, a running sum of lengths gives the lots, of chars and one item at most.
+    """
+    spark, path = items.sparkSession, work_path(items.sparkSession, "benchmark")
+    items = items.distinct().withColumn("n", F.length("text").cast("long"))
+    total = items.agg(F.sum("n")).first()[0]
+    bucket = F.pmod(F.xxhash64("item", "text"), F.lit(-(-total // (LOTS * chars))))
+    before = F.sum("n").over(Window.partitionBy("bucket").orderBy(F.xxhash64("text", "item"), "item", "text").rowsBetween(Window.unboundedPreceding, -1))
+    lot = F.shiftleft("bucket", 32) + F.floor(F.coalesce(before, F.lit(0)) / F.lit(chars))
+    dealt = items.withColumn("bucket", bucket).select("item", "text", lot.alias("lot"))
+    dealt.repartition("lot").write.partitionBy("lot").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    return dealt, sorted(r.lot for r in dealt.select("lot").distinct().collect())
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = AUTOMATON_CHARS, carry: bool = False) -> DataFrame:
     """One row for each document: its words, the hit spans (word numbers first to last, and characters start to end, exclusive), the items.
 
-    Each automaton holds at most about chars characters of items, so what a task holds is bounded; a larger benchmark takes a scan
-    for each lot, joined on the row's number. Null texts have no words, items whose text is null or has none no windows; repeated rows
+    Each automaton holds at most about chars characters of items (and one item whole), so what a task holds is bounded; a larger
+    benchmark is dealt into lots in Spark and takes a scan for each, whose hits are written before the driver fetches the next lot, so
+    the driver too holds one lot at a time. Hits are joined on the row's number. Null texts have no words, items whose text is null or has none no windows; repeated rows
     and null ids stay. Items without an id hit as others do, and are one null among the items. With carry, a column row holds all
     columns of the input.
     """
     docs = (carried if carry else id_text)(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    lots = _batches(items, chars)
-    if len(lots) == 1:
-        return _scan(docs, lots[0], window)
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= chars:
+        return _scan(docs, docs.sparkSession.sparkContext.broadcast(_fetched(items)), window)
     numbered = written(docs.withColumn("number", F.monotonically_increasing_id()), "decontaminate")
     rows = numbered.select(F.col("number").alias("doc_id"), "text")
-    parts = _scan(rows, lots[0], window)
-    for lot in lots[1:]:
-        parts = parts.unionByName(_scan(rows, lot, window))
+    dealt, lots = _lots(items, chars)
+    parts = None
+    for lot in lots:
+        sent = docs.sparkSession.sparkContext.broadcast(_fetched(dealt.where(F.col("lot") == lot)))
+        found = _scan(rows, sent, window)
+        found = written(found if parts is None else found.where(F.size("spans") > 0), "hits")  # the first has every row's words
+        sent.destroy()
+        parts = found if parts is None else parts.unionByName(found)
     joined = parts.groupBy(F.col("doc_id").alias("number")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return numbered.drop("text").join(joined, "number").select("doc_id", "n_words", "spans", "items", *(["row"] if carry else []))
 
 
-def _scan(docs: DataFrame, lot: tuple[tuple[str, str], ...], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(lot)
+def _fetched(items: DataFrame) -> tuple[tuple[str | None, str], ...]:
+    return tuple((r.item, r.text) for r in items.select("item", "text").collect())
+
 
+def _scan(docs: DataFrame, sent: Broadcast, window: int) -> DataFrame:
     def make():
         automaton = _automaton(sent.value, window)
 

@@ -104,6 +104,23 @@ def test_items_without_an_id_hit_as_in_sql(spark, chars):
     assert [r.n_hit for r in sorted(got)] == [2, 2, 5, 0] and [r.n_items for r in sorted(got)] == [1, 1, 2, 0]
 
 
+def test_one_lot_of_items_at_a_time(spark, monkeypatch):
+    items = [(i, f"item number{i} words") for i in range(20)]
+    docs = [(i, f"an item number{i} words, item number{(i + 1) % 20} words") for i in range(20)] + [(99, "none")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, *items], "item_id long, text string")
+    sent, send = [], spark.sparkContext.broadcast
+
+    def one(lot):
+        assert not any(s._jbroadcast.isValid() for s in sent) and sum(len(t) for _, t in lot) <= 150 + 20
+        sent.append(send(lot))
+        return sent[-1]
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", one)
+    got = {r.doc_id: r["items"] for r in decontaminate.scan(d, b, chars=150).collect()}
+    assert len(sent) >= 2
+    assert {k: sorted(v) for k, v in got.items()} == {i: sorted([str(i), str((i + 1) % 20)]) for i in range(20)} | {99: []}
+
+
 def test_hit_spans_map_to_the_text(spark):
     d = spark.createDataFrame([(1, "İx… One, TWO three? äöü")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two THREE")], "item_id long, text string")
