@@ -268,7 +268,11 @@ def _check_head(media: bytes, at: int, n: int, number: int) -> int:
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams; every checksum, length and MD5 is verified."""
+    """The payloads of streams; every checksum, length and MD5 is verified.
+
+    Reads what this module's encoder writes: 8-bit mono, frame heads as frame_head() makes them, and a seek point for each frame. Other
+    valid streams (wasted bits, unencoded residuals, other frame heads, fewer seek points) raise ValueError, too.
+    """
     base, starts, ends, heads, lengths, heads_of = 0, [], [], [], [], []
     for media in streams:
         total, md5, points, at = _stream_head(media)

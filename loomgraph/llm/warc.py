@@ -61,7 +61,12 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 
 def parse_record(data: bytes) -> dict:
-    """The record's fields; ValueError where a head, a length or a digest is wrong."""
+    """The record's fields; ValueError where a head, a length or a digest is wrong.
+
+    Reads what record() writes: responses and revisits whose HTTP head has a Content-Length, without a transfer coding, and no WARC
+    head twice; responses have a payload digest in SHA-1, revisits a Refers-To-Page-ID and no payload. Other valid records (warcinfo,
+    request, metadata, chunked responses, repeated WARC-Concurrent-To) raise ValueError, too.
+    """
     top, gap, rest = data.partition(b"\r\n\r\n")
     lines = top.decode("utf-8", "surrogatepass").split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
