@@ -67,14 +67,11 @@ class Segment:
         return ((places - np.arange(self.n)) << self.low) + self._low(np.arange(self.n))
 
     def select(self, k: int) -> int:
-        """Where document k ends: from the nearest sample on, bytes of high bits are counted."""
-        place = int(self.samples[k // EVERY])
-        left = k % EVERY
-        bits = np.unpackbits(self.high_bits[place // 8 :], bitorder="little", count=None if left > 40 else 4096)
-        found = np.flatnonzero(bits[place % 8 :])
-        if len(found) <= left:
-            found = np.flatnonzero(np.unpackbits(self.high_bits[place // 8 :], bitorder="little")[place % 8 :])
-        high = place + int(found[left]) - k
+        """Where document k ends: set bits are counted from the sample before it, and no further than to the next one."""
+        place, after = int(self.samples[k // EVERY]), k // EVERY + 1
+        stop = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high_bits)
+        bits = np.unpackbits(self.high_bits[place // 8 : stop // 8 + 1], bitorder="little")
+        high = place + int(np.flatnonzero(bits[place % 8 :])[k % EVERY]) - k
         low = 0
         for i in range(self.low):
             bit = k * self.low + i
@@ -85,7 +82,7 @@ class Segment:
         return self.ids[self.select(k - 1) if k else 0 : self.select(k)]
 
 
-def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> None:
     """Encodes whole texts (null: empty), each followed by end_id, into segments below path in ascending order of id.
 
     Null ids come first; equal ids stay together, in the table's order, but may fill many parts; every row is kept. An empty table gives no segment.
@@ -95,7 +92,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     ordered = rows.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at")
 
     def run(batches):
-        coder, part, inside = pieces(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, inside = pieces(tokenizer, special_as_text), TaskContext.get().partitionId(), 0
         wide = coder.tokenizer.get_vocab_size() > 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         docs, held, lengths, n = [], [], [], 0
@@ -141,7 +138,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for part, inside, docs, image in zip(*b.columns):
                 s, base = Segment(image.as_py()), sent.value[part.as_py()] + inside.as_py()
-                ends = s.ends()
+                ends = np.array([s.select(k) for k in range(s.n)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 crcs = [zlib.crc32(s.ids[i:j].astype("<u4").tobytes()) for i, j in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), pa.int64()), pa.array(starts + base, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, each distinct pre-token encoded once in a task.
 
 The two vocabularies split a text before any merge happens, and a pre-token's ids don't depend on its neighbours. So the
-ids of a text are the joined ids of its pre-tokens, and the library is asked only for pre-tokens not seen before.
+ids of a text are the joined ids of its pre-tokens, and the library is asked only for pre-tokens not seen before. A text that spells
+an added token (<|endoftext|>) goes to the library whole, which gives that token's id for it.
 """
 
 from __future__ import annotations
@@ -45,14 +46,21 @@ def _classes(last: int) -> tuple[str, str]:
 
 
 class Pieces(dict):
-    """The ids of pre-tokens seen so far, as little-endian unsigned 32-bit integers; ids(texts) gives those of whole texts."""
+    """The ids of pre-tokens seen so far, as little-endian unsigned 32-bit integers; ids(texts) gives those of whole texts.
 
-    def __init__(self, path: str):
+    They are those of the library's encode_batch(texts, add_special_tokens=False). With special_as_text, the spelling of an added token
+    in a text is ordinary text, so that no text can bring in an id with a meaning of its own.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else list(self.tokenizer.get_added_tokens_decoder().values())
+        # those that are looked for in the normalised text could be spelled in other ways, too: then the library gets every text
+        self.special = re.compile("" if any(t.normalized for t in added) else "|".join(re.escape(t.content) for t in added) or "(?!)").search
         self.merge = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None
         self.splits = [re.compile(self.pattern(*_classes(last))).findall for last in ALPHABETS]
@@ -86,9 +94,10 @@ class Pieces(dict):
         if self.missed > 5 * HELD:  # the texts have changed
             self.clear()
             self.missed = 0
-        if self.lower:
-            texts = map(self.normal, texts)
-        return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
+        return [self._whole(t) if self.special(t) else b"".join(map(self.__getitem__, self.split(self.normal(t) if self.lower else t))) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def _byte_letters() -> list[str]:
@@ -99,6 +108,6 @@ def _byte_letters() -> list[str]:
 
 
 @lru_cache(4)
-def pieces(path: str) -> Pieces:
+def pieces(path: str, special_as_text: bool = False) -> Pieces:
     """One for each worker process, so that later tasks find what earlier ones have encoded."""
-    return Pieces(path)
+    return Pieces(path, special_as_text)
