@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Polish letters and the ASCII letters that replace them.
 POLISH, ASCII = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "acelnoszzACELNOSZZ"
 NO_SCHEMA, NO_HISTORY = "(empty — first pass)", "(no prior conversation)"
+#: A text between single or double quotes, where a backslash guards the next character. Possessive, so that the matcher neither recurses
+#: nor goes back, however long the text.
+SINGLE, DOUBLE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def _col(c: Column | str) -> Column:
@@ -57,11 +62,14 @@ def first_parts(c: Column | str, n: int = 10) -> Column:
 
 
 def fill_prompt(template: str, **values: Column | str) -> Column:
-    """Puts columns in place of {names}; doubled braces are single ones."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(_col(value), F.lit("")))
-    return F.replace(F.replace(out, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    """Puts columns in place of {names}; doubled braces are single ones. Values go in as they are, braces and all; a null is empty, and a
+    name without a value stays."""
+    out, at = [], 0
+    for m in re.finditer(r"\{\{|\}\}|\{(\w+)\}", template):
+        out.append(F.lit(template[at : m.start()]))
+        out.append(F.lit(m[0][0]) if m[1] is None else F.coalesce(_col(values[m[1]]), F.lit("")) if m[1] in values else F.lit(m[0]))
+        at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
 
 
 def or_default(c: Column | str, default: str) -> Column:
@@ -77,7 +85,7 @@ def guard_decision(reply: Column | str) -> Column:
 def with_limit(query: Column | str, n: int = 5) -> Column:
     """Adds a limit to query texts without one. A word in quotes isn't a limit, and a last semicolon goes, with blanks around it."""
     query = _col(query)
-    bare = F.regexp_replace(query, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''")
+    bare = F.regexp_replace(query, f"(?s){SINGLE}|{DOUBLE}", "''")
     has = bare.rlike(r"(?i)\blimit\s+\d+")
     return F.when(has, query).otherwise(F.concat(F.regexp_replace(query, r"[;\s]+$", ""), F.lit(f" LIMIT {n}")))
 
@@ -86,3 +94,15 @@ def with_limit_by_substring(query: Column | str, n: int = 5) -> Column:
     """The plainer rule: any LIMIT in the upper-cased text counts, and only semicolons at the very end go."""
     query = _col(query)
     return F.when(F.contains(F.upper(query), F.lit("LIMIT")), query).otherwise(F.concat(F.regexp_replace(query, ";+$", ""), F.lit(f" LIMIT {n}")))
+
+
+def iso_time(c: Column | str) -> Column:
+    """A time as ISO 8601 text without a zone, with microseconds unless they are 0."""
+    c = _col(c)
+    micros = F.date_format(c, ".SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == ".000000", "").otherwise(micros))
+
+
+def utc_now() -> Column:
+    """The present time in UTC, without a zone."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE = "id string, title string, context string, props map<string,string>"
@@ -49,17 +49,29 @@ class Graph:
 
     def all_nodes(self) -> DataFrame:
         """Nodes of any label."""
-        return reduce(DataFrame.unionByName, (df.select(F.lit(label).alias("label"), "id", "title", "context", "props") for label, df in sorted(self.nodes.items())))
+        return reduce(DataFrame.unionByName, (df.select(F.lit(label).alias("label"), "id", "title", "context", "props") for label, df in sorted(self.nodes.items())), _none(f"label string, {NODE}"))
 
     def all_edges(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (df.select("src", F.lit(kind).alias("type"), "dst") for kind, df in sorted(self.edges.items())))
+        return reduce(DataFrame.unionByName, (df.select("src", F.lit(kind).alias("type"), "dst") for kind, df in sorted(self.edges.items())), _none("src string, type string, dst string"))
+
+    def table(self, label: str) -> DataFrame:
+        """The nodes of a label; a label that the graph doesn't have has none."""
+        return self.nodes[label] if label in self.nodes else _none(NODE)
+
+    def links(self, kind: str) -> DataFrame:
+        """The edges of a type; a type that the graph doesn't have has none."""
+        return self.edges[kind] if kind in self.edges else _none(EDGE)
 
     def match(self, var: str, label: str | None = None) -> Match:
         """Starts a pattern with the nodes of a label, or of any."""
         return Match(self, _named(self._scan(label), var), (var,), var)
 
     def _scan(self, label: str | None) -> DataFrame:
-        return self.all_nodes().drop("label") if label is None else self.nodes[label]
+        return self.all_nodes().drop("label") if label is None else self.table(label)
+
+
+def _none(schema: str) -> DataFrame:
+    return SparkSession.active().createDataFrame([], schema)
 
 
 def _named(df: DataFrame, var: str) -> DataFrame:
@@ -98,20 +110,24 @@ class Match:
         return self._with(at=var)
 
     def to(self, kind: str, var: str, label: str | None = None, *, reverse: bool = False, optional: bool = False) -> Match:
-        """Follows edges of a type from the current variable to nodes of a label. An edge is passed once at most in a clause."""
-        edges = self.graph.edges[kind]
+        """Follows edges of a type from the current variable to nodes of a label. An edge is passed once at most in a clause.
+
+        The rows so far meet the edges first and what they lead to then, so a filter on the start thins out both joins. Only an optional
+        step joins edges and far nodes beforehand, as a row goes on without a hop if the far node isn't of the label.
+        """
+        edges = self.graph.links(kind)
         if reverse:
             edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         step = f"e{len(self.passed)}__{var}"
         edges = edges.select(F.col("src").alias(f"{step}_a"), F.col("dst").alias(f"{step}_b"))
-        nodes = self.graph._scan(label)
-        far = _named(nodes, var)
-        hop = edges.join(far, F.col(f"{step}_b") == F.col(f"{var}__id"))
+        far = _named(self.graph._scan(label), var)
+        near_end, far_end = F.col(f"{self.at}__id") == F.col(f"{step}_a"), F.col(f"{step}_b") == F.col(f"{var}__id")
+        df = self.df.join(edges.join(far, far_end), near_end, "left") if optional else self.df.join(edges, near_end).join(far, far_end)
         own = [F.col(f"{step}_b"), F.col(f"{step}_a")] if reverse else [F.col(f"{step}_a"), F.col(f"{step}_b")]
-        df = self.df.join(hop, F.col(f"{self.at}__id") == F.col(f"{step}_a"), "left" if optional else "inner").withColumn(step, F.struct(own[0].alias("src"), own[1].alias("dst")))
+        df = df.withColumn(step, F.struct(own[0].alias("src"), own[1].alias("dst")))
         for other, k in self.passed:
             if k == kind:
-                df = df.where(~F.col(step).eqNullSafe(F.col(other)) | F.col(f"{step}.src").isNull())
+                df = df.where(_another(step, other))
         return self._with(df=df.drop(f"{step}_a", f"{step}_b"), vars=(*self.vars, var), at=var, passed=(*self.passed, (step, kind)))
 
     def back(self, kind: str, var: str, label: str | None = None, **how) -> Match:
@@ -119,8 +135,19 @@ class Match:
         return self.to(kind, var, label, reverse=True, **how)
 
     def also(self, other: Match) -> Match:
-        """A comma between patterns: all combinations. Filter both sides first; a large product is the caller's wish."""
-        return self._with(df=self.df.crossJoin(other.df), vars=(*self.vars, *other.vars), at=other.at, passed=(*self.passed, *other.passed))
+        """A comma between patterns of one clause: rows agree in variables that both bind, and no edge is passed by both. Without a common
+        variable that is all combinations: filter both sides first; a large product is the caller's wish."""
+        steps = {step: f"e{len(self.passed) + i}__{step.split('__', 1)[1]}" for i, (step, _) in enumerate(other.passed)}
+        common = [v for v in other.vars if v in self.vars]
+        shared = {f"{v}__{c}": f"also__{v}__{c}" for v in common for c in ("id", "title", "context", "props")}
+        right = other.df.withColumnsRenamed({**steps, **shared})
+        df = self.df.join(right, reduce(Column.__and__, (F.col(f"{v}__id") == F.col(f"also__{v}__id") for v in common))) if common else self.df.crossJoin(right)
+        for step, kind in other.passed:
+            for own, k in self.passed:
+                if k == kind:
+                    df = df.where(_another(steps[step], own))
+        passed = (*self.passed, *((steps[step], kind) for step, kind in other.passed))
+        return self._with(df=df.drop(*shared.values()), vars=(*self.vars, *(v for v in other.vars if v not in common)), at=other.at, passed=passed)
 
     def carry(self, *vars: str) -> Match:
         """WITH: only these variables go on, rows keep their number, and a new clause begins."""
@@ -136,6 +163,11 @@ class Match:
         return self.df.agg(F.count(F.lit(1)).alias(alias))
 
 
+def _another(step: str, other: str) -> Column:
+    """The edge of a step isn't that of another; a step that wasn't taken passes none."""
+    return ~F.col(step).eqNullSafe(F.col(other)) | F.col(f"{step}.src").isNull()
+
+
 def limited(df: DataFrame, n: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """The asked number of rows, or five."""
     return (df.orderBy(*order) if order else df).limit(DEFAULT_LIMIT if n is None else n)

@@ -32,8 +32,14 @@ def joined_pages(pages: DataFrame, key: str, order: str, text: str = "text") ->
     return pages.groupBy(key).agg(F.array_join(F.transform(ordered, lambda p: p["t"]), "").alias(text))
 
 
+def _checked(size: int, overlap: int) -> None:
+    if not 0 <= overlap < size:
+        raise ValueError("an overlap is smaller than a part")
+
+
 def chunk_fixed(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Documents of more than size characters as parts of size that overlap; others whole. Rows: key, part (from 1), parts, text."""
+    _checked(size, overlap)
     stride = size - overlap
     n = F.when(F.length(text) > size, F.ceil((F.length(text) - overlap) / F.lit(stride))).otherwise(F.lit(1)).cast("int")
     rows = docs.select(F.col(key), F.col(text).alias("whole"), n.alias("parts")).select("*", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
@@ -43,6 +49,7 @@ def chunk_fixed(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Parts of at most size characters in order, that cut after a paragraph, a line or a word where there is one past the overlap."""
+    _checked(size, overlap)
     if len(text) <= size:
         return [text]
     out, at = [], 0
@@ -51,7 +58,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
         for s in SEPARATORS:
             cut = text.rfind(s, at + overlap + 1, end)
             if cut >= 0:
-                end = cut + len(s) if cut + len(s) <= at + size else cut
+                end = cut + len(s)
                 break
         out.append(text[at:end])
         at = end - overlap
@@ -60,14 +67,15 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
 
 def chunk_by_separators(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """As chunk_fixed, but cuts at separators; the cuts depend on those before, so this runs on Arrow batches."""
+    _checked(size, overlap)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, t in zip(b.column(0), b.column(1)):
-                parts = split_text(t.as_py() or "", size, overlap)
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, b.column(0).type), pa.array(range(1, n + 1), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts)], [key, "part", "parts", "text"])
+            parts = [split_text(t or "", size, overlap) for t in b.column(1).to_pylist()]
+            counts = [len(p) for p in parts]
+            rows = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array([k for n in counts for k in range(1, n + 1)], pa.int32()), pa.array(counts, pa.int32()).take(rows), pa.array([x for p in parts for x in p], pa.string())], [key, "part", "parts", "text"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, part int, parts int, text string")
 

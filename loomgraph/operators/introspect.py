@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph
@@ -21,18 +21,26 @@ def triples(graph: Graph) -> DataFrame:
     return edges.groupBy("src_label", "type", "dst_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Random groups of a property's values whose least values bound its first ones.
+GROUPS = 64
+
+
 def samples(graph: Graph, k: int = 5) -> DataFrame:
-    """The first k distinct values, in order, of each label's properties; only k values of a property are ever gathered."""
-    each = graph.all_nodes().select("label", F.explode("props").alias("property", "value")).where("value is not null").distinct()
-    turn = F.row_number().over(_ordered("label", "property"))
-    few = each.withColumn("turn", turn).where(F.col("turn") <= k)
-    return few.groupBy("label", "property").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    """The first k distinct values, in order, of each label's properties.
 
+    The k-th of the least values of random groups of values is k-th or later among all, so only values up to it can be wanted: one scan
+    gathers a few numbers for each property, the next shuffles little more than what is shown.
+    """
+    each = graph.all_nodes().select("label", F.explode("props").alias("property", "value")).where("value is not null")
+    least = each.groupBy("label", "property", F.pmod(F.xxhash64("value"), F.lit(GROUPS)).alias("group")).agg(F.min("value").alias("value"))
+    bound = _first(least, k).groupBy("label", "property").agg(F.when(F.count(F.lit(1)) == k, F.max("value")).alias("bound"))
+    few = each.join(bound, ["label", "property"]).where("bound is null or value <= bound").select("label", "property", "value").distinct()
+    return _first(few, k).groupBy("label", "property").agg(F.array_sort(F.collect_list("value")).alias("samples"))
 
-def _ordered(*keys: str):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*keys).orderBy("value")
+def _first(values: DataFrame, k: int) -> DataFrame:
+    turn = F.row_number().over(Window.partitionBy("label", "property").orderBy("value"))
+    return values.withColumn("turn", turn).where(F.col("turn") <= k)
 
 
 def summary(graph: Graph) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph, Match, Tables, node_id
+from loomgraph.sources.scratch import work_path
 
 
 def _with(tables: Mapping[str, DataFrame], name: str, df: DataFrame) -> Tables:
@@ -49,7 +50,9 @@ def _each(tables: Mapping[str, DataFrame], change: Callable[[DataFrame], DataFra
     return Tables({k: lambda k=k: change(tables[k]) for k in tables})
 
 
-_TEXT = r"'((?:[^'\\]|\\.)*)'"
+#: Possessive, so that long texts neither overflow the stack nor are gone over twice. A quote that isn't closed takes in all the rest.
+_TEXT = r"'([^'\\]*+(?:\\.[^'\\]*+)*+)'"
+BETWEEN_PIPES = r"(?s)(?:[^|']++|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\\?\z))++"
 NODE_STATEMENT = rf"(?s)^MERGE\s*\(\s*(\w+)\s*:\s*(\w+)\s*\{{\s*title\s*:\s*{_TEXT}\s*,\s*context\s*:\s*{_TEXT}\s*\}}\s*\)\s*;?$"
 EDGE_STATEMENT = r"(?s)^MERGE\s*\(\s*(\w+)\s*\)\s*-\s*\[\s*:\s*(\w+)\s*\]\s*->\s*\(\s*(\w+)\s*\)\s*;?$"
 TYPE_NAME = r"^[A-Z][A-Z0-9_]*$"
@@ -60,8 +63,8 @@ def statement_rows(batches: DataFrame) -> DataFrame:
 
     A pipe inside quotes doesn't split. Edge types that aren't upper snake case, and anything but the two forms, are rejected.
     """
-    quoted = r"\|(?=(?:[^'\\]|\\.|'(?:[^'\\]|\\.)*')*$)"
-    each = batches.select("batch", F.posexplode(F.filter(F.transform(F.split("text", quoted), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "statement"))
+    parts = F.regexp_extract_all("text", F.lit(BETWEEN_PIPES), F.lit(0))
+    each = batches.select("batch", F.posexplode(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "statement"))
     plain = lambda c: F.regexp_replace(c, r"\\(.)", "$1")
     node, edge = F.col("statement").rlike(NODE_STATEMENT), F.col("statement").rlike(EDGE_STATEMENT) & F.regexp_extract("statement", EDGE_STATEMENT, 2).rlike(TYPE_NAME)
     pick = lambda pattern, when, i: F.when(when, F.regexp_extract("statement", pattern, i))
@@ -94,10 +97,24 @@ def batch_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def merge_batches(graph: Graph, rows: DataFrame) -> Graph:
-    """Merges all batches. The labels and types present are read from the rows; they are schema, and few."""
+    """Merges all batches. They are taken apart once, into tables with a partition for each label and type, in the work folder; the labels
+    and types present are schema, and few."""
     nodes, edges = batch_rows(rows)
-    for label in sorted(r[0] for r in nodes.select("label").distinct().collect()):
-        graph = merge_nodes(graph, label, nodes.where(F.col("label") == label))
-    for kind in sorted(r[0] for r in edges.select("type").distinct().collect()):
-        graph = merge_edges(graph, kind, edges.where(F.col("type") == kind))
+    for column, table, merged in (("label", nodes, merge_nodes), ("type", edges, merge_edges)):
+        path = work_path(rows.sparkSession, f"batch-{column}")
+        table.write.partitionBy(column).parquet(path)
+        table = rows.sparkSession.read.schema(table.schema).parquet(path)
+        for name in sorted(r[0] for r in table.select(column).distinct().collect()):
+            graph = merged(graph, name, table.where(F.col(column) == name))
+    return graph
+
+
+def merge_by_titles(graph: Graph, links: DataFrame) -> Graph:
+    """links: type, src_label, src_title, dst_label, dst_title; a MATCH of two titles and a MERGE between them for each row. Ends that aren't
+    there write nothing; a title that several nodes have links each. Types and labels are schema, and few."""
+    for kind, a, b in sorted(map(tuple, links.select("type", "src_label", "dst_label").distinct().collect())):
+        own = links.where((F.col("type") == kind) & (F.col("src_label") == a) & (F.col("dst_label") == b))
+        source = graph.table(a).select(F.col("id").alias("src"), F.col("title").alias("src_title"))
+        target = graph.table(b).select(F.col("id").alias("dst"), F.col("title").alias("dst_title"))
+        graph = merge_edges(graph, kind, own.join(source, "src_title").join(target, "dst_title"))
     return graph

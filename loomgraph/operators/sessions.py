@@ -35,8 +35,9 @@ class Store:
     def create(self, new: DataFrame) -> Store:
         """new: session_id, user_id, at; an id is made up where it is null. Sessions that exist already stay as they are."""
         ids = F.coalesce("session_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
-        rows = new.select(ids.alias("session_id"), "user_id", F.col("at").alias("created_at"), F.col("at").alias("updated_at"), F.lit(True).alias("is_active"), F.monotonically_increasing_id().alias("seq"))
-        rows = rows.dropDuplicates(["session_id"]).join(self.sessions.select("session_id"), "session_id", "left_anti")
+        after = self.sessions.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("after"))
+        rows = new.withColumn("session_id", ids).dropDuplicates(["session_id"]).join(self.sessions.select("session_id"), "session_id", "left_anti").crossJoin(after)
+        rows = rows.select("session_id", "user_id", F.col("at").alias("created_at"), F.col("at").alias("updated_at"), F.lit(True).alias("is_active"), (F.col("after") + 1 + F.monotonically_increasing_id()).alias("seq"))
         users = self.users.union(rows.select("user_id")).distinct()
         return replace(self, sessions=self.sessions.unionByName(rows), users=users)
 

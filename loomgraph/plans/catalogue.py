@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,13 @@ from loomgraph.functions import text as T
 from loomgraph.operators import ingest, introspect, merge, sessions
 from loomgraph.operators.graph import Graph, limited, node_id, reachable
 from loomgraph.plans import extraction, retrieval
-from loomgraph.sources.files import as_json
+from loomgraph.plans.chat import chat
+from loomgraph.sources import seed
+from loomgraph.sources.files import as_json, read_directory, read_text
+from loomgraph.sources.scratch import work_path, written
+from loomgraph.sources.snapshots import read_snapshot, read_store, write_snapshot, write_store
 from loomgraph.sources.star import star_graph, table
+from loomgraph.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,9 +50,9 @@ def match_prop_eq(spark, d):
     return star_graph(spark, d).match("r", "Region").where_equal("r", "title", "ASIA").returns(("r", "id", "id"), ("r", "title", "title"))
 
 
-@query("SELECT p_name AS title, p_type AS context FROM part WHERE contains(lower(p_name), lower('PART_1'))")
+@query("SELECT p_name AS title, p_type AS context FROM part WHERE contains(lower(p_name), lower('WIDGET'))")
 def match_fuzzy_contains(spark, d):
-    return star_graph(spark, d).match("p", "Part").where_contains("p", "title", "PART_1").returns(("p", "title", "title"), ("p", "context", "context"))
+    return star_graph(spark, d).match("p", "Part").where_contains("p", "title", "WIDGET").returns(("p", "title", "title"), ("p", "context", "context"))
 
 
 @query("SELECT label, count(*) AS n FROM (SELECT 'Region' AS label FROM region UNION ALL SELECT 'Nation' FROM nation UNION ALL SELECT 'Customer' FROM customer UNION ALL SELECT 'Supplier' FROM supplier UNION ALL SELECT 'Part' FROM part UNION ALL SELECT 'Order' FROM orders) GROUP BY label")
@@ -98,6 +105,22 @@ def same_type_rel_uniqueness(spark, d):
     return m.returns(("a", "title", "one"), ("r", "title", "region"), ("b", "title", "other"))
 
 
+@query("SELECT a.n_name AS one, x.r_name AS its, b.n_name AS other, y.r_name AS theirs FROM nation a JOIN region x ON a.n_regionkey = x.r_regionkey, nation b JOIN region y ON b.n_regionkey = y.r_regionkey WHERE contains(a.n_name, '1') AND contains(b.n_name, '2') AND a.n_nationkey <> b.n_nationkey")
+def comma_rel_uniqueness(spark, d):
+    g = star_graph(spark, d)
+    one = g.match("a", "Nation").where_contains("a", "title", "1").to("IN_REGION", "r", "Region")
+    other = g.match("b", "Nation").where_contains("b", "title", "2").to("IN_REGION", "s", "Region")
+    return one.also(other).returns(("a", "title", "one"), ("r", "title", "its"), ("b", "title", "other"), ("s", "title", "theirs"))
+
+
+@query("SELECT n_name AS nation, c_name AS customer, s_name AS supplier FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' AND contains(c_name, '9')")
+def comma_common_variable(spark, d):
+    g = star_graph(spark, d)
+    buys = g.match("n", "Nation").where_equal("n", "title", "NATION_7").back("CUSTOMER_IN", "c", "Customer").where_contains("c", "title", "9")
+    both = buys.also(g.match("n", "Nation").back("SUPPLIER_IN", "s", "Supplier"))
+    return both.returns(("n", "title", "nation"), ("c", "title", "customer"), ("s", "title", "supplier"))
+
+
 @query("WITH w AS (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA') SELECT n_name AS nation, c_name AS customer FROM w JOIN customer ON c_nationkey = n_nationkey")
 def with_pipeline(spark, d):
     m = star_graph(spark, d).match("r", "Region").where_equal("r", "title", "AFRICA").back("IN_REGION", "n", "Nation").carry("n").back("CUSTOMER_IN", "c", "Customer")
@@ -120,9 +143,19 @@ def returns_distinct(spark, d):
     return m.returns(("c", "context", "segment"), ("r", "title", "region"), distinct=True)
 
 
-@query("SELECT doc_id, CASE WHEN contains(upper(text), 'LIMIT') THEN text ELSE regexp_replace(text, ';+$', '') || ' LIMIT 5' END AS query FROM (SELECT doc_id, translate(text, 'ß', 's') AS text FROM documents)")
+@query("SELECT doc_id, CASE WHEN contains(upper(text), 'LIMIT') THEN text ELSE regexp_replace(text, ';+$', '') || ' LIMIT 5' END AS query FROM documents")
 def limit_injection_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.with_limit_by_substring(F.translate("text", "ß", "s")).alias("query"))
+    return table(spark, d, "documents").select("doc_id", T.with_limit_by_substring("text").alias("query"))
+
+
+@query("""SELECT n_nationkey AS k, CASE n_nationkey % 6 WHEN 0 THEN 'MATCH (n) RETURN n.title LIMIT 5' WHEN 1 THEN 'MATCH (n) RETURN n LIMIT 5' WHEN 2 THEN 'MATCH (n) RETURN n limit 3;' WHEN 3 THEN 'MATCH (n {title: ''limit 3''}) RETURN n LIMIT 5'
+WHEN 4 THEN 'MATCH (n {title: "it''s limit 3", context: ' || chr(39) || repeat('a' || chr(92) || chr(39) || ' limit 7 ', 2000) || chr(39) || '}) RETURN n LIMIT 5' ELSE 'MATCH (n:' || n_name || ') RETURN n.limited LIMIT 5' END AS query FROM nation""")
+def limit_injection_quoted(spark, d):
+    kinds = ("MATCH (n) RETURN n.title", "MATCH (n) RETURN n; \n;", "MATCH (n) RETURN n limit 3;", "MATCH (n {title: 'limit 3'}) RETURN n", "MATCH (n {title: \"it's limit 3\", context: '" + "a\\' limit 7 " * 2000 + "'}) RETURN n")
+    text = F.concat(F.lit("MATCH (n:"), "n_name", F.lit(") RETURN n.limited"))
+    for i, kind in enumerate(kinds):
+        text = F.when(F.col("n_nationkey") % 6 == i, kind).otherwise(text)
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), T.with_limit(text).alias("query"))
 
 
 @query("SELECT 1 AS test")
@@ -168,17 +201,21 @@ def match_merge_edges(spark, d):
     return merge.match_merge(g, m, "c", "LIVES_IN", "r").edges["LIVES_IN"]
 
 
-@query("""WITH gone AS (SELECT n_nationkey FROM nation WHERE contains(n_name, '3')) SELECT 'Customer:' || c_custkey AS src, 'Nation:' || c_nationkey AS dst FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM gone)""")
+@query("""WITH gone AS (SELECT n_nationkey AS k FROM nation WHERE contains(n_name, '3')) SELECT 'CUSTOMER_IN' AS type, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'SUPPLIER_IN', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT k FROM gone)
+UNION ALL SELECT 'IN_REGION', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone) UNION ALL SELECT 'PLACED', count(*) FROM orders
+UNION ALL SELECT 'CONTAINS_PART', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
 def detach_delete_filtered(spark, d):
     g = star_graph(spark, d)
-    return merge.detach_delete(g, g.nodes["Nation"].where(F.contains("title", F.lit("3")))).edges["CUSTOMER_IN"]
+    gone = merge.detach_delete(g, g.nodes["Nation"].where(F.contains("title", F.lit("3"))))
+    return gone.all_edges().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 0 AS nodes, 0 AS edges")
+@query("SELECT 'Nation' AS label, n_name AS title, CAST(0 AS BIGINT) AS edges FROM nation")
 def delete_all(spark, d):
+    """All nodes and edges go; then the nations are written again, and nothing else is there."""
     g = merge.detach_delete(star_graph(spark, d))
-    nodes = g.all_nodes().agg(F.count(F.lit(1)).cast("int").alias("nodes"))
-    return nodes.crossJoin(g.all_edges().agg(F.count(F.lit(1)).cast("int").alias("edges")))
+    g = merge.merge_nodes(g, "Nation", table(spark, d, "nation").select(F.col("n_name").alias("title"), F.lit("").alias("context")))
+    return g.all_nodes().select("label", "title").crossJoin(g.all_edges().agg(F.count(F.lit(1)).alias("edges")))
 
 
 @query("""SELECT label, title, count(*) AS n FROM (SELECT DISTINCT 'Nation' AS label, n_name AS title FROM nation UNION ALL SELECT DISTINCT 'Region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY label, title""")
@@ -207,6 +244,24 @@ def extracted_statements(spark, d):
     return extraction.extracted(rows.select(F.col("n_nationkey").alias("batch"), text.alias("text")), "batch")
 
 
+_LONG = 6000
+
+
+@query(f"SELECT n_nationkey AS batch, n_name AS title, length(n_name) * {_LONG} + 2 * {_LONG} AS n, md5(repeat('|' || chr(39) || n_name, {_LONG})) AS md5 FROM nation")
+def statement_batch_long(spark, d):
+    """Contexts of tens of thousands of characters, with guarded quotes and pipes inside."""
+    context = F.repeat(F.concat(F.lit("|\\'"), "n_name"), _LONG)
+    text = F.concat(F.lit("MERGE (a:Nation {title: '"), "n_name", F.lit("', context: '"), context, F.lit("'})|MERGE (a)-[:NEAR]->(a)"))
+    rows = merge.statement_rows(table(spark, d, "nation").select(F.col("n_nationkey").alias("batch"), text.alias("text")))
+    return rows.where("kind = 'node'").select("batch", "title", F.length("context").alias("n"), F.md5("context").alias("md5"))
+
+
+@query("SELECT n_nationkey AS batch, 'a' AS var, CAST(2 AS BIGINT) AS n FROM nation WHERE n_nationkey % 2 = 0")
+def reused_variables(spark, d):
+    text = F.format_string("MERGE (a:Nation {title: '%s', context: ''})|MERGE (%s:Nation {title: 'other', context: ''})", F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b"))
+    return merge.reused_variables(merge.statement_rows(table(spark, d, "nation").select(F.col("n_nationkey").alias("batch"), text.alias("text"))))
+
+
 def _batches(spark, d):
     """For each nation a batch that names it, its region, and their relationship, and something that isn't allowed."""
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -239,9 +294,138 @@ def schema_summary(spark, d):
     return introspect.summary(star_graph(spark, d))
 
 
+def _nations(spark, d):
+    """Nations and regions only, with nations of region 0 cut off."""
+    g = star_graph(spark, d)
+    return Graph({k: g.nodes[k] for k in ("Nation", "Region")}, {"IN_REGION": g.edges["IN_REGION"].where("dst <> 'Region:0'")})
+
+
+@query("SELECT 'NODE TYPES: Nation (' || count(*) || '), Region (5)' || chr(10) || 'RELATIONSHIP TYPES: IN_REGION' || chr(10) || 'OBSERVATIONS: ' || (1 + count(*) FILTER (n_regionkey = 0)) || ' nodes have no relationship.' || chr(10) || 'EXTRACTION HINTS: relationships for nodes that have none.' AS text FROM nation")
+def schema_summary_text(spark, d):
+    return spark.createDataFrame([(introspect.summary_text(_nations(spark, d)),)], "text string")
+
+
+@query("""SELECT 'Node properties:' || chr(10) || 'Nation.context: ' || chr(10) || 'Nation.title: ' || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 5)) || chr(10) || 'Region.context: ' || chr(10) || 'Region.title: '
+|| (SELECT string_agg(r_name, ', ' ORDER BY r_name) FROM region) || chr(10) || 'Relationship properties:' || chr(10) || 'The relationships:' || chr(10) || '(:Nation)-[:IN_REGION]->(:Region)' AS text, false AS empty, true AS empty_without_graph""")
+def schema_full_text(spark, d):
+    text = introspect.SchemaCache().get("1", _nations(spark, d))
+    return spark.createDataFrame([(text, introspect.is_empty_schema(text), introspect.is_empty_schema(introspect.schema_text(Graph())))], "text string, empty boolean, empty_without_graph boolean")
+
+
+@query("SELECT 'Nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'IN_REGION', count(*) FILTER (n_regionkey <> 0) FROM nation")
+def snapshot_round_trip(spark, d):
+    path = work_path(spark, "snapshot")
+    write_snapshot(_nations(spark, d), path)
+    g = read_snapshot(spark, path)
+    return g.all_nodes().select(F.col("label").alias("name")).union(g.all_edges().select("type")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# the seed graph
+
+
+def _seeded(spark, times=2):
+    g = Graph()
+    for _ in range(times):
+        g, report = extraction.load_blocks(g, seed.blocks(spark))
+        if any(not line.startswith("OK") for line in report):
+            raise ValueError(report)
+    return g
+
+
+@query("SELECT * FROM (VALUES ('Department', 5), ('Professor', 8), ('Course', 10), ('Program', 5), ('Building', 3), ('Room', 4), ('Research', 4), ('BELONGS_TO', 8), ('TEACHES', 10), ('PART_OF', 10), ('OFFERED_BY', 5), ('LOCATED_IN', 4), ('SUPERVISES', 4), ('PREREQUISITE_FOR', 4)) AS t(name, n)")
+def seed_graph_loaded_twice(spark, d):
+    """39 nodes and 45 edges, however often the blocks run."""
+    g = _seeded(spark)
+    both = g.all_nodes().select(F.col("label").alias("name")).union(g.all_edges().select("type"))
+    return both.groupBy("name").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT 'Prof. Katarzyna Nowak' AS professor, 'Mathematical Analysis' AS course, 'Applied Mathematics BSc' AS program, 'Faculty of Mathematics' AS department")
+def seed_graph_question(spark, d):
+    m = _seeded(spark, 1).match("c", "Course").where_contains("c", "title", "mathematical analysis").to("PART_OF", "g", "Program").to("OFFERED_BY", "d", "Department")
+    m = m.start("c").back("TEACHES", "p", "Professor")
+    return m.returns(("p", "title", "professor"), ("c", "title", "course"), ("g", "title", "program"), ("d", "title", "department"))
+
+
+@query("SELECT 'Algorithms and Data Structures' AS first, 'Introduction to Artificial Intelligence' AS second, 'Machine Learning' AS third")
+def seed_graph_chain(spark, d):
+    m = _seeded(spark, 1).match("a", "Course").to("PREREQUISITE_FOR", "b", "Course").to("PREREQUISITE_FOR", "c", "Course")
+    return m.returns(("a", "title", "first"), ("b", "title", "second"), ("c", "title", "third"))
+
+
+@query("SELECT * FROM (VALUES (1, 'OK block 1/3'), (2, 'ERROR block 2/3'), (3, 'OK block 3/3')) AS t(k, status)")
+def block_statuses(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_name").alias("title"), F.lit("").alias("context"))
+    broken = nations.withColumn("title", F.raise_error(F.lit("no such title")).cast("string"))
+    writes = [lambda g: merge.merge_nodes(g, "Nation", nations), lambda g: merge.merge_nodes(g, "Broken", broken), lambda g: merge.merge_nodes(g, "Nation", nations)]
+    _, report = extraction.load_blocks(Graph(), writes)
+    return spark.createDataFrame([(i, line.split(":")[0]) for i, line in enumerate(report, 1)], "k int, status string")
+
+
 # ingest
 
 
+@query("SELECT string_agg(n_name || ' ą', chr(10) ORDER BY n_nationkey) || chr(10) AS text, CAST(0 AS BIGINT) AS left_out FROM nation")
+def text_directory(spark, d):
+    path = work_path(spark, "texts")
+    table(spark, d, "nation").orderBy("n_nationkey").select(F.concat("n_name", F.lit(" ą"))).coalesce(1).write.text(path)
+    good, bad = read_directory(spark, path)
+    return good.select("text").crossJoin(bad.agg(F.count(F.lit(1)).alias("left_out")))
+
+
+@query("SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation")
+def text_file(spark, d):
+    path = work_path(spark, "text")
+    table(spark, d, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    return read_text(spark, path).select("text")
+
+
+@query("SELECT n_name AS title, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def ingest_with_feedback(spark, d):
+    """Pages of a stream, a batch for each region; every batch merges into what the one before has published."""
+    pages, versions = work_path(spark, "pages"), work_path(spark, "versions")
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.format_string("%s is a Nation. %s is a Region. %s LIES_IN %s.", F.col("n_name"), F.translate("r_name", " ", "_"), F.col("n_name"), F.translate("r_name", " ", "_"))
+    rows.select("n_regionkey", F.col("n_nationkey").alias("doc_id"), text.alias("text")).repartition("n_regionkey").write.partitionBy("n_regionkey").parquet(pages)
+
+    def publish(statements, number):
+        before = read_snapshot(spark, f"{versions}/{number - 1}") if number else Graph()
+        graph = merge.merge_batches(before, merge.statement_rows(statements.select(F.col("doc_id").alias("batch"), F.col("statements").alias("text"))))
+        write_snapshot(graph, f"{versions}/{number}")
+        return introspect.summary_text(graph)
+
+    stream = spark.readStream.schema("doc_id int, text string").option("maxFilesPerTrigger", 1).parquet(f"{pages}/*")
+    q = live.ingest(stream, lambda batch, summary: extraction.extracted(batch), publish, work_path(spark, "ingest"))
+    q.awaitTermination()
+    g = read_snapshot(spark, f"{versions}/{q.lastProgress['batchId'] if q.lastProgress['numInputRows'] else q.lastProgress['batchId'] - 1}")
+    m = g.match("n", "Nation").to("LIES_IN", "r", "Region")
+    return m.df.select(F.col("n__title").alias("title"), F.translate("r__title", "_", " ").alias("region"))
+
+
+@query("SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def live_counts(spark, d):
+    out = work_path(spark, "live")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    q = live.counts_by_window(stream).writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", work_path(spark, "live-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS at FROM events")
+def iso_times(spark, d):
+    return table(spark, d, "events").select("event_id", T.iso_time("ts").alias("at"))
+
+
+@query("SELECT doc_id, trim('||' || coalesce(text, '') || '|a|b|||', '|') AS text FROM documents")
+def strip_pipes(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.strip_pipes(F.concat(F.lit("||"), F.coalesce("text", F.lit("")), F.lit("|a|b|||"))).alias("text"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR text IS NULL OR text = '' THEN '{T.NO_SCHEMA}' ELSE text END AS text FROM documents")
+def or_default(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.or_default(F.when(F.col("doc_id") % 3 != 0, F.col("text")), T.NO_SCHEMA).alias("text"))
+
+
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) = 0 THEN 'empty' WHEN starts_with(text, 'ERROR:') THEN 'error' WHEN length(trim(text, ' ' || chr(10) || chr(9))) = 0 THEN 'blank' END AS reason FROM documents")
 def doc_guards(spark, d):
     return table(spark, d, "documents").select("doc_id", ingest.guard_reason().alias("reason"))
@@ -261,7 +445,15 @@ def doc_chunk_labels(spark, d):
     return ingest.labelled(ingest.chunk_fixed(table(spark, d, "documents")), "documents")
 
 
-@query(None)
+def _cut(pos: str) -> str:
+    """SQL of where a part of at most 1000 characters that starts after pos ends: past the last separator beyond the overlap, if any."""
+    last = ", ".join(f"CASE WHEN strpos(reverse(substring(text, {pos} + 102, 899)), {x}) > 0 THEN 1001 - strpos(reverse(substring(text, {pos} + 102, 899)), {x}) END" for x in ("chr(10) || chr(10)", "chr(10)", "' '"))
+    return f"CASE WHEN length(text) - {pos} > 1000 THEN {pos} + coalesce({last}, 1000) END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text, 1 AS part, 0 AS pos, {_cut("0")} AS cut FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+UNION ALL SELECT doc_id, text, part + 1, cut - 100, {_cut("(cut - 100)")} FROM c WHERE cut IS NOT NULL)
+SELECT doc_id, CAST(part AS INT) AS part, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS parts, substring(text, pos + 1, coalesce(cut, length(text)) - pos) AS text FROM c""")
 def doc_chunk_separators(spark, d):
     return ingest.chunk_by_separators(table(spark, d, "documents"), size=1000, overlap=100)
 
@@ -305,6 +497,13 @@ def prompt_fill(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.fill_prompt("Q: {q} {{x}}", q="text").alias("prompt"))
 
 
+@query("SELECT conv_id, turn, 'Q: {data} [{\"a\":{\"b\":1}}] {' || text || '} {x} {other}' AS prompt FROM conversations WHERE role = 'user'")
+def prompt_fill_braces(spark, d):
+    """Braces and names inside values stay as they are."""
+    question = F.concat(F.lit("{data} "), F.lit('[{"a":{"b":1}}] {'), "text", F.lit("}"))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.fill_prompt("Q: {q} {{x}} {other}", q=question, data=F.lit("no")).alias("prompt"))
+
+
 # questions
 
 
@@ -364,6 +563,42 @@ def rag_end_to_end(spark, d):
     return limited(m.returns(("c", "title", "customer"), ("n", "title", "nation"), ("r", "title", "region")), 10, [F.col("customer")])
 
 
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS qid, 'customers of nation ' || lower(n_name) AS query, CAST(NULL AS VARCHAR) AS error FROM nation UNION ALL SELECT n_nationkey + 100, 'suppliers of nation ' || lower(n_name), NULL FROM nation
+UNION ALL SELECT n_nationkey + 200, 'Query failed: no pattern fits the question', 'Query failed: no pattern fits the question' FROM nation UNION ALL SELECT n_nationkey + 300, 'Query failed: no pattern fits the question', 'Query failed: no pattern fits the question' FROM nation""")
+def plans_first_fit(spark, d):
+    """The first plan that fits a question and whose labels and types the schema has."""
+    first = _plan(spark, d)
+    m = star_graph(spark, d).match("n", "Nation").back("SUPPLIER_IN", "s", "Supplier")
+    second = retrieval.Plan(r"(?i)suppliers in (\w+)", m.returns(("n", "title", "nation"), ("s", "title", "supplier")), "nation", ["supplier"], [F.col("supplier")], "suppliers of nation {key}", needs=("Supplier", "SUPPLIER_IN"))
+    third = replace(second, pattern=r"(?i)dealers in (\w+)", needs=("Dealer",))
+    nations = table(spark, d, "nation")
+    asked = [nations.select((F.col("n_nationkey") + 100 * i).cast("long").alias("qid"), F.concat(F.lit(start), "n_name").alias("question")) for i, start in enumerate(("customers in ", "suppliers in ", "who knows ", "dealers in "))]
+    rows = retrieval.Plans((first, second, third), frozenset({"Nation", "Supplier", "SUPPLIER_IN"})).retrieve(reduce(DataFrame.union, asked), "qid", "question")
+    return rows.select("qid", "query", "error")
+
+
+@query(f"SELECT CAST(n_nationkey AS BIGINT) AS qid, '[]' AS context, true AS failed, '{retrieval.NO_MODEL}[]' AS answer FROM nation")
+def failed_retrieval(spark, d):
+    """An error while the query runs gives an empty context and its text, not a lost question."""
+    plan = _plan(spark, d)
+    broken = retrieval.Guarded(replace(plan, rows=plan.rows.withColumn("customer", F.raise_error(F.lit("disk on fire")).cast("string"))))
+    asked = _questions(spark, d).where("qid < 100")
+    rows = retrieval.answer_questions(asked, retrieval.keyword_guard("customer"), broken)
+    return rows.select("qid", "context", F.startswith("query", F.lit("Query failed: ")).alias("failed"), "answer")
+
+
+@query("SELECT conv_id, turn, '<' || lower(text) || '>' AS answer FROM conversations WHERE role = 'user'")
+def model_choice(spark, d):
+    """The first configured model of an order of preference answers."""
+    model = extraction.choose({"small": F.lower, "other": F.upper}, ("large", "small", "other"))
+    return _asked(spark, d).select("conv_id", "turn", retrieval.model_answer("<{user_input}>", model)(F.col("question"), F.lit(""), F.lit(None)).alias("answer"))
+
+
+@query("SELECT 'graph TD' || chr(10) || '    START --> guard' || chr(10) || '    guard -->|generate_cypher| plan' || chr(10) || '    guard -->|end| refuse' || chr(10) || '    plan --> retrieve' || chr(10) || '    refuse --> END' || chr(10) || '    retrieve --> END' AS diagram")
+def state_diagram(spark, d):
+    return spark.createDataFrame([(retrieval.mermaid(retrieval.STATES),)], "diagram string")
+
+
 # sessions: conversations are the messages; users, times and activity are derived from their numbers
 
 
@@ -438,10 +673,66 @@ def sessions_after_delete(spark, d):
     return s.delete(s.sessions.where("seq % 4 = 0")).info().select("session_id", "message_count")
 
 
-@query(f"SELECT count(DISTINCT user_id) AS unique_users, 0 AS total_sessions FROM ({_SESSIONS})")
+@query(f"SELECT user_id, count(*) FILTER (CAST(user_id AS INT) >= 4 AND conv_id % 2 = 0) AS session_count FROM ({_SESSIONS}) GROUP BY user_id")
 def unique_users_tombstone(spark, d):
+    """Users stay known when their sessions are deleted."""
+    s = _store(spark, d)
+    return s.delete(s.sessions.where("user_id < '4' or seq % 2 = 1")).session_counts(active_only=False)
+
+
+@query(f"SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'made' ELSE 'own ' || n_nationkey END AS session_id, 'u' || n_nationkey AS user_id, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 32 ELSE length('own ' || n_nationkey) END AS INT) AS n, true AS later FROM nation")
+def sessions_created(spark, d):
+    """Ids are made up where there are none; sessions created later come later in order."""
+    s = _store(spark, d)
+    last = s.sessions.agg(F.max("seq").alias("last"))
+    new = table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 != 0, F.concat(F.lit("own "), "n_nationkey")).alias("session_id"), F.concat(F.lit("u"), "n_nationkey").alias("user_id"), F.expr("timestamp_ntz'2024-03-01 00:00:00'").alias("at"))
+    made = written(s.create(new).sessions.where(F.startswith("user_id", F.lit("u"))), "created").crossJoin(last)
+    own = F.when(F.startswith("session_id", F.lit("own")), F.col("session_id")).otherwise(F.lit("made"))
+    return made.select(own.alias("session_id"), "user_id", F.length("session_id").alias("n"), (F.col("seq") > F.col("last")).alias("later"))
+
+
+@query(f"SELECT session_id, user_id, is_active FROM ({_SESSIONS}) WHERE session_id = '7'")
+def session_get(spark, d):
+    return _store(spark, d).get("7").select("session_id", "user_id", "is_active")
+
+
+@query(f"SELECT count(*) AS cleared, CAST(0 AS BIGINT) AS total_sessions, CAST(0 AS BIGINT) AS total_messages, CAST(0 AS BIGINT) AS unique_users FROM ({_SESSIONS})")
+def sessions_cleared(spark, d):
+    empty, n = _store(spark, d).clear()
+    return empty.stats().select(F.lit(n).cast("long").alias("cleared"), "total_sessions", "total_messages", "unique_users")
+
+
+@query(f"SELECT session_id, CASE WHEN conv_id % 7 = 0 THEN TIMESTAMP '2024-05-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(last AS INT)) END AS updated_at FROM ({_SESSIONS})")
+def sessions_updated(spark, d):
+    """A message makes its session the one updated last; the store is written and read again."""
+    s = _store(spark, d)
+    new = s.sessions.where("seq % 7 = 0").select("session_id", F.lit("user").alias("role"), F.lit("hi").alias("text"), F.expr("timestamp_ntz'2024-05-01 00:00:00'").alias("at"))
+    path = work_path(spark, "store")
+    write_store(s.append(new)[0], path)
+    return read_store(spark, path).sessions.select("session_id", "updated_at")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'empty message' WHEN turn % 4 = 2 THEN 'unknown session' END AS error FROM conversations")
+def invalid_requests(spark, d):
+    requests = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 2, "nobody").when(F.col("turn") % 4 != 3, F.col("conv_id").cast("string")).alias("session_id"), F.when(F.col("turn") % 4 == 1, "").otherwise(F.lit("hello")).alias("message"))
+    return sessions.invalid_requests(requests, _store(spark, d).sessions).select("conv_id", "turn", "error")
+
+
+@query(f"""SELECT session_id, '{retrieval.REFUSAL}' AS message, 'knowledge_graph' AS source, message_count + 2 AS message_count FROM ({_SESSIONS}) WHERE conv_id % 3 = 0
+UNION ALL SELECT session_id, '{retrieval.NO_MODEL}[{{"customer":"' || (SELECT min(c_name) FROM customer WHERE c_nationkey = 3) || '"}}]', 'knowledge_graph', message_count + 2 FROM ({_SESSIONS}) WHERE conv_id % 3 = 1
+UNION ALL SELECT 'new', '{retrieval.APOLOGY}Query failed: no pattern fits the question', 'error', 2 FROM ({_SESSIONS}) WHERE conv_id % 3 = 2 UNION ALL SELECT 'nobody', NULL, 'error', NULL FROM ({_SESSIONS}) WHERE conv_id = 0""")
+def chat_turn(spark, d):
+    """Refused, answered and failing questions, one of an unknown session, and those that open a session."""
     s = _store(spark, d)
-    return s.delete(s.sessions).stats().select("unique_users", F.col("total_sessions").cast("int").alias("total_sessions"))
+    k, at = F.col("seq") % 3, F.expr("timestamp_ntz'2024-04-01 00:00:00'")
+    message = F.when(k == 0, "Tell me a joke").when(k == 1, "Which customers in NATION_3 are there?").otherwise(F.lit("How many customers?"))
+    requests = s.sessions.select(F.when(k != 2, F.col("session_id")).alias("session_id"), "user_id", message.alias("message"), at.alias("at"))
+    lost = s.sessions.where("seq = 0").select(F.lit("nobody").alias("session_id"), "user_id", F.lit("hello").alias("message"), at.alias("at"))
+    after, answers = chat(s, requests.union(lost), retrieval.keyword_guard("customer"), replace(_plan(spark, d), columns=["customer"], limit=1))
+    known = s.sessions.select(F.col("session_id").alias("known"))
+    rows = answers.join(after.info().select("session_id", "message_count"), "session_id", "left").join(known, F.col("session_id") == F.col("known"), "left")
+    name = F.when(F.col("known").isNotNull() | (F.col("session_id") == "nobody"), F.col("session_id")).otherwise(F.lit("new"))
+    return rows.select(name.alias("session_id"), "message", "source", "message_count")
 
 
 @query(f"SELECT session_id, is_active AND conv_id % 5 <> 0 AS is_active FROM ({_SESSIONS})")

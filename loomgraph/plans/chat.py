@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.sessions import Store, chat_history, invalid_requests
-from loomgraph.plans.retrieval import APOLOGY, Plan, TextModel, answer_questions, no_model_answer
+from loomgraph.plans.retrieval import APOLOGY, Guarded, Plan, Plans, TextModel, answer_questions, no_model_answer
+from loomgraph.sources.scratch import written
 
 
-def chat(store: Store, requests: DataFrame, guard: TextModel, plan: Plan, final=no_model_answer) -> tuple[Store, DataFrame]:
+def chat(store: Store, requests: DataFrame, guard: TextModel, plan: Plan | Plans | Guarded, final=no_model_answer) -> tuple[Store, DataFrame]:
     """requests: session_id, user_id, message, at; one for a session in a call. Sessions that are unknown under an id given with them are
     refused (error); a request without an id gets a session of its own, whose id is made up, unless its message is empty.
 
@@ -17,7 +18,7 @@ def chat(store: Store, requests: DataFrame, guard: TextModel, plan: Plan, final=
     """
     checked = invalid_requests(requests, store.sessions)
     made = checked.where("error is null and session_id is null").withColumn("session_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
-    made = made.checkpoint() if made.sparkSession.sparkContext.getCheckpointDir() else made.localCheckpoint()  # ids are made up once
+    made = written(made, "opened")  # ids are made up once
     store = store.create(made.select("session_id", "user_id", "at"))
     good = checked.where("error is null and session_id is not null").unionByName(made)
     store, _ = store.append(good.select("session_id", F.lit("user").alias("role"), F.col("message").alias("text"), "at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import NO_SCHEMA, ascii_fold, fill_prompt, is_blank, or_default, pipe_join, pipe_split, quote_escape
 from loomgraph.operators.graph import Graph
 from loomgraph.plans.retrieval import TextModel
+from loomgraph.sources.scratch import written
 
 #: The deterministic extractor's rules: sentences "A is a Label." and "A kind B.", with names of letters, digits and underscores.
 IS_A, RELATION = r"(\w+) is an? (\w+)\.", r"(\w+) ([A-Z][A-Z0-9_]*) (\w+)\."
@@ -38,17 +39,23 @@ def extracted_by_model(chunks: DataFrame, template: str, model: TextModel, schem
 
 
 def load_blocks(graph: Graph, blocks: list[Callable[[Graph], Graph]]) -> tuple[Graph, list[str]]:
-    """Runs blocks of writes in order. A block that fails is reported, writes nothing, and doesn't stop the others."""
+    """Runs blocks of writes in order. What a block has changed is written to the work folder before the next one starts; a block that
+    fails is reported, writes nothing, and doesn't stop the others."""
     report = []
     for i, block in enumerate(blocks, 1):
         try:
-            graph = block(graph)
+            new = block(graph)
+            graph = Graph(_kept(graph.nodes, new.nodes, f"block-{i}"), _kept(graph.edges, new.edges, f"block-{i}"))
             report.append(f"OK block {i}/{len(blocks)}")
         except Exception as e:
             report.append(f"ERROR block {i}/{len(blocks)}: {e}")
     return graph, report
 
 
+def _kept(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    return {k: new[k] if k in old and new[k] is old[k] else written(new[k], name) for k in new}
+
+
 def choose(models: dict[str, TextModel], order: tuple[str, ...]) -> TextModel | None:
     """The first configured model of an order of preference, or none."""
     return next((models[name] for name in order if name in models), None)

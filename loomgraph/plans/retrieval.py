@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NO_HISTORY, fill_prompt, guard_decision, or_default
 from loomgraph.operators.graph import DEFAULT_LIMIT
+from loomgraph.sources.scratch import written
 
 #: The sentences that users see.
 REFUSAL = "W bazie danych nie ma informacji"
@@ -59,7 +60,8 @@ def envelope(rows: DataFrame) -> DataFrame:
 class Plan:
     """A deterministic planner: pattern takes the key out of a question; rows holds what the graph has for a key.
 
-    The retrieval of all questions is one join on the key, whatever their number, and each question gets limit rows.
+    Each key's first rows are ranked and made JSON once, whatever the number of questions about it; then all questions meet them in one
+    join on the key. needs: labels and types without which the plan has nothing to say.
     """
 
     pattern: str
@@ -69,14 +71,60 @@ class Plan:
     order: list[Column]
     query: str
     limit: int = DEFAULT_LIMIT
+    needs: tuple[str, ...] = ()
+
+    def fits(self, question: str) -> Column:
+        return F.regexp_extract(question, self.pattern, 1) != ""
 
     def retrieve(self, questions: DataFrame, qid: str, question: str) -> DataFrame:
         asked = questions.withColumn("asked", F.lower(F.regexp_extract(question, self.pattern, 1)))
-        hits = asked.select(qid, "asked").join(self.rows.withColumn("asked", F.lower(self.key)), "asked")
-        found = context_json(hits, qid, self.columns, self.order, self.limit)
+        wanted = asked.select("asked").distinct()
+        rows = self.rows.withColumn("asked", F.lower(self.key)).join(wanted, "asked", "left_semi")
+        found = context_json(rows, "asked", self.columns, self.order, self.limit)
         text = F.replace(F.lit(self.query), F.lit("{key}"), F.col("asked"))
-        error = F.when(F.col("asked") == "", F.lit("Query failed: no pattern fits the question"))
-        return asked.join(found, qid, "left").withColumns({"context": F.coalesce("context", F.lit("[]")), "query": F.coalesce(error, text), "error": error}).drop("asked")
+        error = F.when(F.col("asked") == "", F.lit(NO_PLAN))
+        return asked.join(found, "asked", "left").withColumns({"context": F.coalesce("context", F.lit("[]")), "query": F.coalesce(error, text), "error": error}).drop("asked")
+
+
+NO_PLAN = "Query failed: no pattern fits the question"
+
+
+@dataclass(frozen=True)
+class Plans:
+    """Several plans: a question goes to the first that fits it, of those for which the schema (labels and types) has all they need."""
+
+    plans: tuple[Plan, ...]
+    schema: frozenset[str] | None = None
+
+    def retrieve(self, questions: DataFrame, qid: str, question: str) -> DataFrame:
+        usable = [p for p in self.plans if self.schema is None or set(p.needs) <= self.schema]
+        which = F.lit(-1)
+        for i, p in reversed(list(enumerate(usable))):
+            which = F.when(p.fits(question), F.lit(i)).otherwise(which)
+        dealt = questions.withColumn("plan", which)
+        out = failed(dealt.where("plan = -1").drop("plan"), NO_PLAN)
+        for i, p in enumerate(usable):
+            out = out.unionByName(p.retrieve(dealt.where(F.col("plan") == i).drop("plan"), qid, question))
+        return out
+
+
+def failed(questions: DataFrame, error: str) -> DataFrame:
+    """An empty context, and the error in place of the query."""
+    return questions.withColumns({"context": F.lit("[]"), "query": F.lit(error), "error": F.lit(error)})
+
+
+@dataclass(frozen=True)
+class Guarded:
+    """Runs a planner's retrieval at once, into the work folder. If that fails, every question has an empty context and the error."""
+
+    plan: Plan | Plans
+
+    def retrieve(self, questions: DataFrame, qid: str, question: str) -> DataFrame:
+        try:
+            return written(self.plan.retrieve(questions, qid, question), "retrieved")
+        except Exception as e:
+            reason = next(iter(str(e).strip().splitlines()), type(e).__name__)
+            return failed(questions, f"Query failed: {reason}")
 
 
 def no_model_answer(question: Column, data: Column, past: Column) -> Column:
@@ -89,7 +137,7 @@ def model_answer(template: str, model: TextModel) -> Callable[[Column, Column, C
     return lambda question, data, past: model(fill_prompt(template, history=or_default(past, NO_HISTORY), user_input=question, data=data))
 
 
-def answer_questions(questions: DataFrame, guard: TextModel, plan: Plan, qid: str = "qid", question: str = "question", final=no_model_answer, past: str | None = None) -> DataFrame:
+def answer_questions(questions: DataFrame, guard: TextModel, plan: Plan | Plans | Guarded, qid: str = "qid", question: str = "question", final=no_model_answer, past: str | None = None) -> DataFrame:
     """All questions: refused or retrieved, then answered. Rows: the input's columns, answer, context, query, error, metadata."""
     rows = routed(questions, guard, question)
     passed = plan.retrieve(rows.where("guardrail_decision = 'generate_cypher'"), qid, question)

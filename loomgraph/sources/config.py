@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -24,3 +25,16 @@ class Settings:
         if unknown := set(values) - known:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return Settings(**values)
+
+    @staticmethod
+    def load(path: str) -> Settings:
+        """From a file of lines name: number, the plain part of YAML; blank lines and comments don't count. Load it anew to see changes."""
+        values = {}
+        for n, line in enumerate(Path(path).read_text(encoding="utf-8").splitlines(), 1):
+            line = line.split("#", 1)[0].strip()
+            if line:
+                name, colon, value = line.partition(":")
+                if not colon or not value.strip().isdigit():
+                    raise ValueError(f"line {n} of the settings isn't a name and a number")
+                values[name.strip()] = int(value)
+        return Settings.of(values)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import is_blank
 
 
+SUMMARY = "batch long, summary string"
+
+
 def activity(messages: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """messages: user_id and ts. A user's bursts of messages, closed by a gap; messages later than the watermark are left out."""
     return messages.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("message_count")).select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "message_count")
@@ -22,12 +25,19 @@ def counts_by_window(messages: DataFrame, window: str = "1 hour", late: str = "1
 
 def ingest(pages: DataFrame, extract: Callable[[DataFrame, str], DataFrame], publish: Callable[[DataFrame, int], str], checkpoint: str):
     """Pages in micro-batches: extract(pages, schema summary) gives statements; publish(statements, batch) writes them and returns the
-    summary that the next batch sees. Blank pages are left out, and a batch without any keeps the summary."""
-    seen = {"summary": ""}
+    summary that the next batch sees. Blank pages are left out, and a batch without any keeps the summary.
+
+    Summaries are kept beside the checkpoint, one for each batch, so a stream that is started again goes on with the last one; a batch
+    that is run again sees that of the batch before it.
+    """
+    spark, kept = pages.sparkSession, f"{checkpoint.rstrip('/')}-summaries"
+    spark.createDataFrame([], SUMMARY).write.mode("append").parquet(kept)
 
     def each(batch: DataFrame, number: int) -> None:
         full = batch.where(~is_blank("text"))
         if not full.isEmpty():
-            seen["summary"] = publish(extract(full, seen["summary"]), number)
+            last = spark.read.schema(SUMMARY).parquet(kept).where(F.col("batch") < number).orderBy(F.desc("batch")).first()
+            summary = publish(extract(full, last.summary if last else ""), number)
+            spark.createDataFrame([(number, summary)], SUMMARY).coalesce(1).write.mode("append").parquet(kept)
 
     return pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -64,6 +64,67 @@ def test_patterns(spark):
     assert limited(g.match("c", "Course").df, 2).count() == 2
 
 
+def test_commas_share_variables_and_edges(spark):
+    g = seeded(spark)
+    teaches = lambda p, c: g.match(p, "Professor").to("TEACHES", c, "Course")
+    both = teaches("p", "c").also(teaches("q", "d"))
+    assert both.df.count() == 2 and both.vars == ("p", "c", "q", "d")  # never the same edge twice
+    same = teaches("p", "c").also(teaches("p", "d"))
+    assert same.df.count() == 2 and same.vars == ("p", "c", "d")
+    assert same.to("NEEDED_FOR", "e", "Course").df.count() == 2
+    assert g.match("x", "Nothing").df.count() == 0 and g.match("c", "Course").to("NO_TYPE", "d").df.count() == 0
+
+
+def test_a_filtered_start_meets_the_edges_first(spark, tmp_path):
+    write_snapshot(seeded(spark), f"{tmp_path}/v")
+    g = read_snapshot(spark, f"{tmp_path}/v")
+    m = g.match("a", "Professor").where_equal("a", "title", "x").to("TEACHES", "b", "Course").to("NEEDED_FOR", "c", "Course")
+    plan = m.returns(("c", "title", "t"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {name: next(len(line) - len(line.lstrip(" :+-|")) for line in plan if name in line) for name in ("e0__b_a", "e1__c_a")}
+    joins = [len(line) - len(line.lstrip(" :+-|")) for line in plan if "Join" in line]
+    assert len(joins) == 4 and joins == sorted(joins)  # each join is the left side of the one above it
+    assert any("(title" in line and "= x" in line for line in plan[plan.index(next(x for x in plan if "Join" in x)) :]) and depth
+
+
+def test_empty_graphs(spark, tmp_path):
+    g = Graph()
+    assert sizes(g) == (0, 0) and introspect.labels(g).count() == 0 and introspect.triples(g).count() == 0 and introspect.samples(g).count() == 0
+    assert introspect.summary_text(g).startswith("NODE TYPES: \n") and introspect.is_empty_schema(introspect.schema_text(g))
+    write_snapshot(g, f"{tmp_path}/none")
+    assert sizes(read_snapshot(spark, f"{tmp_path}/none")) == (0, 0)
+    lone = merge.merge_nodes(g, "X", spark.createDataFrame([("a", "b")], "title string, context string"))
+    write_snapshot(lone, f"{tmp_path}/lone")
+    assert sizes(read_snapshot(spark, f"{tmp_path}/lone")) == (1, 0)
+
+
+def test_a_snapshot_without_its_marker_is_none(spark, tmp_path):
+    path = f"{tmp_path}/v"
+    seeded(spark).all_nodes().write.partitionBy("label").parquet(f"{path}/nodes")  # as if the writer had ended there
+    with pytest.raises(ValueError, match="no finished version"):
+        read_snapshot(spark, path)
+    write_snapshot(seeded(spark), path)
+    assert sizes(read_snapshot(spark, path)) == (4, 4)
+
+
+def test_very_long_statements(spark):
+    from loomgraph.functions.text import with_limit
+
+    for n in (30_000, 1_000_000):
+        long = "|\\'x" * (n // 4)
+        text = f"MERGE (a:X {{title: 't', context: '{long}'}})|MERGE (b:X {{title: '{long}', context: ''}})|MERGE (a)-[:R]->(b)|MERGE (c:X {{title: 'open"
+        rows = merge.statement_rows(spark.createDataFrame([(0, text + "|" * n)], "batch int, text string")).orderBy("pos").collect()
+        assert [r.kind for r in rows] == ["node", "node", "edge", "rejected"]
+        assert rows[0].context == rows[1].title == "|'x" * (n // 4)
+        query = spark.createDataFrame([(f"MATCH (n {{title: '{long}'}}) WHERE n.x = \"{long} limit 4\" RETURN n;",)], "q string").select(with_limit("q").alias("q")).first().q
+        assert query.endswith("RETURN n LIMIT 5")
+
+
+def test_samples_of_many_values(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("v"), F.col("id") % 1000).alias("title"), (F.col("id") % 3).cast("string").alias("context"))
+    got = {r.property: r.samples for r in introspect.samples(merge.merge_nodes(Graph(), "X", rows), 7).collect()}
+    assert got == {"title": sorted(f"v{i}" for i in range(1000))[:7], "context": ["0", "1", "2"]}
+
+
 def test_unmatched_match_merge_writes_nothing(spark):
     g = seeded(spark)
     m = g.match("p", "Professor").where_equal("p", "title", "nobody").also(g.match("c", "Course"))
@@ -93,6 +154,7 @@ def test_schema(spark):
     assert cache.get("1", g) == text and cache.get("1", None) == text
     with pytest.raises(AttributeError):
         cache.get("2", None)
+    assert introspect.SchemaCache().get("1", Graph()) == ""
 
 
 def test_snapshots(spark, tmp_path):

@@ -57,6 +57,11 @@ def test_text_functions(spark):
     assert one(spark, T.first_parts(F.split("x", ","), 2), "a,b,c") == ["a", "b"]
     assert one(spark, T.or_default("x", T.NO_SCHEMA), "") == T.NO_SCHEMA
     assert one(spark, T.fill_prompt("{a}: {{b}}", a="x"), "v") == "v: {b}"
+    assert one(spark, T.fill_prompt("{a}{b}{c}{{{a}}}", a="x", b=F.lit("}}")), "{b}{{") == "{b}{{}}{c}{{b}{{}"
+    assert one(spark, T.fill_prompt("none"), None) == "none" and one(spark, T.fill_prompt("{a}", a="x"), None) == ""
+    assert one(spark, T.iso_time(F.col("x").cast("timestamp_ntz")), "2024-01-02 03:04:05") == "2024-01-02T03:04:05"
+    assert one(spark, T.iso_time(F.col("x").cast("timestamp_ntz")), "2024-01-02 03:04:05.000070") == "2024-01-02T03:04:05.000070"
+    assert one(spark, T.utc_now() > F.lit("2024-01-01").cast("timestamp_ntz"), None) is True
     for reply, want in (("generate_cypher", "generate_cypher"), (" Generate_Cypher \n", "generate_cypher"), ("end", "end"), (None, "end"), ("do not generate", "generate_cypher")):
         assert one(spark, T.guard_decision("x"), reply) == want
     assert one(spark, T.is_blank("x"), None) is True
@@ -86,9 +91,18 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":"ą","b":null}'
 
 
-def test_settings():
+def test_settings(tmp_path):
     import pytest
 
+    (tmp_path / "s.yaml").write_text("# limits\nmax_results: 7\n\nchunk_size: 100  # characters\nchunk_overlap: 5\n")
+    assert Settings.load(str(tmp_path / "s.yaml")) == Settings(max_results=7, chunk_size=100, chunk_overlap=5)
+    (tmp_path / "s.yaml").write_text("max_results: many")
+    with pytest.raises(ValueError):
+        Settings.load(str(tmp_path / "s.yaml"))
+    for size, overlap in ((10, 10), (10, 12), (10, -1)):
+        with pytest.raises(ValueError):
+            ingest.split_text("x" * 30, size, overlap)
+
     assert Settings.of({"max_results": 7}).max_results == 7
     with pytest.raises(ValueError):
         Settings.of({"nope": 1})

@@ -98,11 +98,37 @@ def test_streams(spark, tmp_path):
 
 
 def test_ingest_feedback(spark, tmp_path):
-    at(spark, [("page one",), ("  ",)], "text string").write.parquet(f"{tmp_path}/pages")
+    """A stream that is started again goes on with the summary that it had."""
     seen = []
-    pages = spark.readStream.schema("text string").parquet(f"{tmp_path}/pages")
-    live.ingest(pages, lambda df, summary: df, lambda df, n: seen.append(df.count()) or "summary", f"{tmp_path}/cp").awaitTermination()
-    assert seen == [1]
+
+    def run(name):
+        at(spark, [(f"page {name}",), ("  ",)], "text string").write.mode("append").parquet(f"{tmp_path}/pages")
+        pages = spark.readStream.schema("text string").parquet(f"{tmp_path}/pages")
+        live.ingest(pages, lambda df, summary: seen.append(summary) or df, lambda df, n: f"after {name}: {df.count()}", f"{tmp_path}/cp").awaitTermination()
+
+    run("one")
+    run("two")
+    assert seen == ["", "after one: 1"]
+
+
+def test_store_versions(spark, tmp_path):
+    from loomgraph.sources.snapshots import read_store, write_store
+
+    s, _ = store(spark)
+    write_store(s, f"{tmp_path}/v1")
+    back = read_store(spark, f"{tmp_path}/v1")
+    assert back.stats().first() == s.stats().first() and back.sessions.columns == s.sessions.columns
+    again = back.create(at(spark, [("d", "u", AT)], "session_id string, user_id string, at timestamp_ntz"))
+    assert again.sessions.agg(F.max_by("session_id", "seq")).first()[0] == "d" and again.sessions.select("seq").distinct().count() == 4
+
+
+def test_a_failing_retrieval_keeps_its_questions(spark):
+    rows = at(spark, [("analysis", "Nowak")], "course string, teacher string").withColumn("teacher", F.raise_error(F.lit("gone")).cast("string"))
+    plan = retrieval.Plan(r"teaches (\w+)", rows, "course", ["teacher"], [F.col("teacher")], "who teaches {key}")
+    asked = at(spark, [(1, "who teaches analysis"), (2, "joke")], "qid long, question string")
+    got = {r.qid: r for r in retrieval.answer_questions(asked, retrieval.keyword_guard("teaches"), retrieval.Guarded(plan)).collect()}
+    assert got[1].error.startswith("Query failed: ") and got[1].context == "[]" and got[2].error is None
+    assert got[1].metadata.query == got[1].error
 
 
 def test_extraction(spark):
@@ -120,5 +146,5 @@ def test_extraction(spark):
     replies = extraction.extracted_by_model(chunks, "{schema_context}: {context}", lambda c: F.when(F.contains(c, F.lit("no facts")), F.lit(None).cast("string")).otherwise(F.lit(" a | |b")))
     assert {r.doc_id: r.statements for r in replies.collect()} == {1: "a|b", 3: ""}
     same, report = extraction.load_blocks(g, [lambda g: g, lambda g: 1 / 0, lambda g: g])
-    assert same is g and [r.split()[0] for r in report] == ["OK", "ERROR", "OK"]
+    assert all(same.nodes[k] is g.nodes[k] for k in g.nodes) and set(same.edges) == set(g.edges) and [r.split()[0] for r in report] == ["OK", "ERROR", "OK"]
     assert extraction.choose({"b": F.upper}, ("a", "b")) is F.upper and extraction.choose({}, ("a",)) is None
