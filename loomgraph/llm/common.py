@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.scratch import discard, work_path, written
+
+__all__ = ["by_key", "carried", "counted", "discard", "hot_keys", "id_text", "map_texts", "slices", "table", "work_path", "written"]
+
+#: A key with more rows than this, and with more than one row in HOT_KEYS, is joined apart from the others.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 #: Texts are handled in slices of about this many bytes inside a task.
 SLICE_CHARS = 1_000_000
 
@@ -20,21 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; where that is unset (tests), below one of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As written, and the number of rows, which is counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
 
+def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """counts: each key and n, its number of rows, of so many in all. The keys with more than HOT_ROWS rows and more than one row in
+    HOT_KEYS; so they are HOT_KEYS at most, and may go through the driver and be broadcast. None if there are none."""
+    if rows <= HOT_ROWS:
+        return None
+    found = counts.where(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).select(key).toArrow()
+    return counts.sparkSession.createDataFrame(found) if len(found) else None
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def by_key(df: DataFrame, few: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Joins df to few, which has one row of bounded size for each key, so that no key of df, however frequent, gathers in one task.
+
+    The hot keys' rows of few are broadcast, and only the other rows of df are shuffled. df is read twice: let it be a table, or narrow.
+    No key of df is null. how: inner or left_semi.
+    """
+    if hot is None:
+        return df.join(few, key, how)
+    often = few.join(F.broadcast(hot), key, "left_semi")
+    return df.join(F.broadcast(often), key, how).unionByName(df.join(F.broadcast(hot), key, "left_anti").join(few, key, how))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

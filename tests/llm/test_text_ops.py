@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from loomgraph.llm import decontaminate, language, lines, near_dups, quality, queries, secrets
+from loomgraph.llm import common, decontaminate, language, lines, near_dups, quality, queries, secrets
 from loomgraph.llm.common import table
 from loomgraph.llm.tokens import vocabulary
 from loomgraph.llm.words import normal, shingles
@@ -220,8 +220,12 @@ def test_signatures_are_unbiased():
     assert np.isinf(s[2]).all() and np.isfinite(s[:2]).all()
 
 
+def plain_bags(docs):
+    return {i: collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w) for i, t in docs.items() for w in [normal(t or "").split()]}
+
+
 def plain_classes(docs):
-    bag = {i: collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w) for i, t in docs.items() for w in [normal(t or "").split()]}
+    bag = plain_bags(docs)
     parent = {i: i for i in docs}
 
     def root(i):
@@ -241,9 +245,10 @@ def edited(rnd, words, share):
     return " ".join(rnd.choice("qrst") * 4 if rnd.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, hot", [(256, 1000), (8, 5)])
+def test_near_duplicates(spark, monkeypatch, block, hot):
     monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rnd = random.Random(6)
     base = [[f"w{rnd.randint(0, 999)}" for _ in range(120)] for _ in range(3)]
     docs = {i: edited(rnd, base[i % 3], rnd.choice([0, 0.005, 0.02, 0.05, 0.1])) for i in range(90)}
@@ -252,6 +257,12 @@ def test_near_duplicates(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "doc_id long, text string, keys int").repartition(3)
     got = near_dups.near_duplicates(df).collect()
     assert len(got) == len(rows) and {r.doc_id: r.class_id for r in got} == plain_classes(docs)
+    bag = plain_bags(docs)
+    for r in got:
+        assert (r.n_links == 0) == (r.linked_to is None) == (r.similarity is None)
+        if r.n_links:
+            same = sum((bag[r.doc_id] & bag[r.linked_to]).values())
+            assert abs(r.similarity - same / (sum(bag[r.doc_id].values()) + sum(bag[r.linked_to].values()) - same)) < 1e-3 and r.similarity >= 0.8
     kept = near_dups.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_classes(docs).values()))
 
@@ -272,15 +283,39 @@ def test_near_duplicates_of_texts_under_one_id(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, id int").repartition(3)
     kept = sorted((r.doc_id, normal(r.text)) for r in near_dups.keep_one(df).collect())
     assert kept == sorted((i, normal(t)) for i, t in (rows[0], rows[1], rows[5]))
-    assert sorted(map(tuple, near_dups.near_duplicates(df).collect())) == [(7, 7)] * 3 + [(8, 7), (9, 7), (9, 9), (9, 9)]
+    assert sorted((r.doc_id, r.class_id) for r in near_dups.near_duplicates(df).collect()) == [(7, 7)] * 3 + [(8, 7), (9, 7), (9, 9), (9, 9)]
 
 
 def test_blocks_only_links_between_classes():
     import pyarrow as pa
 
-    rows = {"side": [2, 2, 2], "node": [1, 2, 3], "label": [1, 2, 3], "keys": [[5, 1], [5, 2], [6, 1]], "cells": [list(range(10))] * 3}
-    a, b = near_dups._block_links(pa.table(rows), 0.8)
-    assert sorted(zip(a, b)) and len(a) == 2
+    rows = {"side": [2, 2, 2], "node": [1, 2, 3], "label": [1, 2, 3], "keys": [[5, 1], [5, 2], [5, 1]], "cells": [list(range(10))] * 3}
+    a, b, alike = near_dups._block_links(5, pa.table(rows), 0.8)
+    assert sorted(zip(a, b)) == [(2, 1), (3, 1)] and alike == [1.0, 1.0]
+    rows = {k: v[:2] if k != "keys" else [[5, 1], [5, 1]] for k, v in rows.items()}
+    assert near_dups._block_links(1, pa.table(rows), 0.8)[0] == []  # they share an earlier bucket
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    df = spark.createDataFrame([(k, i) for k, n in ((1, 10), (2, 2), (3, 5), (4, 1)) for i in range(n)], "k int, i int")
+    few = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k int, v string")
+    counts = df.groupBy("k").count().withColumnRenamed("count", "n")
+    hot = common.hot_keys(counts, "k", 18)
+    assert sorted(r.k for r in hot.collect()) == [1, 3] and common.hot_keys(counts, "k", 10**9) is None
+    for h in (hot, None):
+        assert sorted(map(tuple, common.by_key(df, few, "k", h).collect())) == sorted([(1, i, "a") for i in range(10)] + [(2, 0, "b"), (2, 1, "b"), (4, 0, "d")])
+        assert common.by_key(df, few.select("k"), "k", h, "left_semi").count() == 13
+
+
+def test_no_work_tables_stay(spark):
+    from loomgraph.sources import scratch
+
+    before = set(scratch._MADE)
+    df = spark.createDataFrame([(i, f"some words of a text that is number {i // 2} here and there") for i in range(40)], "doc_id long, text string")
+    near_dups.near_duplicates(df).collect()
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0][:-24] for p in set(scratch._MADE) - before}
+    assert "near-members" not in left and "near-cells" not in left
 
 
 def test_pipeline(spark):
