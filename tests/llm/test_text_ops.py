@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import collections
+import functools
 import glob
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -137,30 +139,75 @@ def plain_secrets(t):
 
 
 def test_secret_patterns(spark):
-    ranks, rnd = secrets.words_by_rank(vocabulary("word_bpe_49k.json")), random.Random(5)
+    guesses, rnd = secrets.Guesses(secrets.words_by_rank(vocabulary("word_bpe_49k.json"))), random.Random(5)
     parts = ["token", "ToKen", "ſecret", "api_key", "apiKey", "K", ":", "=", " ", '"', "'", "AKIA", "A1B2C3D4E5F6G7H8", "ab12", "0123456789abcdef", "é😀", "\n", "x.", "Password", "==", "-_/+"]
     for _ in range(5000):
         t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
-        assert [s[:3] for s in secrets.find(t, ranks) if s[0] != "guess"] == plain_secrets(t), t
+        assert [s[:3] for s in secrets.find(t, guesses) if s[0] != "guess"] == plain_secrets(t), t
     rows = {r.doc_id: r for r in secrets.op2_secrets(spark, SF).collect()}
     for d in table(spark, SF, "documents").collect():
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_secrets(d.text))
         assert rows[d.doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def plain_cost(ranks):
+    """The least over every segmentation, each segment by every kind, from the definition."""
+    log, two = math.log10, math.log10(2)
+    spot = {c: (r, i) for rows in secrets.ROWS for r, row in enumerate(rows) for i, c in enumerate(row)}
+
+    @functools.cache
+    def kind(t):
+        costs = [sum(log(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000) for c in t)]
+        low = t.lower()
+        if low in ranks:
+            costs.append(log(ranks[low]) + (0 if t == low else two if t in (low.upper(), low.capitalize()) else sum(map(str.isupper, t)) * two))
+        elif (plain := low.translate(secrets.LEET)) in ranks:
+            costs.append(log(ranks[plain]) + sum(a != b for a, b in zip(low, plain)) * two + (0 if t == low else two if t in (low.upper(), low.capitalize()) else sum(map(str.isupper, t)) * two))
+        if m := secrets.DATE.fullmatch(t):
+            costs.append(log(21900 if len(t) > 4 else 120) + (log(4) if m[1] or m[2] else 0))
+        if len(t) > 2 and all(c in spot for c in t):
+            ways = [(spot[b][0] - spot[a][0], spot[b][1] - spot[a][1]) for a, b in itertools.pairwise(t)]
+            if all(w in secrets.NEAR for w in ways):
+                costs.append(log(94) + log(len(t)) + log(4) * (1 + sum(a != b for a, b in itertools.pairwise(ways))))
+        return min(costs + [whole(t[:p]) + log(len(t) // p) for p in range(1, len(t)) if t == t[:p] * (len(t) // p)])
+
+    @functools.cache
+    def whole(t):
+        cuts = (c for k in range(len(t)) for c in itertools.combinations(range(1, len(t)), k))
+        return min(sum(kind(t[a:b]) for a, b in zip((0, *c), (*c, len(t)))) + two * len(c) for c in cuts)
+
+    return whole
+
+
+def test_guess_costs_against_all_segmentations():
+    ranks = {"the": 1, "them": 40, "haha": 300, "pass": 7, "word": 9, "password": 2, "sun": 30, "sunset": 500, "emu": 90}
+    plain, guesses, rnd = plain_cost(ranks), secrets.Guesses(ranks), random.Random(1)
+    parts = [["a", "b"], ["h", "a", "ha", "haha"], ["q", "w", "e", "r", "t", "y", "f"], ["1", "9", "2019", "12", "-", "/", "3", "1999-1-2"], ["the", "Them", "em", "P4ss", "w0rd", "WORD", "x", "é"], ["sun", "set", "SUN", "aaZ9k", "!"]]
+    for n in range(900):
+        own = rnd.choice([*parts, sum(parts, [])])
+        t = ""
+        while len(t) < rnd.randint(0, 12):
+            t += rnd.choice(own)
+        t = t[:11] if n % 10 else t[:12]
+        if t:
+            assert abs(guesses.cost(t) - plain(t)) < 1e-9, t
+    assert plain("aaaaaaaaaaaa") == guesses.cost("aaaaaaaaaaaa")
+
+
 def test_guess_costs(spark):
-    ranks = secrets.words_by_rank(vocabulary("word_bpe_49k.json"))
-    cost = lambda v: secrets.guess_cost(v, ranks)
+    guesses = secrets.Guesses(secrets.words_by_rank(vocabulary("word_bpe_49k.json")))
+    cost = guesses.cost
     assert cost("") == 0
-    for weak in ("password", "Passw0rd1", "qwertyuiop", "aaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabc", "summer2019", "12/05/1999", "asdfghjkl"):
-        assert cost(weak) < secrets.MIN_COST
-    for strong in ("x9$Kq!2mZp", "24be64439e3e49cf46b2d7c9", "Tr0ub4dor&3xK"):
-        assert cost(strong) > secrets.MIN_COST
+    for weak in ("password", "Passw0rd1", "qwertyuiop", "aaaaaaaaaaaaaaaaaaaa", "abcabcabcabcabc", "summer2019", "12/05/1999", "asdfghjkl", "aaZ9kaaZ9kaaZ9k", "summersummersummersummer", "monkeybananasmonkeybananas", "*" * 5000):
+        assert cost(weak) < secrets.MIN_COST, weak
+    for strong in ("x9$Kq!2mZp", "24be64439e3e49cf46b2d7c9", "Tr0ub4dor&3xK", hashlib.sha256(b"x").hexdigest() * 2, "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(99))):
+        assert cost(strong) > secrets.MIN_COST, strong
+    assert cost("monkeybananas" * 2) == cost("monkeybananas") + math.log10(2)
     assert cost("qwertyqwerty") < cost("qwertyuhbnml")
-    found = secrets.find('pwd = "x9$Kq!2mZp w", password: summer2019, auth: Zk8!pQ2#vL', ranks)
+    found = secrets.find('pwd = "x9$Kq!2mZp w", password: summer2019, auth: Zk8!pQ2#vL', guesses)
     assert [s[:3] for s in found] == [("guess", 7, 19), ("guess", 50, 60)]
-    docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "token=" + "Qz7" * 40_000, 1)], "doc_id long, text string, spans int")
-    assert sorted(len(r.spans) for r in secrets.scan(docs, vocabulary("word_bpe_49k.json")).collect()) == [0, 0, 1]
+    docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "token=" + "Qz7" * 40_000, 1), (2, "secret: " + "ab1" * 300_000, 1)], "doc_id long, text string, spans int")
+    assert sorted(len(r.spans) for r in secrets.scan(docs, vocabulary("word_bpe_49k.json")).collect()) == [0, 0, 1, 2]  # none by its cost
     assert secrets.scan(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
