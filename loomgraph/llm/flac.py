@@ -9,13 +9,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import id_text, map_texts, table
+from loomgraph.llm.common import id_text, map_texts, table, work_path
 
 BLOCK, RATE, PAD = 1024, 8000, 64
 #: Order and bits of the linear predictor's coefficients; partitions of a frame's residuals as a power of two; Rice parameters tried.
@@ -273,32 +274,49 @@ def decode(streams: list[bytes]) -> list[bytes]:
     Reads what this module's encoder writes: 8-bit mono, frame heads as frame_head() makes them, and a seek point for each frame. Other
     valid streams (wasted bits, unencoded residuals, other frame heads, fewer seek points) raise ValueError, too.
     """
-    base, starts, ends, heads, lengths, heads_of = 0, [], [], [], [], []
-    for media in streams:
-        total, md5, points, at = _stream_head(media)
-        heads_of.append((total, md5, len(points)))
-        for number, (_, offset, n) in enumerate(points):
+    heads = [_stream_head(m) for m in streams]
+    out = _frames(streams, heads, [(0, len(points)) for _, _, points, _ in heads])
+    for own, (_, md5, _, _) in zip(out, heads):
+        if hashlib.md5(own.tobytes()).digest() != md5:
+            raise ValueError("a stream's MD5 is wrong")
+    return [(own ^ 0x80).tobytes() for own in out]
+
+
+def read_samples(streams: list[bytes], starts: list[int], counts: list[int]) -> list[bytes]:
+    """So many bytes of each stream's payload from a sample offset on (fewer where it ends before). The seek table leads to the frames
+    that hold them; only those are decoded, and their checksums verified."""
+    heads, picks = [_stream_head(m) for m in streams], []
+    for (_, _, points, _), start, n in zip(heads, starts, counts):
+        firsts = [p[0] for p in points]
+        picks.append((max(0, bisect_right(firsts, start) - 1), bisect_left(firsts, start + n)) if n > 0 else (0, 0))
+    out = []
+    for own, (_, _, points, _), (i, _), start, n in zip(_frames(streams, heads, picks), heads, picks, starts, counts):
+        skip = start - points[i][0]
+        out.append((own[skip : skip + max(n, 0)] ^ 0x80).tobytes())
+    return out
+
+
+def _frames(streams: list[bytes], stream_heads: list[tuple], picks: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The samples of each stream's frames from one number to another (exclusive), as signed bytes in unsigned ones."""
+    base, starts, ends, heads, lengths, totals = 0, [], [], [], [], []
+    for media, (_, _, points, at), (i, j) in zip(streams, stream_heads, picks):
+        for number in range(i, j):
+            _, offset, n = points[number]
             starts.append(base + at + offset)
             ends.append(base + at + points[number + 1][1] if number + 1 < len(points) else base + len(media))
             heads.append(_check_head(media, at + offset, n, number))
             lengths.append(n)
+        totals.append(sum(p[2] for p in points[i:j]))
         base += len(media)
-    if not streams:
-        return []
+    if not lengths:
+        return [np.zeros(0, np.uint8) for _ in streams]
     data = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
     start, end, head, n = (np.array(v, np.int64) for v in (starts, ends, heads, lengths))
     sums = crc16(data, start, end - start - 2)
     if not (sums == (data[end - 2].astype(np.uint16) << 8 | data[end - 1])).all():
         raise ValueError("a frame's checksum is wrong")
-    samples = _decode_frames(data, start + head, n)
-    whole, out, at = (samples & 0xFF).astype(np.uint8), [], 0
-    for total, md5, _ in heads_of:
-        own = whole[at : at + total]
-        if hashlib.md5(own.tobytes()).digest() != md5:
-            raise ValueError("a stream's MD5 is wrong")
-        out.append((own ^ 0x80).tobytes())
-        at += total
-    return out
+    whole = (_decode_frames(data, start + head, n) & 0xFF).astype(np.uint8)
+    return np.split(whole, np.cumsum(totals)[:-1])
 
 
 def _decode_frames(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -442,15 +460,23 @@ def feature(payload: bytes) -> str:
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Sizes, digests and features of a media table's rows, from the samples that its bytes decode to."""
+    """Sizes, digests and features of a media table's rows, from the samples that its bytes decode to; the last samples are found by the
+    seek table."""
 
     def one(ids, sizes, streams):
         payloads = decode(streams)
         sha = [hashlib.sha256(p).hexdigest() for p in payloads]
-        return ids, sizes, [len(p) for p in payloads], sha, [zlib.crc32(p[-64:]) for p in payloads], [len(m) for m in streams], [hashlib.sha256(m).hexdigest() for m in streams], [feature(p) for p in payloads]
+        tails = read_samples(streams, [len(p) - PAD for p in payloads], [PAD] * len(payloads))
+        return ids, sizes, [len(p) for p in payloads], sha, [zlib.crc32(t) for t in tails], [len(m) for m in streams], [hashlib.sha256(m).hexdigest() for m in streams], [feature(p) for p in payloads]
 
     return _map_media(media, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", one)
 
 
+def write_media(media: DataFrame, path: str) -> DataFrame:
+    """Stores a media table below path, streams as they are, and reads it back."""
+    media.write.option("compression", "uncompressed").parquet(path)
+    return media.sparkSession.read.schema(MEDIA).parquet(path)
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_media(encode_flac(table(spark, sf_dir, "documents")))
+    return describe_media(write_media(encode_flac(table(spark, sf_dir, "documents")), work_path(spark, "media")))

@@ -9,7 +9,7 @@ import struct
 import pytest
 import zstandard
 
-from loomgraph.llm import flac, warc
+from loomgraph.llm import common, flac, warc
 from loomgraph.llm.common import table, work_path
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +90,23 @@ def test_streams_against_a_plain_reader():
     assert {0, 1} <= kinds and any(k >= 32 for k in kinds)  # constant, verbatim and linear subframes occur
 
 
+def test_samples_from_any_offset():
+    rnd, made = random.Random(3), flac.encode(payloads())
+    for m, p in zip(made, payloads()):
+        for _ in range(20):
+            start = rnd.randrange(len(p))
+            n = rnd.choice([0, 1, 64, 1024, 1500, len(p)])
+            assert flac.read_samples([m], [start], [n]) == [p[start : start + n]]
+    starts = [rnd.randrange(len(p)) for p in payloads()]
+    assert flac.read_samples(made, starts, [700] * len(made)) == [p[s : s + 700] for p, s in zip(payloads(), starts)]
+    many = made[6]
+    _, _, points, at = flac._stream_head(many)
+    cut = many[: at + points[5][1]] + bytes(points[6][1] - points[5][1]) + many[at + points[6][1] :]
+    assert flac.read_samples([cut], [6 * 1024], [10]) == [payloads()[6][6144:6154]]  # a damaged frame elsewhere doesn't matter
+    with pytest.raises(ValueError):
+        flac.read_samples([cut], [5 * 1024], [10])
+
+
 def test_long_unary_runs():
     quiet = bytes([128] * 1000 + [255] + [128] * 23)
     assert flac.decode(flac.encode([quiet])) == [quiet]
@@ -118,6 +135,8 @@ def test_media_query(spark):
     blocks = flac.decode_blocks(flac.encode_flac(docs)).where("doc_id is null").orderBy("block").collect()
     assert [r.sample_offset for r in blocks] == [0, 1024, 2048, 3072, 4096, 5120] and b"".join(r.pcm for r in blocks)[:5400] == text
     assert flac.describe_media(flac.encode_flac(docs.limit(0))).count() == 0
+    stored = flac.write_media(flac.encode_flac(docs), work_path(spark, "media"))
+    assert stored.count() == 4 and set(map(str, flac.describe_media(stored).collect())) == set(map(str, rows.values()))
     real = {r.doc_id: r for r in flac.op10_flac(spark, SF).collect()}
     for d in table(spark, SF, "documents").collect():
         assert real[d.doc_id].payload_sha256 == hashlib.sha256(flac.payload_of(d.text)).hexdigest()
@@ -128,13 +147,19 @@ def pages(spark):
     return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
 
 
-def test_archives(spark, monkeypatch):
+@pytest.mark.parametrize("repeated", [300_000, 0])
+def test_archives(spark, monkeypatch, repeated):
     monkeypatch.setattr(warc, "ARCHIVE", 500)
+    monkeypatch.setattr(warc, "REPEATED", repeated)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     path = work_path(spark, "warc")
     warc.write_archives(pages(spark), path)
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload and len(r.payload)) for r in warc.read_archives(spark, path).collect()), key=str)
     want = [(1, "revisit", 2, 4, None), (2, "response", None, 4, 4), (None, "revisit", 2, 4, None), (5, "revisit", 6, 0, None), (6, "response", None, 0, bytearray()), (6, "response", None, 0, bytearray()), (None, "response", None, 4, 4), (9, "response", None, 400_000, 400_000)]
     assert [tuple(x or 0 if i == 4 else x for i, x in enumerate(r)) for r in got] == sorted([tuple(0 if i == 4 and not x else x for i, x in enumerate(r)) for r in want], key=str)
+    records = warc.read_archives(spark, path).collect()
+    by_id = {r.record_id: r for r in records}
+    assert len(by_id) == 8 and all(by_id[r.refers_to_record].page_id == r.refers_to and by_id[r.refers_to_record].record_type == "response" for r in records if r.refers_to)
     empty = work_path(spark, "warc")
     warc.write_archives(pages(spark).limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
