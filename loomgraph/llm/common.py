@@ -44,12 +44,13 @@ def by_key(df: DataFrame, few: DataFrame, key: str, hot: DataFrame | None, how:
     """Joins df to few, which has one row of bounded size for each key, so that no key of df, however frequent, gathers in one task.
 
     The hot keys' rows of few are broadcast, and only the other rows of df are shuffled. df is read twice: let it be a table, or narrow.
-    No key of df is null. how: inner or left_semi.
+    No key of df is null. how: inner, left or left_semi.
     """
     if hot is None:
         return df.join(few, key, how)
     often = few.join(F.broadcast(hot), key, "left_semi")
-    return df.join(F.broadcast(often), key, how).unionByName(df.join(F.broadcast(hot), key, "left_anti").join(few, key, how))
+    frequent = df.join(F.broadcast(hot), key, "left_semi") if how == "left" else df
+    return frequent.join(F.broadcast(often), key, how).unionByName(df.join(F.broadcast(hot), key, "left_anti").join(few, key, how))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

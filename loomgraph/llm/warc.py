@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, work_path, written
+from loomgraph.llm.common import by_key, counted, hot_keys, table, work_path
 
 #: Pages that the dictionary is trained on, about, and how much of each (records are always whole); its bytes at most; bytes of records
 #: after which an archive is closed.
@@ -27,24 +27,27 @@ SAMPLE, SAMPLE_CHARS, DICTIONARY, ARCHIVE = 200, 20_000, 32_768, 8_000_000
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVES = "archive string, records long, image binary"
-RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_record string"
+#: Repeated payloads whose digests are broadcast, at about 100 bytes; more are joined by digest, very frequent ones apart.
+REPEATED = 300_000
 
 
 def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(page: int | None, number: int) -> str:
+    """number tells apart rows of one page id, or of none."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{number}')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str, number: int = 0, refers_to_number: int = 0) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     heads = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page)}",
+        f"WARC-Record-ID: {record_id(page, number)}",
         f"WARC-Date: {date}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
@@ -56,7 +59,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     if page is not None:
         heads.append(f"Page-ID: {page}")
     if revisit:
-        heads += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"Refers-To-Page-ID: {refers_to}"]
+        heads += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_to_number)}", f"Refers-To-Page-ID: {refers_to}"]
     return "\r\n".join(heads).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -102,6 +105,8 @@ def parse_record(data: bytes) -> dict:
         "record_type": heads["warc-type"],
         "refers_to": int(heads["refers-to-page-id"]) if revisit else None,
         "payload": None if revisit else payload,
+        "record_id": heads["warc-record-id"],
+        "refers_to_record": heads.get("warc-refers-to"),
     }
 
 
@@ -148,18 +153,24 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     """A record for each row, payload the html in UTF-8 (null: empty).
 
     Of equal payloads of at least min_bytes, the one with the largest id is a response, and the others revisit it; rows that share
-    that largest id are all responses, and so are rows with null ids if there is no other. An empty table gives no archive. Only
-    digests are grouped, with partial sums, and only those of repeated payloads are joined back.
+    that largest id are all responses, and so are rows with null ids if there is no other. An empty table gives no archive. Every record
+    has an id of its own, by the row's number in the table, which two reads of the same files give alike.
+
+    Only digests are grouped, with partial sums. Those of repeated payloads are broadcast, up to REPEATED; beyond, pages are shuffled once
+    by digest to meet them, and those of a very frequent payload stay where they are.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8"))))
+    rows = rows.withColumns({"digest": F.unhex(F.sha1(F.encode("html", "utf-8"))), "number": F.monotonically_increasing_id()})
     share = min(1.0, sample / max(1, pages.count()))
     chosen = rows.where(F.shiftrightunsigned(F.xxhash64("page_id", "digest"), 11) / float(1 << 53) < share)
     first = sorted(chosen.select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(4 * sample).collect(), key=str)
     dictionary = train_dictionary([record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass"), None, False, date) for r in first])
-    same = rows.where(F.octet_length("html") >= min_bytes).groupBy(F.col("digest").alias("payload")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    same = written(same.where("n > 1 and keeper is not null"), "payloads")
-    marked = rows.join(same, F.col("digest") == F.col("payload"), "left").select("page_id", "url", "html", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("refers_to"))
+    same = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max(F.struct("page_id", "number")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+    same, n = counted(same.where("n > 1 and keeper.page_id is not null"), "payloads")
+    keepers = same.select("digest", "keeper")
+    marked = rows.join(F.broadcast(keepers), "digest", "left") if n <= REPEATED else by_key(rows, keepers, "digest", hot_keys(same, "digest", same.agg(F.sum("n")).first()[0]), "left")
+    revisit = ~F.col("keeper.page_id").eqNullSafe(F.col("page_id"))
+    marked = marked.select("page_id", "url", "html", "number", F.when(revisit, F.col("keeper.page_id")).alias("refers_to"), F.when(revisit, F.col("keeper.number")).alias("keeper"))
 
     def run(batches):
         coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True) if dictionary else zstandard.ZstdCompressor(level=3, write_checksum=True)
@@ -171,8 +182,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(frames) - 1], pa.int64()), pa.array([b"".join(frames)], pa.binary())], ["archive", "records", "image"])
 
         for b in batches:
-            for page, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns)):
-                made = record(page, url, html.encode("utf-8", "surrogatepass"), refers_to, refers_to is not None, date)
+            for page, url, html, number, refers_to, keeper in zip(*(c.to_pylist() for c in b.columns)):
+                made = record(page, url, html.encode("utf-8", "surrogatepass"), refers_to, refers_to is not None, date, number, keeper)
                 frames.append(coder.compress(made))
                 held += len(made)
                 if held >= ARCHIVE:
@@ -196,7 +207,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     for r in found:
                         r["payload"] = None
                 for i in range(0, len(found), 1000):
-                    yield pa.RecordBatch.from_pylist(found[i : i + 1000], schema=pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]))))
+                    yield pa.RecordBatch.from_pylist(found[i : i + 1000], schema=pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]))))
 
     return spark.read.schema(ARCHIVES).parquet(path).select("image").mapInArrow(run, RESULT)
 
