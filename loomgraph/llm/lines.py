@@ -2,7 +2,8 @@
 
 Each shard holds, for its lines' hashes, a BBHash function (levels of bit arrays; a key's index is the rank of its bit), and arrays in
 its order: a 64-bit fingerprint from a second hash, the number of documents, and the document that keeps the line. Documents hash
-their own lines and probe the arrays; line texts are neither shuffled nor joined.
+their own lines and probe the arrays; line texts are not joined. Arrays that fit into a task go to the documents; of larger ones a shard
+meets the hashes of its lines, and whole documents are shuffled once, by row, to meet the numbers of the lines that they lose.
 """
 
 from __future__ import annotations
@@ -191,7 +192,8 @@ def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     no such line. Every row stays. With carry, a column row holds all columns of the input.
 
     Arrays of up to held_bytes, by the count of repeated lines, are held whole by each task; of a larger index each task holds one
-    shard, and lines' hashes (never texts) go to the shards in salted parts.
+    shard, and lines' hashes (never texts) go to the shards in salted parts. Lines are hashed together for about SLICE_CHARS bytes of
+    texts, at some 30 bytes of memory for one; a longer text is hashed whole.
     """
     hashes = line_hashes(id_text(df, id_col, text_col), min_chars)
     lines = written(repeated_lines(hashes), "lines")
@@ -199,7 +201,7 @@ def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     shards = max(1, -(-n // SHARD_LINES))
     docs = carried(df, id_col, text_col) if carry else id_text(df, id_col, text_col)
     if n * LINE_BYTES > held_bytes:
-        return _routed(docs, hashes, written(build_shards(lines, shards), "shards"), shards, min_chars)
+        return _routed(docs, written(build_shards(lines, shards), "shards"), shards, min_chars)
     spark = df.sparkSession
     name = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast([(r.shard, bytes(r.image)) for r in build_shards(lines, shards).collect()])
@@ -226,19 +228,28 @@ def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     return map_texts(docs, RESULT, make)
 
 
-def _routed(docs: DataFrame, hashes: DataFrame, images: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """Probes go to the shards, and each document gets back the hashes of the lines that it loses."""
+def _routed(docs: DataFrame, images: DataFrame, shards: int, min_chars: int) -> DataFrame:
+    """Lines' hashes go to the shards with their row and line numbers, and each row gets back the numbers of the lines that it loses.
 
-    def number(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(b.column("h").to_numpy(zero_copy_only=False), shards)), *b.columns], ["shard", *b.schema.names])
+    Rows are numbered and written, so rows with equal or null ids are rows of their own, and no id gathers many."""
+    numbered = written(docs.withColumn("number", F.monotonically_increasing_id()), "numbered")
+
+    def make():
+        def one(numbers, texts, ids):
+            lines = Lines(texts, min_chars)
+            line = lines.at - (np.cumsum(lines.counts) - lines.counts)[lines.of]
+            of = lines.of.tolist()
+            return [numbers[i] for i in of], shard_of(lines.h, shards), lines.h, lines.f, [ids[i] for i in of], line
 
-    probes = written(hashes.mapInArrow(number, "shard long, " + LINES), "probes")
+        return one
+
+    schema = "number long, shard long, h long, f long, doc_id long, line int"
+    probes = written(map_texts(numbered.select("number", "text", "doc_id"), schema, make), "probes")
     most = probes.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     salts = max(1, -(-most // PROBES))
-    salted = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts)))
+    salted = probes.withColumn("salt", F.pmod(F.xxhash64("number", "line"), F.lit(salts)))
     spread = images.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("f", pa.int64())])
+    out = pa.schema([("number", pa.int64()), ("line", pa.int32())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -247,24 +258,21 @@ def _routed(docs: DataFrame, hashes: DataFrame, images: DataFrame, shards: int,
         found, owner = shard.owners(left["h"].to_numpy(), left["f"].to_numpy())
         ids = left["doc_id"].combine_chunks()
         lost = found & (ids.is_null().to_numpy(zero_copy_only=False) | (ids.fill_null(0).to_numpy() != owner))
-        return left.select(["doc_id", "h", "f"]).filter(pa.array(lost)).cast(out)
+        return left.select(["number", "line"]).filter(pa.array(lost)).cast(out)
 
-    lost = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(run, "doc_id long, h long, f long")
-    lost = lost.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("h", "f")).alias("lost")).withColumnRenamed("doc_id", "of")
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    joined = joined.select("doc_id", "text", "lost", *(["row"] if "row" in docs.columns else []))
+    lost = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(run, "number long, line int")
+    lost = lost.groupBy("number").agg(F.collect_list("line").alias("lost"))
+    joined = numbered.join(lost, "number", "left").select("doc_id", "text", "lost", *(["row"] if "row" in docs.columns else []))
 
-    def make():
+    def drop():
         def one(ids, texts, lost):
-            lines = Lines(texts, min_chars)
-            gone = {(i, x["h"], x["f"]) for i, own in enumerate(lost) for x in own or ()}
-            drop = np.array([k in gone for k in zip(lines.of.tolist(), lines.h.tolist(), lines.f.tolist())], bool)
-            dropped, kept = _without(texts, lines, drop)
-            return ids, lines.counts, dropped, kept
+            split = [t.split("\n") for t in texts]
+            gone = [set(own or ()) for own in lost]
+            return ids, [len(x) for x in split], [len(g) for g in gone], ["\n".join([x for i, x in enumerate(lines) if i not in g]) if g else t for t, lines, g in zip(texts, split, gone)]
 
         return one
 
-    return map_texts(joined, RESULT, make)
+    return map_texts(joined, RESULT, drop)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,17 @@ def test_line_dedup(spark, held):
     assert carried.columns == odd_docs(spark).columns and carried.count() == 8
 
 
+def test_line_dedup_by_shards_against_sql(spark, monkeypatch):
+    """The way that a large corpus takes: several shards, salted probes, rows by number."""
+    monkeypatch.setattr(lines, "SHARD_LINES", 300)
+    monkeypatch.setattr(lines, "PROBES", 500)
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = lines.dedup_lines(table(spark, sf, "documents"), held_bytes=0).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got) == sorted(con.execute(lines.ORACLE).fetchall())
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 20_000)
     h = lines.PerfectHash(keys)
