@@ -15,7 +15,7 @@ from loomgraph.sources.scratch import discard, work_path, written
 __all__ = ["by_key", "carried", "counted", "discard", "hot_keys", "id_text", "map_texts", "slices", "table", "work_path", "written"]
 
 #: A key with more rows than this, and with more than one row in HOT_KEYS, is joined apart from the others.
-HOT_ROWS, HOT_KEYS = 1000, 10_000
+HOT_ROWS, HOT_KEYS = 250, 10_000
 #: Texts are handled in slices of about this many bytes inside a task.
 SLICE_CHARS = 1_000_000
 
