@@ -1,11 +1,12 @@
 """Language mixtures of documents: expectation-maximisation over words, whose likelihoods come from n-grams of bytes.
 
-The languages of a document are chosen by penalised likelihood: from all of them, the one with the least share is left out as long
-as that doesn't cost more likelihood than a parameter is worth.
+The languages of a document are chosen by penalised likelihood: those with less than half a word go first, and of the rest the one with
+the least share is left out as long as that doesn't cost more likelihood than a parameter is worth. Fits go on until shares stand still.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,11 @@ from loomgraph.llm.words import normal
 
 #: Labelled documents of each language that the n-gram tables are counted on, about; cells of a table for each length of n-gram.
 SAMPLE, CELLS, LENGTHS = 4000, 1 << 15, (3, 4)
-#: A word's n-grams overlap, so their evidence counts in part; steps of each fit; what a language's parameter costs, times log(words).
-TEMPER, STEPS, PENALTY = 0.5, 6, 1.0
+#: A word's n-grams overlap, so their evidence counts in part; what a language's parameter costs, times log(words). A fit ends when no
+#: share moves by more than STILL, or after STEPS.
+TEMPER, PENALTY, STILL, STEPS = 0.5, 1.0, 1e-3, 100
+#: Scripts without blanks between words (Thai to Burmese, kana, Han): their runs are cut into words of four characters.
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{4})")
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, languages array<struct<lang: string, share: double>>, has_letter boolean"
 
@@ -51,8 +55,8 @@ def grams(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _bytes(texts: list[str]) -> list[bytes]:
-    return [normal(t.lower()) for t in texts]
+def _bytes(text: str) -> bytes:
+    return normal(text.lower() if text.isascii() else UNSPACED.sub(r" \1 ", text.lower()))
 
 
 def count_grams(df: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def count_grams(df: DataFrame) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = sums.setdefault(lang, np.zeros(CELLS * len(LENGTHS), np.int64))
-                for cells, _ in grams(np.frombuffer(b" " + normal((text or "").lower()), np.uint8)):
+                for cells, _ in grams(np.frombuffer(b" " + _bytes(text or ""), np.uint8)):
                     own += np.bincount(cells, minlength=len(own))
         for lang, own in sums.items():
             at = np.flatnonzero(own)
@@ -91,18 +95,29 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
 
 
 def _mix(e: np.ndarray, first: np.ndarray, of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of each document's languages and its log likelihood; start: shares to begin with, where 0 stays 0."""
-    share, n = start, np.diff(np.concatenate([first, [len(of)]]))[:, None]
-    for _ in range(STEPS):
-        r = e * share[of]
+    """Shares of each document's languages and its log likelihood; start: shares to begin with, where 0 stays 0. Documents whose shares
+    stand still drop out, and only the words of the others go on."""
+    share, n = start.copy(), np.diff(np.concatenate([first, [len(of)]]))
+    going, words, begin, owner = np.arange(len(n)), e, first, of
+    for step in range(STEPS):
+        old = share[going]
+        r = words * old[owner]
         r /= r.sum(1, keepdims=True)
-        share = np.add.reduceat(r, first, axis=0) / n
+        share[going] = new = np.add.reduceat(r, begin, axis=0) / n[going, None]
+        moving = np.abs(new - old).max(1) > STILL
+        if not moving.any():
+            break
+        if step % 4 == 3 and not moving.all():
+            words = words[moving[owner]]
+            going = going[moving]
+            begin = np.cumsum(n[going]) - n[going]
+            owner = np.repeat(np.arange(len(going)), n[going])
     return share, np.add.reduceat(np.log((e * share[of]).sum(1)), first)
 
 
 def mixtures(texts: list[str], model: Model) -> np.ndarray:
     """The shares of languages in each text; rows of texts without words are 0."""
-    coded = _bytes(texts)
+    coded = [_bytes(t) for t in texts]
     out = np.zeros((len(texts), len(model.languages)))
     data = np.frombuffer(b" " + b"".join(coded), np.uint8)
     ends = np.flatnonzero(data == 32)[1:]
@@ -122,11 +137,15 @@ def mixtures(texts: list[str], model: Model) -> np.ndarray:
     e = np.exp(np.maximum(TEMPER * (total - total.max(1, keepdims=True)), -60)).astype(np.float64)
     share, likely = _mix(e, first, of, np.full((len(some), e.shape[1]), 1 / e.shape[1]))
     cost = PENALTY * np.log(counts[some] + 1)
+    share, likely = _without(share * counts[some][:, None] < 0.5, e, first, of, share, likely)
     going = np.arange(len(some))
     for _ in range(e.shape[1] - 1):
+        going = going[(share[going] > 0).sum(1) > 1]
+        if not len(going):
+            break
         positive = np.where(share[going] > 0, share[going], np.inf)
         fewer = share[going].copy()
-        fewer[np.arange(len(going)), positive.argmin(1)] = 0
+        fewer[np.arange(len(going)), e.shape[1] - 1 - positive[:, ::-1].argmin(1)] = 0  # of equal ones the last by name
         fewer += np.where((share[going] > 0) & (fewer > 0), 1e-6, 0)
         fewer /= fewer.sum(1, keepdims=True)
         rows = np.isin(of, going) if len(going) < len(some) else slice(None)
@@ -135,12 +154,22 @@ def mixtures(texts: list[str], model: Model) -> np.ndarray:
         better = l2 + cost[going] >= likely[going]
         share[going[better]], likely[going[better]] = own[better], l2[better]
         going = going[better]
-        if not len(going):
-            break
     out[some] = share
     return out
 
 
+def _without(gone: np.ndarray, e: np.ndarray, first: np.ndarray, of: np.ndarray, share: np.ndarray, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and likelihoods of the documents without the languages marked, of which a document has others."""
+    rows = np.flatnonzero((gone & (share > 0)).any(1) & ~gone.all(1))
+    if len(rows):
+        fewer = np.where(gone[rows], 0, share[rows])
+        n = np.diff(np.concatenate([first, [len(of)]]))[rows]
+        own = _mix(e[np.isin(of, rows)], np.cumsum(n) - n, np.repeat(np.arange(len(rows)), n), fewer / fewer.sum(1, keepdims=True))
+        share, likely = share.copy(), likely.copy()
+        share[rows], likely[rows] = own
+    return share, likely
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The language with the largest share (the first by name of equal ones), that share, and all languages of the chosen set.
 

@@ -239,6 +239,91 @@ def test_languages(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def plain_mixture(text, model):
+    """Expectation-maximisation and the choice of languages in plain loops."""
+    words, n_lang = language._bytes(text).split(), len(model.languages)
+    if not words:
+        return [0.0] * n_lang
+    logs = []
+    for w in words:
+        own = [0.0] * n_lang
+        for cells, _ in language.grams(np.frombuffer(b" " + w + b" ", np.uint8)):
+            for c in cells.tolist():
+                own = [a + float(b) for a, b in zip(own, model.logs[c])]
+        best = max(own)
+        logs.append([math.exp(max(language.TEMPER * (v - best), -60)) for v in own])
+
+    def fitted(share):
+        for _ in range(language.STEPS):
+            new = [0.0] * n_lang
+            for e in logs:
+                total = sum(a * b for a, b in zip(e, share))
+                new = [x + a * b / total / len(logs) for x, a, b in zip(new, e, share)]
+            moved, share = max(abs(a - b) for a, b in zip(new, share)), new
+            if moved <= language.STILL:
+                break
+        return share, sum(math.log(sum(a * b for a, b in zip(e, share))) for e in logs)
+
+    share, likely = fitted([1 / n_lang] * n_lang)
+    kept = [s if s * len(words) >= 0.5 else 0.0 for s in share]
+    if sum(kept) and kept != share:
+        share, likely = fitted([s / sum(kept) for s in kept])
+    while sum(s > 0 for s in share) > 1:
+        least = -min((s, -i) for i, s in enumerate(share) if s > 0)[1]
+        fewer = [0.0 if i == least else s + 1e-6 if s > 0 else 0.0 for i, s in enumerate(share)]
+        own, less = fitted([s / sum(fewer) for s in fewer])
+        if less + language.PENALTY * math.log(len(words) + 1) < likely:
+            break
+        share, likely = own, less
+    return share
+
+
+def test_mixtures_against_plain_loops():
+    rnd = random.Random(11)
+    rng = np.random.default_rng(11)
+    counts = rng.integers(0, 60, (language.CELLS * 2, 3)) * (rng.random((language.CELLS * 2, 3)) < 0.4) + 0.3
+    model = language.Model(("a", "b", "c"), np.log(counts / counts.sum(0)).astype(np.float32))
+    texts = ["", "!", "one", *("".join(rnd.choice(["ab", "cd ", "ef", " ", "漢字仮名交文字列", "é. "]) for _ in range(rnd.randint(1, 90))) for _ in range(60))]
+    got = language.mixtures(texts, model)
+    for t, row in zip(texts, got):
+        assert np.allclose(row, plain_mixture(t, model), atol=5e-3), t
+
+
+def test_texts_without_blanks_may_be_mixtures(spark):
+    rows = [(i, "".join(random.Random(i).choice("漢字仮名交文列語" if i % 2 else "かきくけこさしす") for _ in range(400)), "zh" if i % 2 else "ja") for i in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    share = language.mixtures([rows[1][1] + rows[2][1], rows[3][1]], model)
+    assert 0.4 < share[0, 0] < 0.6 and share[1, 1] == 1
+
+
+def test_ties_of_languages(spark):
+    docs = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["b", "a", "b", "a"])], "doc_id long, text string, lang string")
+    rows = language.identify(docs, language.fit(docs)).collect()
+    assert {r.lang_pred for r in rows} == {"a"} and all(0 < r.score <= 1 for r in rows)
+
+
+def test_quality_scores_are_sums_of_table_cells(spark):
+    """Each score by plain loops over the model's tables, and features by plain counting."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.train(docs, labels)
+    assert model.pairs and len(model.tables) == len(quality.FEATURES)
+    rows = docs.limit(150).collect()
+    got = {r.doc_id: r.score for r in quality.score(docs.where(docs.doc_id.isin([r.doc_id for r in rows])), model).collect()}
+    for r, x in zip(rows, quality.features([r.text for r in rows])):
+        total = model.base
+        for f in range(len(x)):
+            total += model.tables[f][sum(bool(e <= x[f]) for e in model.edges[f])]
+        for f, g, e, d, t in model.pairs:
+            total += t[sum(bool(v <= x[f]) for v in e), sum(bool(v <= x[g]) for v in d)]
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-total))) < 1e-9
+        data, words = r.text.encode(), normal(r.text).split()
+        named = dict(zip(quality.FEATURES, x))
+        assert named["bytes"] == pytest.approx(math.log1p(len(data))) and named["words"] == pytest.approx(math.log1p(len(words)))
+        assert named["digit"] == pytest.approx(sum(48 <= b <= 57 for b in data) / len(data)) and named["beyond"] == pytest.approx(sum(b >= 128 for b in data) / len(data))
+        assert named["distinct"] == pytest.approx(len(set(words)) / max(len(words), 1)) and named["longest_word"] == max(map(len, words), default=0)
+        assert named["commonest"] == pytest.approx(max(collections.Counter(words).values(), default=0) / max(len(words), 1))
+
+
 def test_quality(spark):
     labels = {r.doc_id: r.quality for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
     rows = [r for r in quality.op5_quality(spark, "/root/testdata/sf0.01").collect() if r.doc_id in labels and r.held_out]
