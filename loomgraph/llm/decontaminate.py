@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import carried, id_text, map_texts, table, work_path, written
-from loomgraph.llm.words import normal
+from loomgraph.llm.words import mixed, normal, runs
 
 WINDOW = 10
 #: Characters of items in one automaton (about 60 bytes of memory for each); more items go to further automata, one scan each.
 AUTOMATON_CHARS = 4_000_000
+#: A mask's size as a power of two at most (128 MB), its bits for a character of items (about 30 for a window), bits set for a window.
+MASK_BITS, MASK_EACH, MASK_HASHES = 30, 6, 8
 #: Lots that one task deals out, on average.
 LOTS = 8
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -71,33 +73,90 @@ def _lots(items: DataFrame, chars: int) -> tuple[DataFrame, list[int]]:
     return dealt, sorted(r.lot for r in dealt.select("lot").distinct().collect())
 
 
+class Mask:
+    """A Bloom filter of the hashes of item windows, of bounded size: tells which documents may hold any."""
+
+    def __init__(self, chars: int):
+        self.bits = np.zeros(1 << max(3, min(MASK_BITS, (MASK_EACH * chars).bit_length()) - 3), np.uint8)
+        self.lengths: set[int] = set()
+
+    def _places(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(8 * len(self.bits) - 1)
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, items: tuple[tuple[str | None, str], ...], window: int) -> None:
+        by_length: dict[int, list[bytes]] = {}
+        for n in (normal(text) for _, text in items):
+            if words := n.count(b" "):
+                by_length.setdefault(min(words, window), []).append(n)
+        for length, normals in by_length.items():
+            self.lengths.add(length)
+            hashes, _ = runs(normals, {length})
+            for k in range(MASK_HASHES):
+                byte, bit = self._places(hashes, k)
+                np.bitwise_or.at(self.bits, byte, bit)
+
+    def suspects(self, normals: list[bytes]) -> np.ndarray:
+        """Whether each text may hold a window; one that does always may."""
+        hashes, texts = runs(normals, self.lengths)
+        for k in range(MASK_HASHES):
+            byte, bit = self._places(hashes, k)
+            there = (self.bits[byte] & bit) > 0
+            hashes, texts = hashes[there], texts[there]
+        out = np.zeros(len(normals), bool)
+        out[texts] = True
+        return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = AUTOMATON_CHARS, carry: bool = False) -> DataFrame:
     """One row for each document: its words, the hit spans (word numbers first to last, and characters start to end, exclusive), the items.
 
-    Each automaton holds at most about chars characters of items (and one item whole), so what a task holds is bounded; a larger
-    benchmark is dealt into lots in Spark and takes a scan for each, whose hits are written before the driver fetches the next lot, so
-    the driver too holds one lot at a time. Hits are joined on the row's number. Null texts have no words, items whose text is null or has none no windows; repeated rows
-    and null ids stay. Items without an id hit as others do, and are one null among the items. With carry, a column row holds all
-    columns of the input.
+    Each automaton holds at most about chars characters of items (and one item whole), so what a task holds is bounded. A larger
+    benchmark is dealt into lots in Spark; the driver fetches one lot at a time. First their windows go into one mask of bounded size,
+    and a single scan of the corpus keeps the texts of documents that may hold any; then each lot's automaton scans those few. Hits are
+    joined on the row's number. Null texts have no words, items whose text is null or has none no windows; repeated rows and null ids
+    stay. Items without an id hit as others do, and are one null among the items. A text of any length is scanned whole, at about 30
+    bytes of memory for one. With carry, a column row holds all columns of the input.
     """
     docs = (carried if carry else id_text)(docs, id_col, text_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) <= chars:
-        return _scan(docs, docs.sparkSession.sparkContext.broadcast(_fetched(items)), window)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    send = docs.sparkSession.sparkContext.broadcast
+    if total <= chars:
+        return _scan(docs, send(_fetched(items)), window)
     numbered = written(docs.withColumn("number", F.monotonically_increasing_id()), "decontaminate")
-    rows = numbered.select(F.col("number").alias("doc_id"), "text")
     dealt, lots = _lots(items, chars)
-    parts = None
+    mask = Mask(total)
+    for lot in lots:
+        mask.add(_fetched(dealt.where(F.col("lot") == lot)), window)
+    sent = send(mask)
+    rows = written(_suspects(numbered.select(F.col("number").alias("doc_id"), "text"), sent), "suspects")
+    sent.destroy()
+    parts = rows.select("doc_id", "n_words", F.expr("cast(array() as array<struct<first: bigint, last: bigint, start: bigint, end: bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    few = rows.where("text is not null").select("doc_id", "text")
     for lot in lots:
-        sent = docs.sparkSession.sparkContext.broadcast(_fetched(dealt.where(F.col("lot") == lot)))
-        found = _scan(rows, sent, window)
-        found = written(found if parts is None else found.where(F.size("spans") > 0), "hits")  # the first has every row's words
+        sent = send(_fetched(dealt.where(F.col("lot") == lot)))
+        parts = parts.unionByName(written(_scan(few, sent, window).where(F.size("spans") > 0), "hits"))
         sent.destroy()
-        parts = found if parts is None else parts.unionByName(found)
     joined = parts.groupBy(F.col("doc_id").alias("number")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     return numbered.drop("text").join(joined, "number").select("doc_id", "n_words", "spans", "items", *(["row"] if carry else []))
 
 
+def _suspects(rows: DataFrame, sent: Broadcast) -> DataFrame:
+    """Every row's number of words, and the text of those that may hold a window."""
+
+    def make():
+        mask = sent.value
+
+        def one(numbers, texts):
+            normals = [normal(t) for t in texts]
+            return numbers, [n.count(b" ") for n in normals], [t if s else None for t, s in zip(texts, mask.suspects(normals).tolist())]
+
+        return one
+
+    return map_texts(rows, "doc_id long, n_words long, text string", make)
+
+
 def _fetched(items: DataFrame) -> tuple[tuple[str | None, str], ...]:
     return tuple((r.item, r.text) for r in items.select("item", "text").collect())
 

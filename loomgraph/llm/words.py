@@ -57,6 +57,22 @@ def word_hashes(normals: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), counts
 
 
+def runs(normals: list[bytes], lengths: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of as many words as any of lengths says, whole ones only, and the text of each."""
+    hashes, counts = word_hashes(normals)
+    found, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    text, last = np.repeat(np.arange(len(counts)), counts), np.repeat(np.cumsum(counts), counts)
+    at, out = np.arange(len(hashes)), np.zeros(len(hashes), np.uint64)
+    for j in range(max(lengths, default=0)):
+        there = at + j < last[at]
+        at, out = at[there], out[there]
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j])
+        if j + 1 in lengths:
+            found.append(mixed(out + np.uint64(j + 1)))
+            texts.append(text[at])
+    return np.concatenate(found), np.concatenate(texts)
+
+
 def shingles(normals: list[bytes], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all runs of so many words, text by text, and each text's number of them; a shorter text with words has one."""
     hashes, counts = word_hashes(normals)

@@ -124,16 +124,41 @@ def test_one_lot_of_items_at_a_time(spark, monkeypatch):
     sent, send = [], spark.sparkContext.broadcast
 
     def one(lot):
-        assert not any(s._jbroadcast.isValid() for s in sent) and sum(len(t) for _, t in lot) <= 150 + 20
+        assert not any(s._jbroadcast.isValid() for s in sent) and (isinstance(lot, decontaminate.Mask) or sum(len(t) for _, t in lot) <= 150 + 20)
         sent.append(send(lot))
         return sent[-1]
 
     monkeypatch.setattr(spark.sparkContext, "broadcast", one)
     got = {r.doc_id: r["items"] for r in decontaminate.scan(d, b, chars=150).collect()}
-    assert len(sent) >= 2
+    assert len(sent) >= 3
     assert {k: sorted(v) for k, v in got.items()} == {i: sorted([str(i), str((i + 1) % 20)]) for i in range(20)} | {99: []}
 
 
+def test_a_mask_knows_every_window_and_little_else():
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(n))
+    items = tuple((str(i), text(rnd.randint(1, 60))) for i in range(300))
+    mask = decontaminate.Mask(sum(len(t) for _, t in items))
+    mask.add(items, 10)
+    assert mask.lengths <= set(range(1, 11))
+    held = [normal(text(50) + " " + w.decode() + text(3)) for _, t in items[:100] for w in sorted(decontaminate.windows(t))[:3]]
+    assert mask.suspects(held).all() and not mask.suspects([b"", normal("q")]).any()
+    long_only = decontaminate.Mask(10**5)
+    long_only.add(tuple(i for i in items if len(i[1].split()) >= 10), 10)
+    assert long_only.suspects([normal(text(300)) for _ in range(200)]).mean() < 0.05
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte, with a passage at its end, through the operators that look at whole texts."""
+    long = "Plain words of a text that goes on and on. " * 25_000
+    docs = spark.createDataFrame([(1, long + "the passage to be found here", "x"), (2, long, "x"), (3, "w" * 1_000_000, "x")], "doc_id long, text string, row string")
+    items = spark.createDataFrame([(1, "the passage to be found")], "item_id long, text string")
+    for chars in (10**6, 5):
+        got = {r.doc_id: r for r in decontaminate.scan(docs, items, chars=chars).collect()}
+        assert got[1].spans[0].start == len(long) and got[1]["items"] == ["1"] and not got[2].spans and got[3].n_words == 1
+    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_hit_spans_map_to_the_text(spark):
     d = spark.createDataFrame([(1, "İx… One, TWO three? äöü")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two THREE")], "item_id long, text string")
@@ -485,8 +510,9 @@ def test_pipeline(spark):
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline as p
 
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "a b", None, "s", 3), (1, "a b", None, "s", 3), (2, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    for start in (docs, docs.limit(0)):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "a b", None, "s", 3), (1, "a b", None, "s", 3), (2, "", "en", None, 0), (3, "word " * 100_000, "en", "s", 500_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs.selectExpr("*", "1 as row", "2 as number", "3 as digest", "4 as id", "5 as near__id", "6 as spans", "7 as pack")
+    for start in (docs, clashing, docs.limit(0)):
         out = start
         for _, stage in p.STAGES:
             out = stage(spark, out, SF)
