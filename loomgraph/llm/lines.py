@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import carried, id_text, map_texts, table, written
+from loomgraph.llm.common import carried, discard, id_text, map_texts, table, written
 from loomgraph.llm.words import mixed, span_hashes
 
 MIN_CHARS = 10
@@ -201,10 +201,13 @@ def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     shards = max(1, -(-n // SHARD_LINES))
     docs = carried(df, id_col, text_col) if carry else id_text(df, id_col, text_col)
     if n * LINE_BYTES > held_bytes:
-        return _routed(docs, written(build_shards(lines, shards), "shards"), shards, min_chars)
+        images = written(build_shards(lines, shards), "shards")
+        discard(lines)
+        return _routed(docs, images, shards, min_chars)
     spark = df.sparkSession
     name = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast([(r.shard, bytes(r.image)) for r in build_shards(lines, shards).collect()])
+    discard(lines)
 
     def make():
         index = _opened(name, sent)
@@ -261,7 +264,8 @@ def _routed(docs: DataFrame, images: DataFrame, shards: int, min_chars: int) ->
         return left.select(["number", "line"]).filter(pa.array(lost)).cast(out)
 
     lost = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInArrow(run, "number long, line int")
-    lost = lost.groupBy("number").agg(F.collect_list("line").alias("lost"))
+    lost = written(lost.groupBy("number").agg(F.collect_list("line").alias("lost")), "lost")
+    discard(probes, images)
     joined = numbered.join(lost, "number", "left").select("doc_id", "text", "lost", *(["row"] if "row" in docs.columns else []))
 
     def drop():

@@ -302,7 +302,9 @@ def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     in_class = by_key(linked, classes.drop("n"), "label", hot_keys(classes, "label", n))
     named = base.select("digest", "id", "node").join(in_class.select("node", "head"), "node", "left").join(best, "node", "left")
     named = named.select("digest", F.coalesce("head.id", "id").alias("class_id"), F.coalesce("head.digest", "digest").alias("named_by"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "linked_to", "similarity")
-    return written(named, "near-classes"), copies
+    found = written(named, "near-classes")
+    discard(base, labels, links, ends, classes)
+    return found, copies
 
 
 def _links(docs: DataFrame, base: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import by_key, counted, hot_keys, table, work_path
+from loomgraph.llm.common import by_key, counted, discard, hot_keys, table, work_path
 
 #: Pages that the dictionary is trained on, about, and how much of each (records are always whole); its bytes at most; bytes of records
 #: after which an archive is closed.
@@ -193,6 +193,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
             yield row()
 
     marked.mapInArrow(run, ARCHIVES).write.parquet(path)
+    discard(same)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
