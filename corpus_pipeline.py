@@ -1,6 +1,7 @@
 """The corpus pipeline: stages over whole documents, each one's rows written and read again by the next.
 
-All but the last return the columns of documents (doc_id, text, lang, source, n_chars); the last returns packed pieces.
+All but the last return the columns of documents (doc_id, text, lang, source, n_chars), whatever other columns come in; the last returns
+packed pieces. A stage's table is removed once the next one's is written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, language, lines, near_dups
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import discard, table, written
 from loomgraph.llm.packing import pack_sequences
 from loomgraph.llm.tokens import vocabulary
 
@@ -63,7 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{name}")
+            discard(before)
     return docs
