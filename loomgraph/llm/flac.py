@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import id_text, map_texts, table, work_path
 
-BLOCK, RATE, PAD = 1024, 8000, 64
+BLOCK, RATE, PAD = 2048, 8000, 64
 #: Order and bits of the linear predictor's coefficients; partitions of a frame's residuals as a power of two; Rice parameters tried.
 ORDER, PRECISION, PARTITIONS, PARAMETERS = 4, 12, 2, 9
 #: Coefficients of the format's fixed predictors, the latest sample first.
@@ -80,7 +80,7 @@ def _coded_number(n: int) -> bytes:
 
 @lru_cache(100_000)
 def frame_head(number: int, n: int) -> bytes:
-    head = bytes([0xFF, 0xF8, (0xA0 if n == BLOCK else 0x70), 0x02]) + _coded_number(number)
+    head = bytes([0xFF, 0xF8, (7 + (BLOCK // 256).bit_length() << 4 if n == BLOCK else 0x70), 0x02]) + _coded_number(number)
     if n != BLOCK:
         head += struct.pack(">H", n - 1)
     return head + bytes([crc8(head)])
@@ -473,8 +473,8 @@ def describe_media(media: DataFrame) -> DataFrame:
 
 
 def write_media(media: DataFrame, path: str) -> DataFrame:
-    """Stores a media table below path, streams as they are, and reads it back."""
-    media.write.option("compression", "uncompressed").parquet(path)
+    """Stores a media table below path and reads it back. Pages are in Zstandard, which takes in seek tables and copies."""
+    media.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": 9}).parquet(path)
     return media.sparkSession.read.schema(MEDIA).parquet(path)
 
 

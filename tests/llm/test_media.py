@@ -86,7 +86,7 @@ def payloads():
 def test_streams_against_a_plain_reader():
     made = flac.encode(payloads())
     assert [plain_decode(m) for m in made] == payloads() == flac.decode(made)
-    kinds = {m[flac._stream_head(m)[3] + len(flac.frame_head(0, min(1024, len(p))))] >> 1 for m, p in zip(made, payloads())}
+    kinds = {m[flac._stream_head(m)[3] + len(flac.frame_head(0, min(flac.BLOCK, len(p))))] >> 1 for m, p in zip(made, payloads())}
     assert {0, 1} <= kinds and any(k >= 32 for k in kinds)  # constant, verbatim and linear subframes occur
 
 
@@ -102,9 +102,9 @@ def test_samples_from_any_offset():
     many = made[6]
     _, _, points, at = flac._stream_head(many)
     cut = many[: at + points[5][1]] + bytes(points[6][1] - points[5][1]) + many[at + points[6][1] :]
-    assert flac.read_samples([cut], [6 * 1024], [10]) == [payloads()[6][6144:6154]]  # a damaged frame elsewhere doesn't matter
+    assert flac.read_samples([cut], [6 * flac.BLOCK], [10]) == [payloads()[6][6 * flac.BLOCK :][:10]]  # a damaged frame elsewhere doesn't matter
     with pytest.raises(ValueError):
-        flac.read_samples([cut], [5 * 1024], [10])
+        flac.read_samples([cut], [5 * flac.BLOCK], [10])
 
 
 def test_long_unary_runs():
@@ -133,7 +133,7 @@ def test_media_query(spark):
     text = ("words\n" * 900).encode()
     assert rows[None, 5400].payload_sha256 == hashlib.sha256(text + bytes(-5400 % 64)).hexdigest()
     blocks = flac.decode_blocks(flac.encode_flac(docs)).where("doc_id is null").orderBy("block").collect()
-    assert [r.sample_offset for r in blocks] == [0, 1024, 2048, 3072, 4096, 5120] and b"".join(r.pcm for r in blocks)[:5400] == text
+    assert [r.sample_offset for r in blocks] == list(range(0, 5440, flac.BLOCK)) and b"".join(r.pcm for r in blocks)[:5400] == text
     assert flac.describe_media(flac.encode_flac(docs.limit(0))).count() == 0
     stored = flac.write_media(flac.encode_flac(docs), work_path(spark, "media"))
     assert stored.count() == 4 and set(map(str, flac.describe_media(stored).collect())) == set(map(str, rows.values()))
