@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.sources.pdf import pdf_text
+
 SUFFIXES = ("pdf", "txt", "docx")
 #: From a file's bytes to its text.
 Extractor = Callable[[bytes], str]
@@ -22,9 +24,10 @@ def as_plain_text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def read_directory(spark: SparkSession, path: str, pdf: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
+def read_directory(spark: SparkSession, path: str, pdf: Extractor | None = pdf_text) -> tuple[DataFrame, DataFrame]:
     """The files of a directory, not of those below it, whose suffix, in lower case, is pdf, txt or docx: path and text; and those left
-    out, with a reason (Spark itself passes over files of no bytes). PDF needs an extractor; docx isn't plain text, and is left out. A file that can't be extracted is left out.
+    out, with a reason (Spark itself passes over files of no bytes). pdf: takes the text out of a PDF; None leaves PDF files out. docx isn't
+    plain text, and is left out, and so is a file whose text can't be taken out.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(path)
     kind = F.regexp_extract("path", r"\.(\w+)$", 1)

@@ -81,7 +81,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "sub" / "h.txt").write_text("deep")
     good, bad = read_directory(spark, str(tmp_path))
     assert [r.text for r in good.collect()] == ["hello"]
-    assert {r.path[-6:]: r.reason for r in bad.collect()} == {"/b.pdf": "no extractor for pdf", "c.docx": "no extractor for docx", "/f.txt": "error"}
+    assert {r.path[-6:]: r.reason for r in bad.collect()} == {"/b.pdf": "extraction failed: no PDF that can be read", "c.docx": "no extractor for docx", "/f.txt": "error"}
+    assert {r.reason for r in read_directory(spark, str(tmp_path), pdf=None)[1].where("path like '%.pdf'").collect()} == {"no extractor for pdf"}
     assert read_directory(spark, str(tmp_path), pdf=lambda b: "page").__getitem__(0).count() == 2
     assert read_text(spark, str(tmp_path / "a.txt")).first().text == "hello"
     assert probe(spark).first().test == 1
@@ -91,6 +92,34 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":"ą","b":null}'
 
 
+def a_pdf(*streams):
+    """A file of content streams, every second one deflated."""
+    import zlib
+
+    out = [b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"]
+    for i, s in enumerate(streams):
+        body = zlib.compress(s) if i % 2 else s
+        out.append(b"%d 0 obj\n<< /Length %d%s /Resources << /Font << >> >> >>\nstream\n" % (i + 3, len(body), b" /Filter /FlateDecode" * (i % 2)) + body + b"\nendstream\nendobj\n")
+    return b"".join(out) + b"trailer\n<< /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_text(spark, tmp_path):
+    import pytest
+
+    from loomgraph.sources.pdf import pdf_text
+
+    one = b"q BT /F1 12 Tf 72 700 Td (Hello \\(big\\) ) Tj [(wor) -20 (ld)] TJ 0 -14 Td (next (inner) line) Tj ET Q"
+    two = b"BT <4865 6C6C6F> Tj (caf\\351) ' T* (a\\\nb) Tj ET"
+    text = "Hello (big) world\nnext (inner) line" + "Hello\ncafé\nab"
+    assert pdf_text(a_pdf(one, two)) == text
+    for bad in (b"", b"%PD", a_pdf(b"q Q"), a_pdf(one) + b"/Encrypt", b"%PDF-1.4 << >> stream\n" + b"(" * 100_000):
+        with pytest.raises(ValueError):
+            pdf_text(bad)
+    (tmp_path / "a.pdf").write_bytes(a_pdf(one, two))
+    good, bad = read_directory(spark, str(tmp_path))
+    assert [r.text for r in good.collect()] == [text] and bad.count() == 0
+
+
 def test_settings(tmp_path):
     import pytest
 
