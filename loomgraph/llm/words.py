@@ -28,16 +28,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE = mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
 #: An odd multiplier and its inverse modulo 2**64.
 _BASE = 0xD1342543DE82EF95
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, list[np.ndarray]] = {}
+KEPT = 1 << 22
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[:1] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """Powers of the multiplier and of its inverse; those for longer texts than KEPT bytes aren't held for the next ones."""
+    if (held := _POWERS.get("all")) is None or len(held[0]) < n:
+        held = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, 1), base, np.uint64)
+            steps[0] = 1
+            held.append(np.cumprod(steps))
+        if n <= KEPT:
+            _POWERS["all"] = held
+    return held[0][:n], held[1][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -435,6 +435,32 @@ def test_near_duplicates(spark, monkeypatch, block, hot):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_classes(docs).values()))
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Against all pairs that share a shingle, exactly: no link is lost at these sizes."""
+    docs = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    bag, at = plain_bags(docs), collections.defaultdict(set)
+    for i, own in bag.items():
+        for s in own:
+            at[s].add(i)
+    parent = {i: i for i in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    n_links = 0
+    for i, own in bag.items():
+        for j in {j for s in own for j in at[s] if j > i}:
+            same = sum((own & bag[j]).values())
+            if same >= 0.8 * (sum(own.values()) + sum(bag[j].values()) - same):
+                n_links += 1
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in near_dups.op4_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    assert n_links > 50 and got == {i: root(i) for i in docs}
+
+
 def test_near_duplicates_of_nothing_and_nulls(spark):
     df = spark.createDataFrame([(None, "some words that are the same here"), (None, "some words that are the same here"), (4, "other words")], "doc_id long, text string")
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
