@@ -323,13 +323,21 @@ def snapshot_round_trip(spark, d):
 # the seed graph
 
 
-def _seeded(spark, times=2):
-    g = Graph()
-    for _ in range(times):
-        g, report = extraction.load_blocks(g, seed.blocks(spark))
-        if any(not line.startswith("OK") for line in report):
-            raise ValueError(report)
-    return g
+_SEEDED: dict[str, Graph] = {}
+
+
+def _seeded(spark):
+    """The seed graph, all of its blocks run twice; once in a session, as its tables are written."""
+    name = spark.sparkContext.applicationId
+    if name not in _SEEDED:
+        g = Graph()
+        for _ in range(2):
+            g, report = extraction.load_blocks(g, seed.blocks(spark))
+            if any(not line.startswith("OK") for line in report):
+                raise ValueError(report)
+        _SEEDED.clear()
+        _SEEDED[name] = g
+    return _SEEDED[name]
 
 
 @query("SELECT * FROM (VALUES ('Department', 5), ('Professor', 8), ('Course', 10), ('Program', 5), ('Building', 3), ('Room', 4), ('Research', 4), ('BELONGS_TO', 8), ('TEACHES', 10), ('PART_OF', 10), ('OFFERED_BY', 5), ('LOCATED_IN', 4), ('SUPERVISES', 4), ('PREREQUISITE_FOR', 4)) AS t(name, n)")
@@ -342,14 +350,14 @@ def seed_graph_loaded_twice(spark, d):
 
 @query("SELECT 'Prof. Katarzyna Nowak' AS professor, 'Mathematical Analysis' AS course, 'Applied Mathematics BSc' AS program, 'Faculty of Mathematics' AS department")
 def seed_graph_question(spark, d):
-    m = _seeded(spark, 1).match("c", "Course").where_contains("c", "title", "mathematical analysis").to("PART_OF", "g", "Program").to("OFFERED_BY", "d", "Department")
+    m = _seeded(spark).match("c", "Course").where_contains("c", "title", "mathematical analysis").to("PART_OF", "g", "Program").to("OFFERED_BY", "d", "Department")
     m = m.start("c").back("TEACHES", "p", "Professor")
     return m.returns(("p", "title", "professor"), ("c", "title", "course"), ("g", "title", "program"), ("d", "title", "department"))
 
 
 @query("SELECT 'Algorithms and Data Structures' AS first, 'Introduction to Artificial Intelligence' AS second, 'Machine Learning' AS third")
 def seed_graph_chain(spark, d):
-    m = _seeded(spark, 1).match("a", "Course").to("PREREQUISITE_FOR", "b", "Course").to("PREREQUISITE_FOR", "c", "Course")
+    m = _seeded(spark).match("a", "Course").to("PREREQUISITE_FOR", "b", "Course").to("PREREQUISITE_FOR", "c", "Course")
     return m.returns(("a", "title", "first"), ("b", "title", "second"), ("c", "title", "third"))
 
 
