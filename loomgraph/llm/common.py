@@ -15,7 +15,7 @@ from loomgraph.sources.scratch import discard, work_path, written
 __all__ = ["by_key", "carried", "counted", "discard", "hot_keys", "id_text", "map_texts", "slices", "table", "work_path", "written"]
 
 #: A key with more rows than this, and with more than one row in HOT_KEYS, is joined apart from the others.
-HOT_ROWS, HOT_KEYS = 250, 10_000
+HOT_ROWS, HOT_KEYS, SMALL_ROWS = 250, 10_000, 80
 #: Texts are handled in slices of about this many bytes inside a task.
 SLICE_CHARS = 1_000_000
 
@@ -33,8 +33,9 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame | None:
     """counts: each key and n, its number of rows, of so many in all. The keys with more than HOT_ROWS rows and more than one row in
-    HOT_KEYS; so they are HOT_KEYS at most, and may go through the driver and be broadcast. None if there are none."""
-    if rows <= HOT_ROWS:
+    HOT_KEYS; so they are HOT_KEYS at most, and may go through the driver and be broadcast. None if there are none, or if the whole table
+    is of SMALL_ROWS times HOT_ROWS at most, which one task can hold."""
+    if rows <= SMALL_ROWS * HOT_ROWS:
         return None
     found = counts.where(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).select(key).toArrow()
     return counts.sparkSession.createDataFrame(found) if len(found) else None

@@ -22,6 +22,8 @@ from loomgraph.llm.words import mixed, normal, shingles
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 28, 5
 #: Texts of a block, on average, and numbers of their bags (4 bytes each), on average and beside one text; numbers searched at once.
 BLOCK, BLOCK_CELLS, TOKENS = 256, 1_000_000, 300_000
+#: What a row dealt for a chain costs, in rows dealt for buckets.
+CHAINED = 1.0
 #: Texts whose digests are broadcast to find them in the corpus; more are found by a shuffle. Texts whose keys a task remembers.
 NAMED, SKETCHED = 300_000, 20_000
 _GOLD = 0x9E3779B97F4A7C15
@@ -193,16 +195,17 @@ def _still_open(buckets: DataFrame, hot: DataFrame | None) -> DataFrame:
     return by_key(buckets, several, "key", hot, "left_semi")
 
 
-def _block_links(key: int, rows: pa.Table, similarity: float) -> tuple[list[int], list[int], list[float]]:
+def _block_links(key: int | None, rows: pa.Table, similarity: float) -> tuple[list[int], list[int], list[float]]:
     """Links between the two blocks of a task (or inside the one), no more than join classes: each row's bag is counted against all
-    of the first block at once. Only pairs that aren't of one class count, and only in the first bucket that they share."""
+    of the first block at once. Only pairs that share a bucket and aren't of one class count; in the blocks of one bucket (key), only if
+    it is the first that they share."""
     side = rows["side"].to_numpy()
     first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     node, label = rows["node"].to_pylist(), rows["label"].to_numpy()
     keys = np.stack(rows["keys"].to_numpy())
     bags_ = rows["cells"].to_numpy()
     sizes = np.array([len(c) for c in bags_])
-    band = int(np.flatnonzero(keys[0] == key)[0])
+    band = 0 if key is None else int(np.flatnonzero(keys[0] == key)[0])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -216,7 +219,8 @@ def _block_links(key: int, rows: pa.Table, similarity: float) -> tuple[list[int]
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         for j in second.tolist():
-            wanted = (label[some] != label[j]) & ~(keys[some, :band] == keys[j, :band]).any(1)
+            bucket = (keys[some] == keys[j]).any(1) if key is None else ~(keys[some, :band] == keys[j, :band]).any(1)
+            wanted = (label[some] != label[j]) & bucket
             wanted &= np.minimum(sizes[some], sizes[j]) >= similarity * np.maximum(sizes[some], sizes[j])
             if not wanted.any():
                 continue
@@ -235,33 +239,54 @@ def _block_links(key: int, rows: pa.Table, similarity: float) -> tuple[list[int]
     return out
 
 
+def _blocks(member: DataFrame, key: str) -> DataFrame:
+    """For each key of member (key, label, size): the most frequent class, its number of blocks, that of the others', and how many rows
+    dealing the members to all pairs of blocks takes."""
+    counts = member.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cells"))
+    found = counts.groupBy(key).agg(F.max_by(F.struct("label", "n", "cells"), F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), F.sum("cells").alias("cells"))
+    blocks = lambda n, cells: F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(cells / F.lit(float(BLOCK_CELLS)))).cast("int")
+    rest = F.col("n") - F.col("major.n")
+    found = found.select(key, F.col("major.label").alias("major"), F.col("major.n").alias("n_major"), rest.alias("n_rest"), blocks(F.col("major.n"), F.col("major.cells")).alias("majors"), blocks(rest, F.col("cells") - F.col("major.cells")).alias("others"))
+    rows = F.col("n_rest") * (F.col("others") + F.col("majors")) + F.col("n_major") * F.col("others")
+    return found.select(key, "major", "majors", "others", rows.alias("dealt"), (F.col("n_rest") + F.col("n_major")).alias("n"))
+
+
 def _linked_by_blocks(open_: DataFrame, base: DataFrame, bag: DataFrame, similarity: float, hot: DataFrame | None) -> DataFrame:
     """open_: key, node and label of buckets that hold several classes. All pairs of a bucket that aren't of one class, in tasks of two
     blocks of about BLOCK texts and BLOCK_CELLS numbers at most.
 
-    Each bucket is dealt by itself, most in one block. The most frequent class of a bucket has no pairs inside: its blocks only meet those of the others.
+    Buckets with a common class make a chain. Near copies share many buckets, and are dealt best as one group for their chain; a long
+    chain of unlike texts is dealt best bucket by bucket. Each chain is dealt in the way that takes fewer rows. The most frequent class
+    of a group has no pairs inside: its blocks only meet those of the others.
     """
     member = written(open_.join(bag.select("node", F.col("n").alias("size")), "node"), "near-sizes")
-    counts = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("cells"))
-    buckets = counts.groupBy("key").agg(F.max_by(F.struct("label", "n", "cells"), F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), F.sum("cells").alias("cells"))
-    blocks = lambda n, cells: F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(cells / F.lit(float(BLOCK_CELLS)))).cast("int")
-    major = F.col("major.label")
-    buckets = buckets.select("key", major.alias("major"), blocks(F.col("major.n"), F.col("major.cells")).alias("majors"), blocks(F.col("n") - F.col("major.n"), F.col("cells") - F.col("major.cells")).alias("others"))
-    member = by_key(member, buckets, "key", hot)
+    head = member.groupBy("key").agg(F.min("label").alias("a"))
+    ties = by_key(member.select("key", "label"), head, "key", hot).where("label <> a").select("a", F.col("label").alias("b")).distinct()
+    chain = head.join(components(ties, "near-chains").select(F.col("node").alias("a"), F.col("label").alias("gid")), "a").select("key", "gid")
+    chain = written(chain, "near-chain")
+    grouped, n = counted(by_key(member, chain, "key", hot).select("gid", "node", "label", "size").distinct(), "near-grouped")
+    groups, buckets = written(_blocks(grouped, "gid"), "near-groups"), written(_blocks(member, "key").join(chain, "key"), "near-buckets")
+    cheaper = buckets.groupBy("gid").agg(F.sum("dealt").alias("by_bucket")).join(groups.select("gid", "dealt"), "gid").withColumn("whole", F.col("dealt") * CHAINED <= F.col("by_bucket")).select("gid", "whole")
+    plan = written(cheaper, "near-plan")
+    large = hot_keys(groups, "gid", n)
+    whole = by_key(grouped, groups.join(plan.where("whole"), "gid").select("gid", "major", "majors", "others"), "gid", large).withColumnRenamed("gid", "part")
+    single = by_key(member, buckets.join(plan.where("not whole"), "gid").select("key", "major", "majors", "others"), "key", hot).withColumnRenamed("key", "part")
+    columns = ("part", "node", "label", "major", "majors", "others")
+    member = whole.select(F.lit(True).alias("whole"), *columns).unionByName(single.select(F.lit(False).alias("whole"), *columns))
     # blocks of the others are 0, 1, ..., those of the most frequent class -1, -2, ...
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     member = member.withColumn("block", F.when(F.col("label") == F.col("major"), -1 - dealt("majors")).otherwise(dealt("others")))
     meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("majors"), F.col("others") - 1))
-    each = member.select("key", "node", "label", "block", F.explode(meets).alias("other"))
-    each = each.select("key", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
+    each = member.select("whole", "part", "node", "label", "block", F.explode(meets).alias("other"))
+    each = each.select("whole", "part", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
     # in a block that meets itself every row is on both sides; with another, the lower block is the first side
     full = each.join(bag.select("node", "cells"), "node").join(base.select("node", "keys"), "node")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        a, b, alike = _block_links(key[0].as_py(), rows, similarity)
+        a, b, alike = _block_links(None if key[0].as_py() else key[1].as_py(), rows, similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(alike, pa.float64())})
 
-    return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+    return full.groupBy("whole", "part", "i", "j").applyInArrow(run, "a long, b long, similarity double")
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

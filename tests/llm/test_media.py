@@ -152,6 +152,7 @@ def test_archives(spark, monkeypatch, repeated):
     monkeypatch.setattr(warc, "ARCHIVE", 500)
     monkeypatch.setattr(warc, "REPEATED", repeated)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "SMALL_ROWS", 1)
     path = work_path(spark, "warc")
     warc.write_archives(pages(spark), path)
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload and len(r.payload)) for r in warc.read_archives(spark, path).collect()), key=str)

@@ -413,7 +413,7 @@ def edited(rnd, words, share):
     return " ".join(rnd.choice("qrst") * 4 if rnd.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("block, hot", [(256, 1000), (8, 5)])
+@pytest.mark.parametrize("block, hot", [(256, 1000), (8, 1)])
 def test_near_duplicates(spark, monkeypatch, block, hot):
     monkeypatch.setattr(near_dups, "BLOCK", block)
     monkeypatch.setattr(common, "HOT_ROWS", hot)
@@ -488,6 +488,25 @@ def test_blocks_only_links_between_classes():
     assert sorted(zip(a, b)) == [(2, 1), (3, 1)] and alike == [1.0, 1.0]
     rows = {k: v[:2] if k != "keys" else [[5, 1], [5, 1]] for k, v in rows.items()}
     assert near_dups._block_links(1, pa.table(rows), 0.8)[0] == []  # they share an earlier bucket
+    rows["keys"] = [[5, 1], [6, 2]]
+    assert near_dups._block_links(None, pa.table(rows), 0.8)[0] == []
+    rows["keys"] = [[5, 1], [6, 1]]
+    assert near_dups._block_links(None, pa.table(rows), 0.8)[0] == [2]
+
+
+@pytest.mark.parametrize("weight", [0.0, 1.0, 1e9])
+def test_blocks_of_chains_and_of_buckets_find_the_same(spark, monkeypatch, weight):
+    """Three buckets of a chain, where links join classes only through the last."""
+    monkeypatch.setattr(near_dups, "BLOCK", 2)
+    bags = {n: list(range(n * 100, n * 100 + 20)) for n in range(8)} | {6: list(range(500, 519)), 7: list(range(501, 521))}
+    keys = {0: [10, 20], 1: [10, 21], 2: [11, 21], 3: [11, 22], 4: [12, 22], 5: [12, 23], 6: [12, 23], 7: [12, 24]}
+    base = spark.createDataFrame([(n, k) for n, k in keys.items()], "node long, keys array<long>")
+    bag = spark.createDataFrame([(n, c, len(c)) for n, c in bags.items()], "node long, cells array<int>, n int")
+    open_ = spark.createDataFrame([(k, n, n) for n, own in keys.items() for k in own if sum(k in o for o in keys.values()) > 1], "key long, node long, label long")
+    monkeypatch.setattr(near_dups, "CHAINED", weight)
+    got = {tuple(sorted((r.a, r.b))) for r in near_dups._linked_by_blocks(open_, base, bag, 0.8, None).collect()}
+    joined = {frozenset(p) for p in got}
+    assert joined <= {frozenset((5, 6)), frozenset((5, 7)), frozenset((6, 7))} and len(joined) >= 2
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
@@ -495,8 +514,8 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     df = spark.createDataFrame([(k, i) for k, n in ((1, 10), (2, 2), (3, 5), (4, 1)) for i in range(n)], "k int, i int")
     few = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k int, v string")
     counts = df.groupBy("k").count().withColumnRenamed("count", "n")
-    hot = common.hot_keys(counts, "k", 18)
-    assert sorted(r.k for r in hot.collect()) == [1, 3] and common.hot_keys(counts, "k", 10**9) is None
+    hot = common.hot_keys(counts, "k", 1000)
+    assert sorted(r.k for r in hot.collect()) == [1, 3] and common.hot_keys(counts, "k", 10**9) is None and common.hot_keys(counts, "k", 18) is None
     for h in (hot, None):
         assert sorted(map(tuple, common.by_key(df, few, "k", h).collect())) == sorted([(1, i, "a") for i in range(10)] + [(2, 0, "b"), (2, 1, "b"), (4, 0, "d")])
         assert common.by_key(df, few.select("k"), "k", h, "left_semi").count() == 13
