@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, lines, warc
+from loomgraph.llm import decontaminate, importance, lines, warc
 from loomgraph.llm.decontaminate import op3_decontaminate
 from loomgraph.llm.flac import op10_flac
+from loomgraph.llm.importance import op11_importance
 from loomgraph.llm.language import op6_language
 from loomgraph.llm.lines import op8_line_dedup
 from loomgraph.llm.near_dups import op4_near_duplicates
@@ -27,6 +28,7 @@ QUERIES = {
         op8_line_dedup,
         op9_pack_sequences,
         op10_flac,
+        op11_importance,
     )
 }
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": lines.ORACLE}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": lines.ORACLE, "op11_importance": importance.ORACLE}
