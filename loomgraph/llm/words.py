@@ -25,32 +25,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 256)
-#: An odd multiplier and its inverse modulo 2**64.
-_BASE = 0xD1342543DE82EF95
-_POWERS: dict[str, list[np.ndarray]] = {}
-KEPT = 1 << 22
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse; those for longer texts than KEPT bytes aren't held for the next ones."""
-    if (held := _POWERS.get("all")) is None or len(held[0]) < n:
-        held = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(max(n, 1), base, np.uint64)
-            steps[0] = 1
-            held.append(np.cumprod(steps))
-        if n <= KEPT:
-            _POWERS["all"] = held
-    return held[0][:n], held[1][:n]
+#: Odd numbers by which the eight bytes of a piece are multiplied first, and what the keys of places start from: one of each for a hash.
+_ODD, _FROM = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0x165667B19E3779F9, 0x27D4EB2F165667C5)
+_TAILS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of spans of bytes, by sums of random byte values times powers; seeds 0 and 1 give independent ones."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[seed][data] * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of spans of bytes. Every eight bytes are mixed with a key of their place, and the results are summed and mixed with the
+    length: no step but the sum is linear, so texts of a regular build collide no more than others. Seeds 0 and 1 mix different numbers, with
+    keys of their own, so a collision of one says nothing about the other."""
+    length = ends - starts
+    pieces = (length + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(starts, pieces) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))[at] & _TAILS[np.minimum(np.repeat(ends, pieces) - at, 8)]
+    keys = mixed((np.arange(1, int(pieces.max(initial=0)) + 1, dtype=np.uint64) * np.uint64(_ODD[0])) ^ np.uint64(_FROM[seed]))
+    parts = mixed((eight * np.uint64(_ODD[seed])) ^ keys[place])
+    sums = np.zeros(len(starts), np.uint64)
+    full = pieces > 0
+    if full.any():
+        sums[full] = np.add.reduceat(parts, first[full])
+    return mixed(sums ^ mixed(length.astype(np.uint64) + np.uint64(_FROM[1 - seed])))
 
 
 def word_hashes(normals: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
