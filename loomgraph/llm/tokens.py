@@ -2,7 +2,8 @@
 
 The two vocabularies split a text before any merge happens, and a pre-token's ids don't depend on its neighbours. So the
 ids of a text are the joined ids of its pre-tokens, and the library is asked only for pre-tokens not seen before. A text that spells
-an added token (<|endoftext|>) goes to the library whole, which gives that token's id for it.
+an added token (<|endoftext|>) goes to the library whole, which gives that token's id for it, and so does one with a character that
+isn't assigned in Python's Unicode, which is older than the library's.
 """
 
 from __future__ import annotations
@@ -33,16 +34,17 @@ ALPHABETS = (0x7F, 0x24F, sys.maxunicode)
 
 
 @lru_cache(3)
-def _classes(last: int) -> tuple[str, str]:
-    """The letters and the numbers of Unicode up to a code point, as ranges for a character class."""
-    found: dict[str, list[list[int]]] = {"L": [], "N": []}
+def _classes(last: int) -> tuple[str, str, str]:
+    """The letters, the numbers and the unassigned characters of Python's Unicode up to a code point, as ranges for a character class."""
+    found: dict[str, list[list[int]]] = {"L": [], "N": [], "Cn": []}
     for c in range(last + 1):
-        if (runs := found.get(unicodedata.category(chr(c))[0])) is not None:
+        kind = unicodedata.category(chr(c))
+        if (runs := found.get(kind if kind == "Cn" else kind[0])) is not None:
             if runs and runs[-1][1] == c - 1:
                 runs[-1][1] = c
             else:
                 runs.append([c, c])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found[k]) for k in "LN")
+    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found[k]) for k in ("L", "N", "Cn"))
 
 
 class Pieces(dict):
@@ -63,8 +65,10 @@ class Pieces(dict):
         self.special = re.compile("" if any(t.normalized for t in added) else "|".join(re.escape(t.content) for t in added) or "(?!)").search
         self.merge = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None
-        self.splits = [re.compile(self.pattern(*_classes(last))).findall for last in ALPHABETS]
+        self.splits = [re.compile(self.pattern(*_classes(last)[:2])).findall for last in ALPHABETS]
         self.beyond = re.compile(f"[^\\x00-\\u{ALPHABETS[1]:04x}]").search
+        # to the library, which may know a newer Unicode, they can be letters or numbers
+        self.unknown = re.compile(f"[{_classes(ALPHABETS[2])[2]}]").search
         self.missed = 0
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
 
@@ -94,7 +98,7 @@ class Pieces(dict):
         if self.missed > 5 * HELD:  # the texts have changed
             self.clear()
             self.missed = 0
-        return [self._whole(t) if self.special(t) else b"".join(map(self.__getitem__, self.split(self.normal(t) if self.lower else t))) for t in texts]
+        return [self._whole(t) if self.special(t) or not t.isascii() and self.beyond(t) and self.unknown(t) else b"".join(map(self.__getitem__, self.split(self.normal(t) if self.lower else t))) for t in texts]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

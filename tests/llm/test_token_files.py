@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from loomgraph.llm import packing, token_files
 from loomgraph.llm.common import table, work_path
-from loomgraph.llm.tokens import pieces, vocabulary
+from loomgraph.llm.tokens import Pieces, pieces, vocabulary
 
 SF = "/root/testdata/sf0.001"
 ODD = "ab Cz' sltvedrm09.,\n\t  \x85\xa0²½ⅧΣσçÉéİßǅ中́ͅ漢١😀\x1c​_-'ſK<|endoftext|>"
@@ -42,6 +43,14 @@ def library(name, texts):
     return [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point(name):
+    """Characters that Python's Unicode doesn't have yet among them."""
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"x{c}y 1{c}" for c in points[i : i + 48]) for i in range(0, len(points), 48)]
+    assert Pieces(vocabulary(name)).ids(texts) == [np.array(ids, "<u4").tobytes() for ids in library(name, texts)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=200), st.sampled_from(["<u2", "<u4"]))
 def test_segment_round_trip(lengths, kind):
