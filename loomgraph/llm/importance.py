@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import counted, id_text, map_texts, slices, table
+from loomgraph.llm.common import discard, id_text, map_texts, slices, table, written
 from loomgraph.llm.words import NORMAL
 
 N, BUCKETS, SEED, MIN_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
@@ -123,10 +123,11 @@ def resample(df: DataFrame, target: DataFrame, n: int = N, buckets: int = BUCKET
     rows = scored(df, gains(raw, goal, buckets), n, seed, id_col, text_col)
     short = (F.col("n_words") < min_words).alias("short")
     keys = [short, F.desc("score"), F.asc_nulls_last("doc_id"), "at"]
-    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    scores = written(rows.withColumn("at", F.monotonically_increasing_id()), "resample-scores")  # to sort in ranges, Spark reads them twice
     # short texts come last, so the drawn ones are the first rows of all; "at" splits even a range of rows that are equal in all else
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
-    ordered, _ = counted(ordered, "resample-ordered")
+    ordered = scores.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    ordered = written(ordered, "resample-ordered")
+    discard(scores)
     part = F.shiftright("at", 33).cast("int")
     sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n_words") >= min_words, 1)).alias("able")).collect()
     before, total, able = {}, 0, sum(r.able for r in sizes)
