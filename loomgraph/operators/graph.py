@@ -19,9 +19,17 @@ DEFAULT_LIMIT, PROMPT_LIMIT = 5, 10
 
 
 def node_id(label: Column | str, title: Column, context: Column) -> Column:
-    """The identity of a node is its label and all of its properties."""
+    """The identity of a node is its label and all of its properties. Parts stand between separators, and a null is a sign of its own; where a
+    part holds either, it is written with an escape, so no two nodes have one identity."""
     label = F.lit(label) if isinstance(label, str) else label
-    return F.sha2(F.concat_ws("\x1f", label, F.coalesce(title, F.lit("\x00")), F.coalesce(context, F.lit("\x00"))), 256)
+    parts = [F.coalesce(_escaped(x), F.lit("\x00")) for x in (label, title, context)]
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+
+
+def _escaped(part: Column) -> Column:
+    for sign, code in (("\x1b", "e"), ("\x1f", "s"), ("\x00", "n")):
+        part = F.replace(part, F.lit(sign), F.lit(f"\x1b{code}"))
+    return part
 
 
 class Tables(Mapping):

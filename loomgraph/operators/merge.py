@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph, Match, Tables, node_id
-from loomgraph.sources.scratch import work_path
+from loomgraph.sources.scratch import settled, work_path
 
 
 def _with(tables: Mapping[str, DataFrame], name: str, df: DataFrame) -> Tables:
@@ -98,7 +98,8 @@ def batch_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def merge_batches(graph: Graph, rows: DataFrame) -> Graph:
     """Merges all batches. They are taken apart once, into tables with a partition for each label and type, in the work folder; the labels
-    and types present are schema, and few."""
+    and types present are schema, and few. Statements that might be others when they are made again are written first."""
+    rows = settled(rows, "statements")
     nodes, edges = batch_rows(rows)
     for column, table, merged in (("label", nodes, merge_nodes), ("type", edges, merge_edges)):
         path = work_path(rows.sparkSession, f"batch-{column}")

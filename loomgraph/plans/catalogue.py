@@ -14,7 +14,9 @@ from loomgraph.operators import ingest, introspect, merge, sessions
 from loomgraph.operators.graph import Graph, limited, node_id, reachable
 from loomgraph.plans import extraction, retrieval
 from loomgraph.plans.chat import chat
+from loomgraph.plans.replies import Model, Replies
 from loomgraph.sources import seed
+from loomgraph.sources.history import History
 from loomgraph.sources.files import as_json, read_directory, read_text
 from loomgraph.sources.scratch import work_path, written
 from loomgraph.sources.snapshots import read_snapshot, read_store, write_snapshot, write_store
@@ -180,6 +182,17 @@ def merge_nodes_idempotent(spark, d):
     return merge.merge_nodes(g, "Part", batch).nodes["Part"].select("id", "title", "context")
 
 
+@query("SELECT CAST(4 * count(*) AS BIGINT) AS nodes, CAST(4 * count(*) AS BIGINT) AS ids FROM nation")
+def merge_nodes_separators(spark, d):
+    """Titles and contexts that hold separators, and nulls beside the sign of a null: all are nodes of their own."""
+    s = table(spark, d, "nation").select(F.col("n_name").alias("n"))
+    sign, null = F.lit("\x1f"), F.lit(None).cast("string")
+    kinds = [(F.concat("n", sign, F.lit("b")), F.lit("c")), (F.col("n"), F.concat(F.lit("b"), sign, F.lit("c"))), (F.col("n"), null), (F.col("n"), F.lit("\x00"))]
+    batch = reduce(DataFrame.union, [s.select(t.alias("title"), c.alias("context")) for t, c in kinds])
+    g = merge.merge_nodes(merge.merge_nodes(Graph(), "Odd", batch), "Odd", batch)
+    return g.nodes["Odd"].agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("id").alias("ids"))
+
+
 @query("SELECT DISTINCT 'Supplier:' || l_suppkey AS src, 'Part:' || l_partkey AS dst FROM lineitem")
 def merge_rels_idempotent(spark, d):
     batch = table(spark, d, "lineitem").select(F.concat(F.lit("Supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("Part:"), "l_partkey").alias("dst"))
@@ -320,6 +333,27 @@ def snapshot_round_trip(spark, d):
     return g.all_nodes().select(F.col("label").alias("name")).union(g.all_edges().select("type")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT title, CAST(1 AS BIGINT) AS n, CAST(7 AS BIGINT) AS version FROM (SELECT n_name AS title FROM nation UNION ALL SELECT r_name FROM region)")
+def publish_twice(spark, d):
+    """A batch of nations for each region, each published twice, and a writer of regions who starts from the version before another's: every
+    row is there once, in seven versions."""
+    history = History(spark, work_path(spark, "history"))
+    nations = table(spark, d, "nation")
+    write = lambda k: lambda g: merge.merge_nodes(g, "Nation", nations.where(F.col("n_regionkey") == k).select(F.col("n_name").alias("title"), F.lit("").alias("context")))
+    for k in range(5):
+        for _ in range(2):
+            history.commit(write(k), batch=("nations", k))
+    raced = []
+
+    def regions(g):
+        if not raced:  # another writer is faster, once
+            raced.append(history.commit(lambda g: merge.merge_edges(g, "NEAR", g.nodes["Nation"].select(F.col("id").alias("src"), F.col("id").alias("dst")))))
+        return merge.merge_nodes(g, "Region", table(spark, d, "region").select(F.col("r_name").alias("title"), F.lit("").alias("context")))
+
+    version = history.commit(regions)
+    return history.read().all_nodes().groupBy("title").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(version).cast("long"))
+
+
 # the seed graph
 
 
@@ -391,21 +425,18 @@ def text_file(spark, d):
 @query("SELECT n_name AS title, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def ingest_with_feedback(spark, d):
     """Pages of a stream, a batch for each region; every batch merges into what the one before has published."""
-    pages, versions = work_path(spark, "pages"), work_path(spark, "versions")
+    pages, history = work_path(spark, "pages"), History(spark, work_path(spark, "versions"))
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.format_string("%s is a Nation. %s is a Region. %s LIES_IN %s.", F.col("n_name"), F.translate("r_name", " ", "_"), F.col("n_name"), F.translate("r_name", " ", "_"))
     rows.select("n_regionkey", F.col("n_nationkey").alias("doc_id"), text.alias("text")).repartition("n_regionkey").write.partitionBy("n_regionkey").parquet(pages)
 
     def publish(statements, number):
-        before = read_snapshot(spark, f"{versions}/{number - 1}") if number else Graph()
-        graph = merge.merge_batches(before, merge.statement_rows(statements.select(F.col("doc_id").alias("batch"), F.col("statements").alias("text"))))
-        write_snapshot(graph, f"{versions}/{number}")
-        return introspect.summary_text(graph)
+        rows = merge.statement_rows(statements.select(F.col("doc_id").alias("batch"), F.col("statements").alias("text")))
+        return introspect.summary_text(history.read(history.commit(lambda g: merge.merge_batches(g, rows), batch=("pages", number))))
 
     stream = spark.readStream.schema("doc_id int, text string").option("maxFilesPerTrigger", 1).parquet(f"{pages}/*")
-    q = live.ingest(stream, lambda batch, summary: extraction.extracted(batch), publish, work_path(spark, "ingest"))
-    q.awaitTermination()
-    g = read_snapshot(spark, f"{versions}/{q.lastProgress['batchId'] if q.lastProgress['numInputRows'] else q.lastProgress['batchId'] - 1}")
+    live.ingest(stream, lambda batch, summary: extraction.extracted(batch), publish, work_path(spark, "ingest")).awaitTermination()
+    g = history.read()
     m = g.match("n", "Nation").to("LIES_IN", "r", "Region")
     return m.df.select(F.col("n__title").alias("title"), F.translate("r__title", "_", " ").alias("region"))
 
@@ -512,6 +543,20 @@ def prompt_fill_braces(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.fill_prompt("Q: {q} {{x}} {other}", q=question, data=F.lit("no")).alias("prompt"))
 
 
+_RUN = 20_000
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, length(trim(t || repeat(' ', {_RUN}) || 'x ' || chr(8195) || chr(10), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(8195))) AS trimmed,
+       length(trim(t || repeat('|', {_RUN}) || 'x||', '|')) AS stripped, length(t) + {_RUN} + CASE WHEN contains(upper(t), 'LIMIT') THEN 3 ELSE 9 END AS limited FROM d""")
+def trims_of_long_runs(spark, d):
+    """Runs of blanks, pipes or semicolons inside a text are left alone, in time linear in the text."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    inner = lambda sign, end: F.concat("t", F.repeat(F.lit(sign), F.lit(_RUN)), F.lit(end))
+    limited = T.with_limit_by_substring(inner(";", "x;;"))
+    return docs.select("doc_id", *(F.length(x).cast("long").alias(name) for name, x in (("trimmed", T.trim_all(inner(" ", "x \u2003\n"))), ("stripped", T.strip_pipes(inner("|", "x||"))), ("limited", limited))))
+
+
 # questions
 
 
@@ -602,6 +647,26 @@ def model_choice(spark, d):
     return _asked(spark, d).select("conv_id", "turn", retrieval.model_answer("<{user_input}>", model)(F.col("question"), F.lit(""), F.lit(None)).alias("answer"))
 
 
+@query("SELECT text AS prompt, 2 * count(*) AS n, CAST(1 AS BIGINT) AS replies FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY text")
+def replies_once(spark, d):
+    """A model that answers anew each time is asked once for each distinct prompt, in two passes over all questions."""
+    model = Model("random", lambda prompt: F.concat(F.uuid(), prompt), Replies(spark, work_path(spark, "replies")))
+    asked = _asked(spark, d).where("question is not null")
+    both = [model.replies.ask(asked, F.col("question"), model.name, model.call) for _ in range(2)]
+    return both[0].union(both[1]).groupBy(F.col("question").alias("prompt")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("reply").alias("replies"))
+
+
+@query("SELECT conv_id, turn, CAST(1 AS BIGINT) AS n, true AS whole FROM conversations WHERE role = 'user'")
+def answers_once(spark, d):
+    """Guard and answers are random; each question is refused or answered, and never both."""
+    replies = Replies(spark, work_path(spark, "replies"))
+    guard = Model("coin", lambda p: F.when(F.rand() < 0.5, "generate").otherwise(F.lit("end")), replies)
+    final = retrieval.model_answer("{user_input} {data}", Model("random", lambda p: F.concat(F.uuid(), p), replies))
+    rows = retrieval.answer_questions(_asked(spark, d), guard, replace(_plan(spark, d), pattern=r"(\w+)"), final=final)
+    whole = F.when(F.col("guardrail_decision") == "end", F.col("answer") == retrieval.REFUSAL).otherwise(F.endswith("answer", F.col("context")))
+    return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.bool_and(whole).alias("whole"))
+
+
 @query("SELECT 'graph TD' || chr(10) || '    START --> guard' || chr(10) || '    guard -->|generate_cypher| plan' || chr(10) || '    guard -->|end| refuse' || chr(10) || '    plan --> retrieve' || chr(10) || '    refuse --> END' || chr(10) || '    retrieve --> END' AS diagram")
 def state_diagram(spark, d):
     return spark.createDataFrame([(retrieval.mermaid(retrieval.STATES),)], "diagram string")

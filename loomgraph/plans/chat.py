@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.sessions import Store, chat_history, invalid_requests
 from loomgraph.plans.retrieval import APOLOGY, Guarded, Plan, Plans, TextModel, answer_questions, no_model_answer
-from loomgraph.sources.scratch import written
+from loomgraph.sources.scratch import settled, written
 
 
 def chat(store: Store, requests: DataFrame, guard: TextModel, plan: Plan | Plans | Guarded, final=no_model_answer) -> tuple[Store, DataFrame]:
@@ -26,6 +26,7 @@ def chat(store: Store, requests: DataFrame, guard: TextModel, plan: Plan | Plans
     asked = good.select("session_id", "message", "at").join(past, "session_id", "left")
     answers = answer_questions(asked, guard, plan, qid="session_id", question="message", final=final, past="history")
     answers = answers.select("session_id", "at", F.when(F.col("error").isNotNull(), F.concat(F.lit(APOLOGY), "error")).otherwise(F.col("answer")).alias("message"), F.when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("knowledge_graph")).alias("source"), "error")
+    answers = settled(answers, "answers")  # what is stored is what is sent
     store, _ = store.append(answers.select("session_id", F.lit("assistant").alias("role"), F.col("message").alias("text"), "at"))
     bad = checked.where("error is not null").select("session_id", "at", F.lit(None).cast("string").alias("message"), F.lit("error").alias("source"), "error")
     return store, answers.unionByName(bad).drop("at")

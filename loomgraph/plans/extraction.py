@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NO_SCHEMA, ascii_fold, fill_prompt, is_blank, or_default, pipe_join, pipe_split, quote_escape
 from loomgraph.operators.graph import Graph
+from loomgraph.operators.introspect import schema_text
+from loomgraph.plans.replies import Model, ask
 from loomgraph.plans.retrieval import TextModel
 from loomgraph.sources.scratch import written
 
@@ -31,11 +33,23 @@ def extracted(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return full.select(key, pipe_join(F.concat(F.array_distinct(nodes), F.array_distinct(edges))).alias("statements"))
 
 
-def extracted_by_model(chunks: DataFrame, template: str, model: TextModel, schema: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As extracted, by a model's replies to a template with {context} and {schema_context}; a null reply (a failure) is an empty list."""
-    full = chunks.where(~is_blank(text))
-    reply = model(fill_prompt(template, context=F.col(text), schema_context=or_default(F.lit(schema), NO_SCHEMA)))
-    return full.select(key, pipe_join(pipe_split(F.coalesce(reply, F.lit("")))).alias("statements"))
+def extracted_by_model(chunks: DataFrame, template: str, model: TextModel | Model, schema: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As extracted, by a model's replies to a template with {context} and {schema_context}; a null reply (a failure) is an empty list. The
+    model is asked once for each chunk, whatever reads its statements."""
+    full = chunks.where(~is_blank(text)).select(key, text)
+    prompt = fill_prompt(template, context=F.col(text), schema_context=or_default(F.lit(schema), NO_SCHEMA))
+    return ask(full, prompt, model, "reply_").select(key, pipe_join(pipe_split(F.coalesce("reply_", F.lit("")))).alias("statements"))
+
+
+def described_schema(graph: Graph, template: str, model: TextModel | Model | None) -> str:
+    """A model's summary of the schema, as its reply to a template with {schema}; the schema's own text where no model is configured, or
+    where its reply is null or blank."""
+    text = schema_text(graph)
+    if model is None:
+        return text
+    row = SparkSession.active().createDataFrame([(text,)], "schema string")
+    reply = ask(row, fill_prompt(template, schema="schema"), model, "reply_").select(F.when(~is_blank("reply_"), F.col("reply_"))).first()[0]
+    return text if reply is None else reply
 
 
 def load_blocks(graph: Graph, blocks: list[Callable[[Graph], Graph]]) -> tuple[Graph, list[str]]:

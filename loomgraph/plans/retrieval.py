@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import NO_HISTORY, fill_prompt, guard_decision, or_default
 from loomgraph.operators.graph import DEFAULT_LIMIT
-from loomgraph.sources.scratch import written
+from loomgraph.plans.replies import Model, ask
+from loomgraph.sources.scratch import settled, written
 
 #: The sentences that users see.
 REFUSAL = "W bazie danych nie ma informacji"
 NO_MODEL, APOLOGY = "Dane z grafu wiedzy: ", "Przepraszam, nie mogłem uzyskać odpowiedzi z bazy wiedzy. Błąd: "
 
-#: A text model: from a column of prompts to a column of replies. Expressions stay in the JVM; a pandas UDF may call a real model.
+#: A text model: from a column of prompts to a column of replies. Expressions stay in the JVM; a pandas UDF may call a real model. Where a
+#: Model is given instead, its replies are kept and read again.
 TextModel = Callable[[Column], Column]
 
 
@@ -32,9 +34,10 @@ def keyword_guard(*keywords: str) -> TextModel:
     return model
 
 
-def routed(questions: DataFrame, guard: TextModel, question: str = "question") -> DataFrame:
-    """Adds guardrail_decision; a null question ends."""
-    return questions.withColumn("guardrail_decision", guard_decision(guard(F.coalesce(F.col(question), F.lit("")))))
+def routed(questions: DataFrame, guard: TextModel | Model, question: str = "question") -> DataFrame:
+    """Adds guardrail_decision; a null question ends. The guard is asked once for each question, whatever reads its decisions."""
+    asked = ask(questions, F.coalesce(F.col(question), F.lit("")), guard, "guard_reply")
+    return asked.withColumn("guardrail_decision", guard_decision("guard_reply")).drop("guard_reply")
 
 
 def refusals(routed_questions: DataFrame) -> DataFrame:
@@ -132,17 +135,35 @@ def no_model_answer(question: Column, data: Column, past: Column) -> Column:
     return F.concat(F.lit(NO_MODEL), data)
 
 
-def model_answer(template: str, model: TextModel) -> Callable[[Column, Column, Column], Column]:
+@dataclass(frozen=True)
+class ModelAnswer:
     """The answer of a model to a template with {history}, {user_input} and {data}."""
-    return lambda question, data, past: model(fill_prompt(template, history=or_default(past, NO_HISTORY), user_input=question, data=data))
+
+    template: str
+    model: TextModel | Model
+
+    def prompt(self, question: Column, data: Column, past: Column) -> Column:
+        return fill_prompt(self.template, history=or_default(past, NO_HISTORY), user_input=question, data=data)
+
+    def __call__(self, question: Column, data: Column, past: Column) -> Column:
+        return self.model(self.prompt(question, data, past))
+
+
+def model_answer(template: str, model: TextModel | Model) -> ModelAnswer:
+    return ModelAnswer(template, model)
 
 
 def answer_questions(questions: DataFrame, guard: TextModel, plan: Plan | Plans | Guarded, qid: str = "qid", question: str = "question", final=no_model_answer, past: str | None = None) -> DataFrame:
-    """All questions: refused or retrieved, then answered. Rows: the input's columns, answer, context, query, error, metadata."""
+    """All questions: refused or retrieved, then answered. Rows: the input's columns, answer, context, query, error, metadata.
+
+    Each question gives one row, also of models that answer differently each time: a model's replies are settled before rows part."""
     rows = routed(questions, guard, question)
     passed = plan.retrieve(rows.where("guardrail_decision = 'generate_cypher'"), qid, question)
     before = F.col(past) if past else F.lit(None).cast("string")
-    passed = passed.withColumn("answer", final(F.col(question), F.col("context"), before))
+    if isinstance(final, ModelAnswer):
+        passed = ask(passed, final.prompt(F.col(question), F.col("context"), before), final.model, "answer")
+    else:
+        passed = settled(passed.withColumn("answer", final(F.col(question), F.col("context"), before)), "answers")
     return envelope(passed.unionByName(refusals(rows)))
 
 

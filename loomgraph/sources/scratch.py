@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df; written first, if its rows might be others when they are evaluated again: they come from Python functions, random numbers or
+    made-up ids."""
+    plan = df._jdf.queryExecution()
+    again = not plan.analyzed().deterministic() or re.search("EvalPython|InArrow|InPandas", plan.optimizedPlan().toString())
+    return written(df, name) if again else df
+
+
 def discard(*tables: DataFrame | str) -> None:
     """Deletes work folders: paths, or all that the tables read from. Only those of work_path() are touched."""
     for t in tables:

@@ -28,7 +28,8 @@ def ingest(pages: DataFrame, extract: Callable[[DataFrame, str], DataFrame], pub
     summary that the next batch sees. Blank pages are left out, and a batch without any keeps the summary.
 
     Summaries are kept beside the checkpoint, one for each batch, so a stream that is started again goes on with the last one; a batch
-    that is run again sees that of the batch before it.
+    that is run again sees that of the batch before it. A stop between publishing and keeping the summary runs the batch again, too: so
+    publish takes the batch's number, with which a History finds that it has been written (sources.history).
     """
     spark, kept = pages.sparkSession, f"{checkpoint.rstrip('/')}-summaries"
     spark.createDataFrame([], SUMMARY).write.mode("append").parquet(kept)
