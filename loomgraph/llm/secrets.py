@@ -22,9 +22,9 @@ from loomgraph.llm.tokens import vocabulary
 KINDS = ("assign", "access", "hex", "guess")
 #: A value that takes 10 to this power guesses is a secret.
 MIN_COST = 9.0
-#: Characters up to which a value's cost is the exact least; pairs of a place and a unit repeated there, times characters, beyond which
-#: only each place's shortest unit is tried; values whose cost a task remembers.
-EXACT, WORK, KNOWN = 2048, 2_000_000, 50_000
+#: What every higher cost is given as: nobody guesses so long, and a segmentation that costs so much needn't be gone on with. Values whose
+#: cost a task remembers.
+BEYOND, KNOWN = 40.0, 50_000
 RESULT = "doc_id long, spans array<struct<kind: string, start: long, end: long, cost: double>>"
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -42,8 +42,7 @@ _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential")
 ROWS = (("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"), ("~!@#$%^&*()_+", "QWERTYUIOP{}|", 'ASDFGHJKL:"', "ZXCVBNM<>?"))
 LEET = str.maketrans("4@301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d)", re.A)
-LONG_RUN = re.compile(r"(.{1,64}?)\1{2,}", re.S)
-#: Distinct runs of so many characters bound a long value's cost from below.
+#: Distinct runs of so many characters bound a value's cost from below.
 GRAM = 8
 
 
@@ -80,112 +79,193 @@ class Guesses:
         self.known: dict[str, float] = {}
 
     def cost(self, value: str) -> float:
-        """Log10 of guesses by the cheapest segmentation; each segment more doubles the guesses. Exact up to EXACT characters, unless a
-        value repeats itself in too many ways (WORK): then repeats of each place's shortest unit only, which may cost more.
-
-        Of a longer value, a bound from below, if that is MIN_COST or more: a word has few distinct runs of GRAM characters and costs
-        log10(2) beside the others, any other segment costs more for each, and a repeat adds GRAM - 1 for at least as much. Otherwise it
-        repeats itself, and the cost is an estimate, of the value with each long run cut to two units.
-        """
+        """Log10 of guesses by the cheapest segmentation, of a value of any length; each segment more doubles the guesses. Costs of BEYOND
+        and more are all given as BEYOND."""
         if (cost := self.known.get(value)) is None:
             if len(self.known) >= KNOWN:
                 self.known.clear()
-            cost = self.known[value] = self._least(value) if len(value) <= EXACT else self._of_long(value)
+            cost = self.known[value] = BEYOND if self._is_beyond(value) else _Places(value, self).least()
         return cost
 
-    def _of_long(self, value: str) -> float:
-        most = (MIN_COST / TWO + 1) * (self.longest + GRAM - 1)
+    def _is_beyond(self, value: str) -> bool:
+        """Whether a bound from below says so: a word has few distinct runs of GRAM characters and costs log10(2) beside the others, any
+        other segment costs more for each, and a repeat adds GRAM - 1 for at least as much."""
+        most = (BEYOND / TWO + 1) * (self.longest + GRAM - 1)
         grams: set[str] = set()
-        for i in range(len(value) - GRAM + 1):
+        for i in range(len(value) - GRAM + 1 if len(value) > most else 0):
             grams.add(value[i : i + GRAM])
             if len(grams) > most:
-                return (len(grams) / (self.longest + GRAM - 1) - 1) * TWO
-        cut = LONG_RUN.sub(r"\1\1", value)
-        return sum(self._least(cut[i : i + EXACT]) for i in range(0, len(cut), EXACT))
-
-    def segments(self, value: str) -> list[list[tuple[int, float]]]:
-        """For each place, where words, dates and keyboard walks from there end, and what they cost."""
-        n, ranks, keys = len(value), self.ranks, _keys()
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
-        plain = lower.translate(LEET)
-        out: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for i in range(n):
-            for j in range(i + 3, min(n, i + self.longest) + 1):
-                word, at, swapped = lower[i:j], ranks.get(lower[i:j]), 0
-                if at is None and plain[i:j] != word:
-                    at = ranks.get(plain[i:j])
-                    swapped = sum(a != b for a, b in zip(word, plain[i:j]))
-                if at is not None:
-                    own = value[i:j]
-                    cased = 0 if own == word else TWO if own in (word.upper(), word.capitalize()) else sum(c.isupper() for c in own) * TWO
-                    out[i].append((j, log10(at) + cased + swapped * TWO))
-            if value[i].isdigit():
-                for j in range(i + 4, min(n, i + 10) + 1):
-                    if m := DATE.fullmatch(value, i, j):
-                        out[i].append((j, log10(365 * 60 if j - i > 4 else 120) + (log10(4) if m[1] or m[2] else 0)))
-            turns, way = 0, None
-            for j in range(i + 1, n):
-                a, b = keys.get(value[j - 1]), keys.get(value[j])
-                if a is None or b is None or (step := (b[0] - a[0], b[1] - a[1])) not in NEAR:
-                    break
-                turns += step != way
-                way = step
-                if j - i >= 2:
-                    out[i].append((j + 1, log10(94) + log10(j + 1 - i) + turns * log10(4)))
+                return True
+        return False
+
+
+class _Places:
+    """A value's places: the segments that begin there, and the runs they lie in.
+
+    A run is a longest stretch with a period of at most half its length, and no shorter one that divides it. Units that are repeated lie
+    in runs, and two units of a run that begin a whole number of periods apart are equal; so a unit is priced once for each run and
+    place within the period. Powers of a unit cost what it does and their number of times, unless they have a cheaper segmentation of
+    their own (a word such as papa); those are looked for until none is found that the others don't explain. Runs are found in time that
+    grows with the square of what is left of a value beside its longest run, and a value with many distinct runs of characters
+    doesn't get here. In memory a character takes about 200 bytes.
+    """
+
+    def __init__(self, value: str, guesses: Guesses):
+        self.value, self.guesses = value, guesses
+        self.lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        self.plain = self.lower.translate(LEET)
+        self.single = [_class(c) for c in value]
+        self.known: dict[str, list[tuple[int, float]]] = {}
+        self.runs = _runs(value)
+        self.at = self._covered()
+        self.unit: dict[tuple[int, int], float] = {}
+        self.powers: dict[tuple[int, int], list[tuple[int, float]]] = {}
+
+    def _covered(self) -> list[tuple[int, ...]]:
+        """The runs that each place lies in or ends; neighbours share what they have in common."""
+        begin, end, now, out = {}, {}, (), []
+        for r, (a, b, _) in enumerate(self.runs):
+            begin.setdefault(a, []).append(r)
+            end.setdefault(b + 1, set()).add(r)
+        for k in range(len(self.value) + 1):
+            if k in begin or k in end:
+                now = (*(r for r in now if r not in end.get(k, ())), *begin.get(k, ()))
+            out.append(now)
+        return out
+
+    def least(self) -> float:
+        while True:
+            priced: dict[str, float] = {}
+            for r, (start, end, p) in enumerate(self.runs):  # by period, as a unit's cost depends on shorter ones
+                for k in range(start, min(start + p, end - 2 * p + 1)):
+                    if (cost := priced.get(unit := self.value[k : k + p])) is None:
+                        cost = priced[unit] = self.costs(k, k + p, BEYOND)[-1]
+                    self.unit[r, k - start] = cost
+            if not self._new_powers():
+                return min(BEYOND, self.costs(0, len(self.value), BEYOND)[-1])
+
+    def _new_powers(self) -> bool:
+        found_any = False
+        for r, (start, end, p) in enumerate(self.runs):
+            for k in range(start, min(start + p, end - 4 * p + 1)):
+                most, unit = (end - k) // (2 * p), self.unit[r, k - start]
+                if unit >= BEYOND:
+                    continue
+                costs, own = self.costs(k, k + most * p, min(BEYOND, unit + log10(most) + 1e-9)), []
+                for m in range(2, most + 1):
+                    explained = min([unit + log10(m), *(c + log10(m * p // n) for n, c in own if m * p % n == 0)])
+                    if costs[m * p] < explained - 1e-12:
+                        own.append((m * p, costs[m * p]))
+                if own != self.powers.get((r, k - start), []):
+                    self.powers[r, k - start] = own
+                    found_any = True
+        return found_any
+
+    def segments(self, i: int) -> list[tuple[int, float]]:
+        """How long words, dates and keyboard walks from a place are, and what they cost. They are remembered by the text ahead."""
+        ahead = self.value[i : i + max(self.guesses.longest, 10) + 1]
+        if (out := self.known.get(ahead)) is not None:
+            return out
+        value, lower, plain, n, ranks, keys = self.value, self.lower, self.plain, len(self.value), self.guesses.ranks, _keys()
+        out = []
+        for j in range(i + 3, min(n, i + self.guesses.longest) + 1):
+            word, at, swapped = lower[i:j], ranks.get(lower[i:j]), 0
+            if at is None and plain[i:j] != word:
+                at = ranks.get(plain[i:j])
+                swapped = sum(a != b for a, b in zip(word, plain[i:j]))
+            if at is not None:
+                own = value[i:j]
+                cased = 0 if own == word else TWO if own in (word.upper(), word.capitalize()) else sum(c.isupper() for c in own) * TWO
+                out.append((j - i, log10(at) + cased + swapped * TWO))
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if m := DATE.fullmatch(value, i, j):
+                    out.append((j - i, log10(365 * 60 if j - i > 4 else 120) + (log10(4) if m[1] or m[2] else 0)))
+        turns, way, j = 0, None, i
+        for j in range(i + 1, n + 1):
+            if j == n or (a := keys.get(value[j - 1])) is None or (b := keys.get(value[j])) is None or (step := (b[0] - a[0], b[1] - a[1])) not in NEAR:
+                break
+            turns += step != way
+            way = step
+            cost = log10(94) + log10(j + 1 - i) + turns * log10(4)
+            if cost >= BEYOND:
+                break
+            if j - i >= 2:
+                out.append((j + 1 - i, cost))
+        if j - i < len(ahead) or i + len(ahead) == n:  # a longer walk depends on more than that
+            self.known[ahead] = out
         return out
 
-    def _least(self, value: str) -> float:
-        if not value:
-            return 0.0
-        n, offers, single = len(value), self.segments(value), [_class(c) for c in value]
-        units = _units(value)
-
-        def forward(i: int, stop: int) -> float:
-            """The least cost of value[i:stop]; on the way, what repeats from i cost is added to offers[i]. Those of later places are
-            there already."""
-            inf = float("inf")
-            brute, other = [inf] * (n + 1), [inf] * (n + 1)  # by whether the last segment is a brute-force one, which may go on
-            own = units.get(i, {})
-            for k in range(i, stop):
-                least = min(brute[k], other[k]) if k > i else 0.0
-                if times := own.get(k - i):
-                    for r in range(2, times + 1):
-                        offers[i].append((i + r * (k - i), least + log10(r)))
-                        if (end := i + r * (k - i)) <= stop:
-                            other[end] = min(other[end], least + log10(r))
-                before = least + TWO if k > i else 0.0
-                brute[k + 1] = min(brute[k], (other[k] + TWO) if k > i else 0.0) + single[k]
-                for end, cost in offers[k] if k > i or not own else offers[k][: first[i]]:
-                    if end <= stop and before + cost < other[end]:
-                        other[end] = before + cost
-            if times := own.get(stop - i):
-                for r in range(2, times + 1):
-                    offers[i].append((i + r * (stop - i), min(brute[stop], other[stop]) + log10(r)))
-            return min(brute[stop], other[stop])
-
-        first = [len(x) for x in offers]
-        for i in sorted(units, reverse=True):
-            if i:
-                forward(i, i + max(units[i]))
-        return forward(0, n)
-
-
-def _units(value: str) -> dict[int, dict[int, int]]:
-    """For each place, the lengths of units that are repeated from there on, and how many times at most."""
-    n, out = len(value), {}
+    def costs(self, i: int, stop: int, limit: float) -> list[float]:
+        """The least cost of value[i:k] for each k from i to stop; those of limit and more are infinite, and aren't gone on from."""
+        inf, runs, single = float("inf"), self.runs, self.single
+        brute, other = [inf] * (stop - i + 1), [inf] * (stop - i + 1)  # by whether the last segment is a brute-force one, which may go on
+        least = [inf] * (stop - i + 1)
+        repeats: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for k in range(i, stop + 1):
+            at = k - i
+            if repeats:
+                for r in self.at[k]:
+                    start, _, p = runs[r]
+                    if asked := repeats.get((r, (k - start) % p)):
+                        other[at] = min(other[at], _ended(asked, k, p))
+            now = least[at] = min(brute[at], other[at]) if at else 0.0
+            if now >= limit:
+                least[at] = inf
+                continue
+            if k == stop:
+                break
+            before = now + TWO if at else 0.0
+            if (cost := (min(brute[at], other[at] + TWO) if at else 0.0) + single[k]) < brute[at + 1]:
+                brute[at + 1] = cost
+            for n, cost in self.segments(k):
+                if k + n <= stop and before + cost < other[at + n]:
+                    other[at + n] = before + cost
+            for r in self.at[k]:
+                start, end, p = runs[r]
+                end = min(end, stop)
+                if k + 2 * p <= end:
+                    key = (r, (k - start) % p)
+                    if (unit := self.unit.get(key, inf)) < limit:
+                        asked = repeats.setdefault(key, [])
+                        # an earlier one that is cheaper at this one's first end is so at all later ends
+                        if not any(c + log10((k - a) // p + 2) <= before + unit + TWO for a, c in asked):
+                            asked.append((k, before + unit))
+                    for n, cost in self.powers.get(key, ()):
+                        for e in range(k + 2 * n, end + 1, n):
+                            other[e - i] = min(other[e - i], before + cost + log10((e - k) // n))
+        return least
+
+
+def _ended(asked: list[tuple[int, float]], k: int, p: int) -> float:
+    """The least cost of the repeats that end at k: asked has where each begins, in order, and its cost but for the number of times. Those
+    that can't be the least at any later end are removed."""
+    best, first, own = float("inf"), -1, float("inf")
+    for begin, cost in asked:
+        if k - begin >= 2 * p and (whole := cost + log10((k - begin) // p)) < best:
+            best, first, own = whole, begin, cost
+    if len(asked) > 1 and first >= 0:
+        asked[:] = [(b, c) for b, c in asked if b == first or b < first and c < own or k - b < 2 * p]
+    return best
+
+
+def _runs(value: str) -> list[tuple[int, int, int]]:
+    """Start, end and period of each run, by period."""
     codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = 0
-    for p in range(1, n // 2 + 1):
+    out: list[tuple[int, int, int]] = []
+    n = len(value)
+    p, last = 1, n // 2
+    while p <= last:
         same = codes[:-p] == codes[p:]
-        if not same.any():
-            continue
-        ends = np.append(np.flatnonzero(~same), n - p)
-        length = ends[np.searchsorted(ends, np.arange(n - p))] - np.arange(n - p)
-        for i in np.flatnonzero(length >= p).tolist():
-            own = out.setdefault(i, {})
-            if not own or total * n <= WORK:
-                own[p] = int(length[i]) // p + 1
-                total += 1
+        if np.count_nonzero(same) >= p:
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+            parts = [(s, e) for s, e, d in out if p % d == 0]
+            for a, b in edges.reshape(-1, 2).tolist():
+                if b - a >= p and not any(s <= a and b + p <= e for s, e in parts):
+                    out.append((a, b + p, p))
+                    # a run of a longer period shares less than both periods with this one, and its own length is two of its periods
+                    last = min(last, n - (b + p - a) + p)
+        p += 1
     return out
 
 

@@ -11,6 +11,7 @@ import math
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -230,6 +231,48 @@ def test_guess_costs_against_all_segmentations():
     assert plain("aaaaaaaaaaaa") == guesses.cost("aaaaaaaaaaaa")
 
 
+def interval_cost(ranks, t):
+    """As plain_cost, for longer values: the least cost of every part, shorter ones first, by all cuts in two. Brute-force characters that
+    meet are one segment."""
+    guesses, n = secrets.Guesses(ranks), len(t)
+    two, single = math.log10(2), np.array([0, *np.cumsum([secrets._class(c) for c in t])])
+    best = np.full((n + 1, n + 1), np.inf)
+    atoms = {(i, i + m): cost for i in range(n) for m, cost in secrets._Places(t[i : i + 60], guesses).segments(0)}
+    for size in range(1, n + 1):
+        for i in range(n - size + 1):
+            j, part = i + size, t[i : i + size]
+            least = min(single[j] - single[i], atoms.get((i, j), np.inf))
+            for p in range(1, size // 2 + 1):
+                if size % p == 0 and part[p:] == part[:-p]:
+                    least = min(least, best[i, i + p] + math.log10(size // p))
+            if size > 1:
+                least = min(least, (best[i, i + 1 : j] + best[i + 1 : j, j]).min() + two)
+            best[i, j] = least
+    return best[0, n]
+
+
+@pytest.mark.parametrize("n", [60, 200])
+def test_guess_costs_of_repeats(n):
+    """Units of any length, units within units, and powers with a price of their own."""
+    ranks = {"the": 1, "them": 40, "haha": 2, "hahaha": 3, "pass": 7, "word": 9, "password": 2, "aaaa": 1, "sun": 30, "abab": 5}
+    guesses, rnd = secrets.Guesses(ranks), random.Random(n)
+    unit = lambda k: "".join(rnd.choice(["a", "b", "ha", "aaa", "ab", "the", "sun", "1", "pass"]) for _ in range(k))
+    for k in range(14):
+        t = "".join(unit(rnd.randint(1, 9)) * rnd.randint(1, 5) for _ in range(4)) if k % 2 else unit(rnd.randint(1, 20))
+        t = (t * n)[:n] + unit(k % 3)
+        assert abs(guesses.cost(t) - min(secrets.BEYOND, interval_cost(ranks, t))) < 1e-9, t
+
+
+def test_guess_costs_of_long_values():
+    guesses, log = secrets.Guesses(secrets.words_by_rank(vocabulary("word_bpe_49k.json"))), math.log10
+    unit = "Zk8!pQ2#vL" + "hello" * 9 + "passwordmonkey2019"  # of 73 characters
+    for t, least in (("a" * 2048, log(26) + log(2048)), (unit * 28, guesses.cost(unit) + log(28)), ("x9$Kq!" * 30_000, guesses.cost("x9$Kq!") + log(30_000))):
+        assert guesses.cost(unit) < secrets.BEYOND and abs(guesses.cost(t) - least) < 1e-9
+    start = time.process_time()
+    guesses.cost("b" * 2048)
+    assert time.process_time() - start < 0.5
+
+
 def test_guess_costs(spark):
     guesses = secrets.Guesses(secrets.words_by_rank(vocabulary("word_bpe_49k.json")))
     cost = guesses.cost
@@ -243,7 +286,8 @@ def test_guess_costs(spark):
     found = secrets.find('pwd = "x9$Kq!2mZp w", password: summer2019, auth: Zk8!pQ2#vL', guesses)
     assert [s[:3] for s in found] == [("guess", 7, 19), ("guess", 50, 60)]
     docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (1, "token=" + "Qz7" * 40_000, 1), (2, "secret: " + "ab1" * 300_000, 1)], "doc_id long, text string, spans int")
-    assert sorted(len(r.spans) for r in secrets.scan(docs, vocabulary("word_bpe_49k.json")).collect()) == [0, 0, 1, 2]  # none by its cost
+    # Qz7 40,000 times costs 8.44; ab1 300,000 times costs 3.83 and log10(300,000), 9.31 in all
+    assert sorted(len(r.spans) for r in secrets.scan(docs, vocabulary("word_bpe_49k.json")).collect()) == [0, 0, 1, 3]
     assert secrets.scan(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
