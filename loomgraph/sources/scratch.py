@@ -6,10 +6,14 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: dict[str, SparkSession] = {}
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -23,9 +27,28 @@ def work_path(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     _MADE[path] = spark
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     return path
 
 
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Work folders that are made inside go at the end, but for those that the tables put into the list read from."""
+    own, kept = [], []
+    token = _SCOPE.set(own)
+    try:
+        yield kept
+    finally:
+        _SCOPE.reset(token)
+        stay = {path for df in kept for path in _read_by(df)}
+        for path in own:
+            if path not in stay:
+                discard(path)
+            elif (outer := _SCOPE.get()) is not None:
+                outer.append(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to a new folder and read back."""
     path = work_path(df.sparkSession, name)
