@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.sources.scratch import discard, work_path, written
+from loomgraph.sources.scratch import discard, passing, work_path, written
 
-__all__ = ["by_key", "carried", "counted", "discard", "hot_keys", "id_text", "map_texts", "slices", "table", "work_path", "written"]
+__all__ = ["by_key", "carried", "counted", "discard", "hot_keys", "id_text", "map_texts", "passing", "slices", "table", "work_path", "written"]
 
 #: A key with more rows than this, and with more than one row in HOT_KEYS, is joined apart from the others.
 HOT_ROWS, HOT_KEYS, SMALL_ROWS = 250, 10_000, 80

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
-from loomgraph.llm.common import by_key, counted, discard, hot_keys, map_texts, table, written
+from loomgraph.llm.common import by_key, counted, discard, hot_keys, map_texts, passing, table, written
 from loomgraph.llm.words import mixed, normal, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 28, 5
@@ -312,24 +312,25 @@ def near_duplicates(df: DataFrame, words: int = WORDS, similarity: float = SIMIL
 def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame | None]:
     """docs: doc_id, text, digest. For each distinct text: digest, class_id, the digest of the class's text that goes by that id (of
     several such texts, the smallest digest), and its links; and the digests of texts with very many copies."""
-    found = sketch(docs.select("doc_id", "text", "digest"), words, bands, rows)
-    base = found.groupBy("digest").agg(F.min(_own_id("doc_id", "digest")).alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
-    base = written(base.withColumn("node", F.monotonically_increasing_id()), "near-texts")  # a number for each text, whatever its id
-    copies = hot_keys(base, "digest", base.agg(F.sum("n")).first()[0] or 0)
-    labels, links = _links(docs, base, words, similarity)
-    ends, n = counted(links.select("a", "b", "similarity").union(links.select("b", "a", "similarity")), "near-ends")
-    often = hot_keys(ends.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", n)
-    ends = by_key(ends, base.select(F.col("node").alias("b"), F.col("id").alias("to")), "b", often)
-    best = ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"), F.min_by("to", F.struct(-F.col("similarity"), "to")).alias("linked_to"))
-    linked = base.select("node", "id", "digest").join(labels, "node")
-    head = linked.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("head"))
-    classes = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(head, "label"), "near-heads")
-    in_class = by_key(linked, classes.drop("n"), "label", hot_keys(classes, "label", n))
-    named = base.select("digest", "id", "node").join(in_class.select("node", "head"), "node", "left").join(best, "node", "left")
-    named = named.select("digest", F.coalesce("head.id", "id").alias("class_id"), F.coalesce("head.digest", "digest").alias("named_by"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "linked_to", "similarity")
-    found = written(named, "near-classes")
-    discard(base, labels, links, ends, classes)
-    return found, copies
+    with passing() as kept:
+        found = sketch(docs.select("doc_id", "text", "digest"), words, bands, rows)
+        base = found.groupBy("digest").agg(F.min(_own_id("doc_id", "digest")).alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
+        base = written(base.withColumn("node", F.monotonically_increasing_id()), "near-texts")  # a number for each text, whatever its id
+        copies = hot_keys(base, "digest", base.agg(F.sum("n")).first()[0] or 0)
+        labels, links = _links(docs, base, words, similarity)
+        ends, n = counted(links.select("a", "b", "similarity").union(links.select("b", "a", "similarity")), "near-ends")
+        often = hot_keys(ends.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", n)
+        ends = by_key(ends, base.select(F.col("node").alias("b"), F.col("id").alias("to")), "b", often)
+        best = ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"), F.min_by("to", F.struct(-F.col("similarity"), "to")).alias("linked_to"))
+        linked = base.select("node", "id", "digest").join(labels, "node")
+        head = linked.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("head"))
+        classes = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(head, "label"), "near-heads")
+        in_class = by_key(linked, classes.drop("n"), "label", hot_keys(classes, "label", n))
+        named = base.select("digest", "id", "node").join(in_class.select("node", "head"), "node", "left").join(best, "node", "left")
+        named = named.select("digest", F.coalesce("head.id", "id").alias("class_id"), F.coalesce("head.digest", "digest").alias("named_by"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "linked_to", "similarity")
+        found = written(named, "near-classes")
+        kept.append(found)
+        return found, copies
 
 
 def _links(docs: DataFrame, base: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -364,7 +365,7 @@ def _links(docs: DataFrame, base: DataFrame, words: int, similarity: float) -> t
             many = hot_keys(linked.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", n)
             whole = linked.select("label").distinct().join(joined, "label", "left").select("label", F.coalesce("whole", "label").alias("whole"))
             labels = written(by_key(linked, written(whole, "near-wholes"), "label", many).select("node", F.col("whole").alias("label")), "near-labels")
-    discard(large, member, score, bag, lead, led, pairs, rest, open_)
+    discard(large, member, score, bag, lead, led, pairs, rest, open_)  # early, as the rest are small
     return labels, links
 
 
