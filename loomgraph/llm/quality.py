@@ -165,14 +165,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on about sample labelled documents at most, those whose ids have the smallest hashes; rows without an id or a label don't count.
+    Of an id's labels the smallest one counts, and of its rows that with the smallest features, so repeated ids are one document.
 
     The sampled labels are broadcast (sample rows of two numbers), and only features of those documents reach the driver.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"))
     share = min(1.0, sample / max(1, rows.count()))
     rows = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < share)
-    joined = id_text(docs, id_col, text_col).join(F.broadcast(rows), "doc_id").select("y", "text")
-    found = map_texts(joined, "y long, x array<double>", lambda: lambda y, texts: (y, list(features(texts)))).toArrow()
+    joined = id_text(docs, id_col, text_col).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y")
+    each = map_texts(joined, "doc_id long, y long, x array<double>", lambda: lambda ids, texts, y: (ids, y, list(features(texts))))
+    found = each.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     y = found["y"].to_numpy().astype(float)
     x = np.array(found["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))  # the sums' order, and so the model, doesn't hang on the tasks' order

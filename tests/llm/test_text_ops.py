@@ -575,6 +575,33 @@ def test_no_work_tables_stay(spark):
     assert "near-members" not in left and "near-cells" not in left
 
 
+def test_only_the_result_s_work_table_stays(spark, monkeypatch):
+    """With blocks, chains and frequent keys: every folder is listed."""
+    from loomgraph.sources import scratch
+
+    for name, value in (("BLOCK", 8), ("BLOCK_CELLS", 2000)):
+        monkeypatch.setattr(near_dups, name, value)
+    before = set(scratch._MADE)
+    rows = near_dups.near_duplicates(table(spark, "/root/testdata/sf0.01", "documents"))
+    left = set(scratch._MADE) - before
+    assert len(left) == 1 and "/near-classes-" in left.pop()
+    assert rows.count() == 1000
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i % 4} of some words, again") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 5, i % 2) for i in range(50)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda x, y: seen.append((x.shape, y.tolist())) or fit(x, y)
+        model = quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen == [((4, len(quality.FEATURES)), [0.0] * 4)]
+    assert quality.score(docs, model).count() == 401
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
