@@ -19,9 +19,11 @@ from loomgraph.sources import seed
 from loomgraph.sources.history import History
 from loomgraph.sources.files import as_json, read_directory, read_text
 from loomgraph.sources.scratch import work_path, written
+from loomgraph.sources.session_log import SessionLog
 from loomgraph.sources.snapshots import read_snapshot, read_store, write_snapshot, write_store
 from loomgraph.sources.star import star_graph, table
 from loomgraph.streaming import live
+from loomgraph.streaming import sessions as live_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -450,6 +452,42 @@ def live_counts(spark, d):
     return spark.read.parquet(out).withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
+def _session_events(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "create").when((F.col("event_type") == "error") & (F.col("event_id") % 41 == 0), "deactivate").when(F.col("event_type") != "error", "append").otherwise(F.lit("other"))
+    own = F.col("user_id").cast("string")
+    return table(spark, d, "events").select(own.alias("session_id"), kind.alias("kind"), F.concat(F.lit("u"), own).alias("user_id"), F.lit("user").alias("role"), F.col("ts").cast("timestamp").alias("at"))
+
+
+_LIVE = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts, CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type = 'error' AND event_id % 41 = 0 THEN 'deactivate' WHEN event_type <> 'error' THEN 'append' ELSE 'other' END AS kind FROM events),
+c AS (SELECT session_id, min(ts) AS created_at FROM e WHERE kind = 'create' GROUP BY session_id),
+o AS (SELECT e.*, created_at, ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) AS gap FROM e JOIN c USING (session_id) WHERE kind = 'create' AND ts = created_at OR kind IN ('append', 'deactivate') AND ts >= created_at)
+SELECT session_id, 'u' || session_id AS user_id, created_at, max(ts) AS updated_at, count(*) FILTER (kind = 'append') AS message_count, bool_and(kind <> 'deactivate') AND {idle} AS is_active FROM o GROUP BY session_id, created_at"""
+
+
+def _live(spark, d, idle):
+    """The events of three spans of time, in a stream that is stopped after the first and started again."""
+    rows, into = _session_events(spark, d), work_path(spark, "session-events")
+    out, checkpoint = work_path(spark, "live-sessions"), work_path(spark, "live-sessions-state")
+    for n, (since, until) in enumerate((("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01"))):
+        rows.where((F.col("at") >= since) & (F.col("at") < until)).write.mode("append").parquet(into)
+        if n != 1:
+            stream = spark.readStream.schema(live_sessions.EVENTS).parquet(into)
+            live_sessions.keep(live_sessions.live_sessions(stream, idle), out, checkpoint).awaitTermination()
+    found = live_sessions.kept(spark, out)
+    return found.select("session_id", "user_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "message_count", "is_active")
+
+
+@query(_LIVE.format(idle="true"))
+def live_sessions_events(spark, d):
+    return _live(spark, d, None)
+
+
+@query(_LIVE.format(idle="coalesce(max(gap), INTERVAL 0 DAY) <= INTERVAL 3 DAY AND max(ts) + INTERVAL 3 DAY >= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"))
+def live_sessions_expired(spark, d):
+    """As live_sessions_events; three days without an event end a session."""
+    return _live(spark, d, "3 days")
+
+
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS at FROM events")
 def iso_times(spark, d):
     return table(spark, d, "events").select("event_id", T.iso_time("ts").alias("at"))
@@ -825,3 +863,27 @@ def messages_appended(spark, d):
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
 def activity_by_user(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("user_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT conv_id, session_id, user_id, conv_id % 3 <> 0 AS is_active, message_count FROM ({_SESSIONS}) WHERE conv_id % 4 <> 1),
+l AS (SELECT conv_id, arg_max(text, turn) AS last_text, count(*) AS turns FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id)
+SELECT phase, session_id, user_id, is_active, turns AS message_count, last_text, turns - 1 AS last_turn FROM s JOIN l USING (conv_id), (VALUES ('before'), ('after')) AS p(phase)""")
+def session_log_compacted(spark, d):
+    """Sessions created, messages appended in two commits, sessions deactivated and deleted; read before and after compaction."""
+    log, talks = SessionLog(spark, work_path(spark, "session-log"), buckets=8), table(spark, d, "conversations")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    talks = talks.select("conv_id", F.col("conv_id").cast("string").alias("session_id"), (F.col("conv_id") % 10).cast("string").alias("user_id"), "role", "text", "turn", (at + F.make_interval(mins=F.col("turn").cast("int"))).alias("at"))
+    log.create(talks.select("session_id", "user_id", at.alias("at")))
+    for part in ("turn < 2", "turn >= 2"):
+        log.append(talks.where(part).select("session_id", "role", "text", "at"))
+    log.deactivate(talks.where("conv_id % 3 = 0").select("session_id", at.alias("at")))
+    log.delete(talks.where("conv_id % 4 = 1").select("session_id"))
+
+    def now(phase):
+        store = log.store()
+        last = store.messages.groupBy("session_id").agg(F.max_by("text", "turn").alias("last_text"), F.max("turn").alias("last_turn"))
+        return written(store.info().join(last, "session_id", "left").select(F.lit(phase).alias("phase"), "session_id", "user_id", "is_active", "message_count", "last_text", "last_turn"), "session-log-read")
+
+    before = now("before")
+    log.compact()
+    return before.union(now("after"))
