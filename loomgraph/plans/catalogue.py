@@ -16,6 +16,7 @@ from loomgraph.plans import extraction, retrieval
 from loomgraph.plans.chat import chat
 from loomgraph.plans.replies import Model, Replies
 from loomgraph.sources import seed
+from loomgraph.sources.bucketed import BucketedGraph
 from loomgraph.sources.history import History
 from loomgraph.sources.files import as_json, read_directory, read_text
 from loomgraph.sources.scratch import work_path, written
@@ -195,6 +196,19 @@ def merge_nodes_separators(spark, d):
     return g.nodes["Odd"].agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("id").alias("ids"))
 
 
+@query("""SELECT 'Part' AS name, count(*) AS n FROM (SELECT DISTINCT p_brand, p_type FROM part) UNION ALL SELECT 'SUPPLIES', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
+def merge_into_buckets(spark, d):
+    """Nodes and edges in three batches that overlap, into buckets; the last batch holds nothing new."""
+    g = BucketedGraph(spark, work_path(spark, "bucketed"), buckets=8)
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("title"), F.col("p_type").alias("context"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("Supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("Part:"), "l_partkey").alias("dst"))
+    for some in ("{} % 3 < 2", "{} % 3 > 0", "true"):
+        g.merge_nodes("Part", parts.where(some.format("p_partkey")))
+        g.merge_edges("SUPPLIES", lines.where(some.format("l_orderkey")))
+    own = g.graph()
+    return own.all_nodes().select(F.col("label").alias("name")).union(own.all_edges().select("type")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT DISTINCT 'Supplier:' || l_suppkey AS src, 'Part:' || l_partkey AS dst FROM lineitem")
 def merge_rels_idempotent(spark, d):
     batch = table(spark, d, "lineitem").select(F.concat(F.lit("Supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("Part:"), "l_partkey").alias("dst"))
