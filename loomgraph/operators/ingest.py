@@ -80,6 +80,88 @@ def chunk_by_separators(docs: DataFrame, key: str = "doc_id", text: str = "text"
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, part int, parts int, text string")
 
 
+def recursive_spans(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = (*SEPARATORS, "")) -> list[tuple[int, int]]:
+    """Where the parts of a text begin and end, by recursive splitting and merging.
+
+    A stretch is cut before each of the first separator that it holds (the empty one cuts everywhere). Pieces shorter than size that follow
+    each other are merged into parts of size at most, the next part beginning with as many whole pieces of the last one as overlap holds;
+    a longer piece ends such a row, and is split by the separators that are left, or is a part itself if none is. White space at a part's
+    ends goes, and so do parts of nothing else. A stack takes the place of recursion.
+    """
+    _checked(size, overlap)
+    out: list[tuple[int, int]] = []
+
+    def merged(row: list[tuple[int, int]]) -> None:
+        first = total = 0
+        for at, (a, b) in enumerate(row):
+            if total + b - a > size and at > first:
+                trimmed(row[first][0], a)
+                while first < at and (total > overlap or total + b - a > size):
+                    total -= row[first][1] - row[first][0]
+                    first += 1
+            total += b - a
+        if first < len(row):
+            trimmed(row[first][0], row[-1][1])
+
+    def trimmed(a: int, b: int) -> None:
+        part = text[a:b]
+        left, right = len(part) - len(part.lstrip()), len(part) - len(part.rstrip())
+        if left < b - a:
+            out.append((a + left, b - right))
+
+    def pieces(a: int, b: int, level: int) -> tuple[list[tuple[int, int]], int]:
+        while separators[level] and text.find(separators[level], a, b) < 0 and level + 1 < len(separators):
+            level += 1
+        sign, cuts = separators[level], [a]
+        if not sign:
+            return [(i, i + 1) for i in range(a, b)], level + 1
+        at = text.find(sign, a, b)
+        while at >= 0:
+            if at > cuts[-1]:
+                cuts.append(at)
+            at = text.find(sign, at + len(sign), b)
+        return list(zip(cuts, [*cuts[1:], b])), level + 1
+
+    def rest(found: list[tuple[int, int]], level: int) -> list[tuple[str, list[tuple[int, int]], int]]:
+        """Rows to merge and long pieces to split, in order."""
+        steps, row = [], []
+        for a, b in found:
+            if b - a < size:
+                row.append((a, b))
+            else:
+                steps += [("merge", row, 0)] * bool(row) + [("split", [(a, b)], level)]
+                row = []
+        return steps + [("merge", row, 0)] * bool(row)
+
+    todo = [("split", [(0, len(text))], 0)] if text else []
+    while todo:
+        kind, row, level = todo.pop()
+        if kind == "merge":
+            merged(row)
+        elif level >= len(separators):
+            trimmed(*row[0])
+        else:
+            todo += reversed(rest(*pieces(*row[0], level)))
+    return out
+
+
+def chunk_recursively(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Documents of more than size characters as the parts of recursive_spans(); others whole, nulls as empty. Rows: key, part (from 1),
+    parts, text. A document of white space only has no part, if it is that long."""
+    _checked(size, overlap)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, t in zip(b.column(0), b.column(1).to_pylist()):  # a document's parts at once
+                t = t or ""
+                parts = [t[i:j] for i, j in recursive_spans(t, size, overlap)] if len(t) > size else [t]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, b.column(0).type), pa.array(range(1, n + 1), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts, pa.string())], [key, "part", "parts", "text"])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, part int, parts int, text string")
+
+
 def labelled(chunks: DataFrame, source: Column | str) -> DataFrame:
     """Parts of split documents say which they are, before their text; the label comes on top of the size."""
     source = F.lit(source) if isinstance(source, str) else source

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import ingest, introspect, merge, sessions
+from loomgraph.operators import ingest, introspect, merge, sessions, titles
 from loomgraph.operators.graph import Graph, limited, node_id, reachable
 from loomgraph.plans import extraction, retrieval
 from loomgraph.plans.chat import chat
@@ -175,6 +175,29 @@ def reachable_pairs(spark, d):
     return reachable(g.edges["CUSTOMER_IN"].union(g.edges["IN_REGION"]), 3)
 
 
+_PATTERNS = ("widget", "R#0000", "omer#00000000", "7", "GADGET", "no such title", "")
+
+
+@query("WITH t AS (SELECT 'Customer' AS label, c_name AS t FROM customer UNION ALL SELECT 'Part', p_name FROM part UNION ALL SELECT 'Supplier', s_name FROM supplier) SELECT pattern, count(*) FILTER (contains(lower(t), lower(pattern))) AS n FROM t, (VALUES " + ", ".join(f"('{p}')" for p in _PATTERNS) + ") AS p(pattern) GROUP BY pattern")
+def contains_by_trigrams(spark, d):
+    """Parts of the titles of all customers, parts and suppliers, by an index of trigrams; short patterns by a scan."""
+    g, index = star_graph(spark, d), titles.Trigrams(spark, work_path(spark, "trigrams"), buckets=16)
+    index.build(reduce(DataFrame.unionByName, [g.nodes[k].select("id", "title") for k in ("Customer", "Part", "Supplier")]))
+    found = [index.contains(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("pattern"), "n") for p in _PATTERNS]
+    return reduce(DataFrame.union, found)
+
+
+_TYPED = "CASE s_suppkey % 4 WHEN 0 THEN lower(s_name) WHEN 1 THEN substring(s_name, 1, 3) || substring(s_name, 5) WHEN 2 THEN 'x' || s_name ELSE substring(s_name, 1, length(s_name) - 1) || '0' END"
+
+
+@query(f"""WITH m AS (SELECT s_suppkey AS mention_id, lower({_TYPED}) AS asked FROM supplier), n AS (SELECT 'Supplier:' || s_suppkey AS id, s_name AS title, lower(s_name) AS name FROM supplier)
+SELECT mention_id, id, title, CAST(levenshtein(asked, name) AS INT) AS distance, CAST(row_number() OVER (PARTITION BY mention_id ORDER BY levenshtein(asked, name), title, id) AS INT) AS rank FROM m, n WHERE levenshtein(asked, name) <= 1""")
+def entities_within_one_edit(spark, d):
+    """Suppliers' names with a letter lost, added or changed, linked to all suppliers within one edit."""
+    mentions = table(spark, d, "supplier").select(F.col("s_suppkey").alias("mention_id"), F.expr(_TYPED).alias("mention"))
+    return titles.linked_in(star_graph(spark, d), mentions, "Supplier")
+
+
 # writes
 
 
@@ -549,6 +572,12 @@ def doc_chunk_separators(spark, d):
     return ingest.chunk_by_separators(table(spark, d, "documents"), size=1000, overlap=100)
 
 
+@query(None)
+def doc_chunk_recursive(spark, d):
+    """Recursive splitting and merging; the tests compare it with a plain recursive version on all documents."""
+    return ingest.chunk_recursively(table(spark, d, "documents"), size=1000, overlap=100)
+
+
 @query("SELECT doc_id, length(text) > 60000 AS oversize FROM documents")
 def doc_oversize(spark, d):
     return table(spark, d, "documents").select("doc_id", ingest.oversize().alias("oversize"))
