@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import skew
+
 NODE = "id string, title string, context string, props map<string,string>"
 EDGE = "src string, dst string"
 DEFAULT_LIMIT, PROMPT_LIMIT = 5, 10
@@ -54,6 +56,8 @@ class Tables(Mapping):
 class Graph:
     nodes: Mapping[str, DataFrame] = field(default_factory=dict)
     edges: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: Of a type and an end (src, dst), the nodes that very many edges have there; with_hubs() finds them.
+    hubs: Mapping[tuple[str, str], DataFrame | None] = field(default_factory=dict)
 
     def all_nodes(self) -> DataFrame:
         """Nodes of any label."""
@@ -70,6 +74,12 @@ class Graph:
         """The edges of a type; a type that the graph doesn't have has none."""
         return self.edges[kind] if kind in self.edges else _none(EDGE)
 
+    def with_hubs(self, *kinds: str, rows: int = skew.ROWS) -> Graph:
+        """The same graph, knowing the hubs of some types or of all: patterns that pass them deal their edges over many tasks. It counts
+        the edges of each node once; without it a hub's edges are split by AQE only, which doesn't split where a plan has no shuffle read."""
+        found = {(k, end): skew.frequent(self.edges[k], end, rows) for k in kinds or self.edges for end in ("src", "dst")}
+        return Graph(self.nodes, self.edges, {**self.hubs, **found})
+
     def match(self, var: str, label: str | None = None) -> Match:
         """Starts a pattern with the nodes of a label, or of any."""
         return Match(self, _named(self._scan(label), var), (var,), var)
@@ -130,7 +140,12 @@ class Match:
         edges = edges.select(F.col("src").alias(f"{step}_a"), F.col("dst").alias(f"{step}_b"))
         far = _named(self.graph._scan(label), var)
         near_end, far_end = F.col(f"{self.at}__id") == F.col(f"{step}_a"), F.col(f"{step}_b") == F.col(f"{var}__id")
-        df = self.df.join(edges.join(far, far_end), near_end, "left") if optional else self.df.join(edges, near_end).join(far, far_end)
+        near_hubs, far_hubs = (self.graph.hubs.get((kind, end)) for end in (("dst", "src") if reverse else ("src", "dst")))
+        if optional:
+            df = self.df.join(edges.join(far, far_end), near_end, "left")
+        else:
+            df = self.df.join(edges, near_end) if near_hubs is None else skew.spread(edges, F.col(f"{step}_a"), self.df, F.col(f"{self.at}__id"), near_hubs)
+            df = df.join(far, far_end) if far_hubs is None else skew.spread(df, F.col(f"{step}_b"), far, F.col(f"{var}__id"), far_hubs)
         own = [F.col(f"{step}_b"), F.col(f"{step}_a")] if reverse else [F.col(f"{step}_a"), F.col(f"{step}_b")]
         df = df.withColumn(step, F.struct(own[0].alias("src"), own[1].alias("dst")))
         for other, k in self.passed:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import Graph
+from loomgraph.sources.scratch import written
 
 HEADINGS = ("Node properties:", "Relationship properties:", "The relationships:")
 
@@ -31,7 +35,7 @@ def samples(graph: Graph, k: int = 5) -> DataFrame:
     The k-th of the least values of random groups of values is k-th or later among all, so only values up to it can be wanted: one scan
     gathers a few numbers for each property, the next shuffles little more than what is shown.
     """
-    each = graph.all_nodes().select("label", F.explode("props").alias("property", "value")).where("value is not null")
+    each = _values(graph)
     least = each.groupBy("label", "property", F.pmod(F.xxhash64("value"), F.lit(GROUPS)).alias("group")).agg(F.min("value").alias("value"))
     bound = _first(least, k).groupBy("label", "property").agg(F.when(F.count(F.lit(1)) == k, F.max("value")).alias("bound"))
     few = each.join(bound, ["label", "property"]).where("bound is null or value <= bound").select("label", "property", "value").distinct()
@@ -43,6 +47,54 @@ def _first(values: DataFrame, k: int) -> DataFrame:
     return values.withColumn("turn", turn).where(F.col("turn") <= k)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """The schema's figures of a graph, kept from version to version: how many nodes a label has, which labels each type joins and how often,
+    and the k least values of each property. A write changes them by what it adds or removes; the graph isn't counted again.
+
+    labels: label, n. triples: src_label, type, dst_label, n. least: label, property, value. All are as small as the schema.
+    """
+
+    labels: DataFrame
+    triples: DataFrame
+    least: DataFrame
+    k: int = 5
+
+    @staticmethod
+    def of(graph: Graph, k: int = 5) -> Statistics:
+        """From a full count."""
+        least = samples(graph, k).select("label", "property", F.explode("samples").alias("value"))
+        return Statistics(*(written(df, "statistics") for df in (labels(graph), triples(graph), least)), k)
+
+    def changed(self, after: Graph, added: Graph | None = None, removed: Graph | None = None, before: Graph | None = None) -> Statistics:
+        """after a write that added and removed some nodes and edges. before: the graph that removed edges lie in (their ends' labels are
+        looked up there). Values are read again for those properties only of which one of the k least has been removed."""
+        none, parts = Graph(), {1: added or Graph(), -1: removed or Graph()}
+        whole = {1: after, -1: before or after}
+
+        def total(old: DataFrame, keys: list[str], count: Callable[[Graph, Graph], DataFrame]) -> DataFrame:
+            rows = old
+            for sign, part in parts.items():
+                rows = rows.unionByName(count(part, whole[sign]).withColumn("n", F.col("n") * sign))
+            return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+
+        own = total(self.labels, ["label"], lambda part, _: labels(part))
+        joined = total(self.triples, ["src_label", "type", "dst_label"], lambda part, g: triples(Graph(g.nodes, part.edges)))
+        lost = _values(parts[-1]).join(F.broadcast(self.least), ["label", "property", "value"], "left_semi").select("label", "property").distinct()
+        again = {(r.label, r.property) for r in lost.collect()}  # schema rows
+        kept = self.least.unionByName(_values(parts[1]))
+        if again:
+            stale = F.broadcast(self.least.sparkSession.createDataFrame(sorted(again), "label string, property string"))
+            some = Graph({label: after.nodes[label] for label in {a for a, _ in again} if label in after.nodes}, none.edges)
+            kept = kept.join(stale, ["label", "property"], "left_anti").unionByName(_values(some).join(stale, ["label", "property"], "left_semi"))
+        least = _first(kept.distinct(), self.k).drop("turn")
+        return Statistics(*(written(df, "statistics") for df in (own, joined, least)), self.k)
+
+
+def _values(graph: Graph) -> DataFrame:
+    return graph.all_nodes().select("label", F.explode("props").alias("property", "value")).where("value is not null")
+
+
 def summary(graph: Graph) -> DataFrame:
     """One row: labels with counts, and types, as texts."""
     own = labels(graph).agg(F.array_join(F.array_sort(F.collect_list(F.concat("label", F.lit(" ("), F.col("n"), F.lit(")")))), ", ").alias("node_types"))

@@ -15,21 +15,31 @@ def _with(tables: Mapping[str, DataFrame], name: str, df: DataFrame) -> Tables:
     return Tables({**{k: lambda k=k: tables[k] for k in tables}, name: lambda: df})
 
 
-def merge_nodes(graph: Graph, label: str, batch: DataFrame) -> Graph:
-    """batch: title and context, with repeats. Only nodes that aren't there yet are added."""
+def new_nodes(graph: Graph, label: str, batch: DataFrame) -> DataFrame:
+    """batch: title and context, with repeats. The nodes that a merge adds."""
     new = batch.select(node_id(label, F.col("title"), F.col("context")).alias("id"), "title", "context").dropDuplicates(["id"])
     new = new.withColumn("props", F.create_map(F.lit("title"), F.col("title"), F.lit("context"), F.col("context")))
     old = graph.nodes.get(label)
-    merged = new if old is None else old.unionByName(new.join(old.select("id"), "id", "left_anti"))
-    return Graph(_with(graph.nodes, label, merged), graph.edges)
+    return new if old is None else new.join(old.select("id"), "id", "left_anti")
 
 
-def merge_edges(graph: Graph, kind: str, batch: DataFrame) -> Graph:
-    """batch: src and dst, with repeats."""
+def new_edges(graph: Graph, kind: str, batch: DataFrame) -> DataFrame:
+    """batch: src and dst, with repeats. The edges that a merge adds."""
     new = batch.select("src", "dst").where("src is not null and dst is not null").distinct()
     old = graph.edges.get(kind)
-    merged = new if old is None else old.unionByName(new.join(old, ["src", "dst"], "left_anti"))
-    return Graph(graph.nodes, _with(graph.edges, kind, merged))
+    return new if old is None else new.join(old, ["src", "dst"], "left_anti")
+
+
+def merge_nodes(graph: Graph, label: str, batch: DataFrame) -> Graph:
+    """batch: title and context, with repeats. Only nodes that aren't there yet are added."""
+    new, old = new_nodes(graph, label, batch), graph.nodes.get(label)
+    return Graph(_with(graph.nodes, label, new if old is None else old.unionByName(new)), graph.edges)
+
+
+def merge_edges(graph: Graph, kind: str, batch: DataFrame) -> Graph:
+    """batch: src and dst, with repeats."""
+    new, old = new_edges(graph, kind, batch), graph.edges.get(kind)
+    return Graph(graph.nodes, _with(graph.edges, kind, new if old is None else old.unionByName(new)))
 
 
 def match_merge(graph: Graph, rows: Match, src: str, kind: str, dst: str) -> Graph:
@@ -46,6 +56,17 @@ def detach_delete(graph: Graph, ids: DataFrame | None = None) -> Graph:
     return Graph(_each(graph.nodes, lambda v: v.join(gone, "id", "left_anti")), _each(graph.edges, lambda v: ends(ends(v, "src"), "dst").select("src", "dst")))
 
 
+def removed(graph: Graph, ids: DataFrame) -> Graph:
+    """What detach_delete takes out: the nodes, and the edges at either of their ends."""
+    gone = ids.select("id").distinct()
+
+    def ends(df: DataFrame) -> DataFrame:
+        marked = df.join(gone.select(F.col("id").alias("src"), F.lit(True).alias("a")), "src", "left").join(gone.select(F.col("id").alias("dst"), F.lit(True).alias("b")), "dst", "left")
+        return marked.where("a or b").select("src", "dst")
+
+    return Graph(_each(graph.nodes, lambda v: v.join(gone, "id", "left_semi")), _each(graph.edges, ends))
+
+
 def _each(tables: Mapping[str, DataFrame], change: Callable[[DataFrame], DataFrame]) -> Tables:
     return Tables({k: lambda k=k: change(tables[k]) for k in tables})
 

@@ -92,6 +92,17 @@ def expand_many_to_many(spark, d):
     return star_graph(spark, d).match("s", "Supplier").to("SUPPLIES", "p", "Part").returns(("s", "title", "supplier"), ("p", "title", "part"))
 
 
+@query("WITH e AS (SELECT DISTINCT l_orderkey AS o, CASE WHEN l_linenumber = 1 THEN 1 ELSE l_partkey END AS p FROM lineitem) SELECT p_name AS part, count(*) AS orders, CAST(sum(o_custkey) AS BIGINT) AS customers FROM e JOIN part ON p = p_partkey JOIN orders ON o = o_orderkey GROUP BY p_partkey, p_name")
+def expand_hub(spark, d):
+    """A part that a fifth of all edges lead to: its edges are dealt over many tasks, on the way to it and from it."""
+    g = star_graph(spark, d)
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("Order:"), "l_orderkey").alias("src"), F.concat(F.lit("Part:"), F.when(F.col("l_linenumber") == 1, F.lit(1)).otherwise(F.col("l_partkey"))).alias("dst")).distinct()
+    g = Graph(g.nodes, {"HOLDS": lines, "PLACED": g.edges["PLACED"]}).with_hubs("HOLDS", rows=2000)
+    m = g.match("p", "Part").back("HOLDS", "o", "Order").back("PLACED", "c", "Customer")
+    rows = m.returns(("p", "id", "id"), ("p", "title", "part"), ("c", "id", "customer"))
+    return rows.groupBy("id", "part").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.split("customer", ":")[1].cast("long")).alias("customers")).drop("id")
+
+
 @query("SELECT n_name AS nation, s_name AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
 def expand_optional(spark, d):
     return star_graph(spark, d).match("n", "Nation").back("SUPPLIER_IN", "s", "Supplier", optional=True).returns(("n", "title", "nation"), ("s", "title", "supplier"))
@@ -331,6 +342,30 @@ def schema_rel_triples(spark, d):
     return introspect.triples(star_graph(spark, d))
 
 
+@query("""WITH gone AS (SELECT n_nationkey AS k FROM nation WHERE contains(n_name, '3') OR n_name = 'NATION_0'), kept AS (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey NOT IN (SELECT k FROM gone)),
+t AS (SELECT n_name AS v FROM kept UNION SELECT 'A ' || n_name FROM nation)
+SELECT 'labels' AS kind, label AS a, '' AS b, '' AS c, n FROM (SELECT 'Nation' AS label, (SELECT count(*) FROM t) AS n UNION ALL SELECT 'Region', count(*) FROM region UNION ALL SELECT 'Customer', count(*) FROM customer)
+UNION ALL SELECT 'triples', 'Nation', 'IN_REGION', 'Region', count(*) FROM kept UNION ALL SELECT 'triples', 'Customer', 'CUSTOMER_IN', 'Nation', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT k FROM gone)
+UNION ALL SELECT 'triples', 'Region', 'HAS', 'Nation', count(*) FROM nation
+UNION ALL SELECT 'least', label, property, v, 1 FROM (SELECT 'Nation' AS label, 'title' AS property, v FROM (SELECT v FROM t ORDER BY v LIMIT 5) UNION ALL SELECT 'Nation', 'context', '' UNION ALL SELECT 'Region', 'title', v FROM (SELECT r_name AS v FROM region ORDER BY v LIMIT 5) UNION ALL SELECT 'Region', 'context', ''
+UNION ALL SELECT 'Customer', 'title', v FROM (SELECT c_name AS v FROM customer ORDER BY v LIMIT 5) UNION ALL SELECT 'Customer', 'context', v FROM (SELECT DISTINCT c_mktsegment AS v FROM customer ORDER BY v LIMIT 5))""")
+def schema_maintained(spark, d):
+    """The schema's figures after nodes and edges were added and nations deleted, by what the writes changed."""
+    star = star_graph(spark, d)
+    g = Graph({k: star.nodes[k] for k in ("Nation", "Region", "Customer")}, {k: star.edges[k] for k in ("IN_REGION", "CUSTOMER_IN")})
+    now = introspect.Statistics.of(g)
+    names = table(spark, d, "nation").select(F.concat(F.lit("A "), "n_name").alias("title"), F.lit("").alias("context"), F.concat(F.lit("Region:"), "n_regionkey").alias("src"))
+    more = merge.new_nodes(g, "Nation", names)
+    links = merge.new_edges(g, "HAS", names.select("src", node_id("Nation", F.col("title"), F.col("context")).alias("dst")))
+    after = merge.merge_edges(merge.merge_nodes(g, "Nation", names), "HAS", links)
+    now, g = now.changed(after, added=Graph({"Nation": more}, {"HAS": links})), after
+    gone = g.nodes["Nation"].where("id like 'Nation:%' and (contains(title, '3') or title = 'NATION_0')")
+    now = now.changed(merge.detach_delete(g, gone), removed=merge.removed(g, gone), before=g)
+    none = F.lit("")
+    parts = [now.labels.select(F.lit("labels").alias("kind"), F.col("label").alias("a"), none.alias("b"), none.alias("c"), "n"), now.triples.select(F.lit("triples"), "src_label", "type", "dst_label", "n"), now.least.select(F.lit("least"), "label", "property", "value", F.lit(1).cast("long"))]
+    return reduce(DataFrame.union, parts)
+
+
 @query("""WITH p AS (SELECT 'Region' AS label, 'title' AS property, r_name AS v FROM region UNION ALL SELECT 'Nation', 'title', n_name FROM nation UNION ALL SELECT 'Customer', 'title', c_name FROM customer UNION ALL SELECT 'Customer', 'context', c_mktsegment FROM customer
 UNION ALL SELECT 'Supplier', 'title', s_name FROM supplier UNION ALL SELECT 'Part', 'title', p_name FROM part UNION ALL SELECT 'Part', 'context', p_type FROM part UNION ALL SELECT 'Order', 'title', CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT 'Order', 'context', o_orderpriority FROM orders
 UNION ALL SELECT 'Region', 'context', '' FROM region UNION ALL SELECT 'Nation', 'context', '' FROM nation UNION ALL SELECT 'Supplier', 'context', '' FROM supplier)
