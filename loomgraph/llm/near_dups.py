@@ -21,7 +21,7 @@ from loomgraph.llm.words import mixed, normal, shingles
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 28, 5
 #: Texts of a block, on average, and numbers of their bags (4 bytes each), on average and beside one text; numbers searched at once.
-BLOCK, BLOCK_CELLS, TOKENS = 256, 1_000_000, 300_000
+BLOCK, BLOCK_CELLS, TOKENS = 512, 1_000_000, 300_000
 #: What a row dealt for a chain costs, in rows dealt for buckets.
 CHAINED = 1.0
 #: Texts whose digests are broadcast to find them in the corpus; more are found by a shuffle. Texts whose keys a task remembers.
