@@ -14,6 +14,7 @@ from loomgraph.operators import ingest, introspect, merge, sessions, titles
 from loomgraph.operators.graph import Graph, limited, node_id, reachable
 from loomgraph.plans import extraction, retrieval
 from loomgraph.plans.chat import chat
+from loomgraph.plans.linking import SchemaPlan
 from loomgraph.plans.replies import Model, Replies
 from loomgraph.sources import seed
 from loomgraph.sources.bucketed import BucketedGraph
@@ -746,6 +747,38 @@ def plans_first_fit(spark, d):
     return rows.select("qid", "query", "error")
 
 
+_FIRST_CUSTOMERS = """SELECT n_nationkey, '[' || string_agg('{"title":"' || c_name || '","context":"' || c_mktsegment || '"}', ',' ORDER BY c_name) || ']' AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_name) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE k <= 5 GROUP BY n_nationkey"""
+_FIRST_NATIONS = """SELECT n_regionkey, '[' || string_agg('{"title":"' || n_name || '","context":""}', ',' ORDER BY n_name) || ']' AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS k FROM nation) WHERE k <= 5 GROUP BY n_regionkey"""
+_TO_CUSTOMERS = "'MATCH (a:Nation {title: ''' || n_name || '''})<-[:CUSTOMER_IN]-(b:Customer) RETURN DISTINCT b.title, b.context LIMIT 5'"
+_TO_REGION = "'MATCH (a:Supplier {title: ''' || s_name || '''})-[:SUPPLIER_IN]->(b:Nation)-[:IN_REGION]->(c:Region) RETURN DISTINCT c.title, c.context LIMIT 5'"
+_AROUND_REGION = "'MATCH (a:Region {title: ''' || r_name || '''})--(b) RETURN DISTINCT b.title, b.context LIMIT 5'"
+
+
+@query(f"""WITH c AS ({_FIRST_CUSTOMERS}), r AS ({_FIRST_NATIONS})
+SELECT kind || n_nationkey AS qid, coalesce(context, '[]') AS context, {_TO_CUSTOMERS} AS query, CAST(NULL AS VARCHAR) AS error FROM (VALUES ('nation '), ('misspelt ')) AS k(kind), nation LEFT JOIN c USING (n_nationkey)
+UNION ALL SELECT 'joke ' || n_nationkey, '[]', '{retrieval.NO_PLAN}', '{retrieval.NO_PLAN}' FROM nation
+UNION ALL SELECT 'supplier ' || s_suppkey, '[{{"title":"' || r_name || '","context":""}}]', {_TO_REGION}, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'region ' || r_regionkey, context, {_AROUND_REGION}, NULL FROM region JOIN r ON n_regionkey = r_regionkey""")
+def planned_by_schema(spark, d):
+    """Questions that no pattern foresees: entities, some misspelt, are linked to nodes, and the schema gives the way to what is asked for."""
+    nations, suppliers, regions = (table(spark, d, t) for t in ("nation", "supplier", "region"))
+
+    def asked(df, kind, key, *parts):
+        return df.select(F.concat(F.lit(kind + " "), key).alias("qid"), F.concat(*parts).alias("question"))
+
+    questions = [
+        asked(nations, "nation", "n_nationkey", F.lit("Which customers are in "), "n_name", F.lit("?")),
+        asked(nations, "misspelt", "n_nationkey", F.lit("Show every customer of '"), F.replace("n_name", F.lit("NATION"), F.lit("NATIN")), F.lit("'!")),
+        asked(nations, "joke", "n_nationkey", F.lit("Tell me a joke")),
+        asked(suppliers, "supplier", "s_suppkey", F.lit("What region is the supplier "), F.lower("s_name"), F.lit(" from?")),
+        asked(regions, "region", "r_regionkey", F.lit("Tell me about "), "r_name"),
+    ]
+    rows = SchemaPlan.of(star_graph(spark, d)).retrieve(reduce(DataFrame.union, questions), "qid", "question")
+    return rows.select("qid", "context", "query", "error")
+
+
 @query(f"SELECT CAST(n_nationkey AS BIGINT) AS qid, '[]' AS context, true AS failed, '{retrieval.NO_MODEL}[]' AS answer FROM nation")
 def failed_retrieval(spark, d):
     """An error while the query runs gives an empty context and its text, not a lost question."""
