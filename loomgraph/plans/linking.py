@@ -27,15 +27,21 @@ def spoken(label: str) -> str:
     return " ".join(re.findall(r"[A-Z]+(?![^A-Z_])|[A-Z]?[^A-Z_]+", label)).lower()
 
 
-def mentions(question: Column, words: int) -> Column:
-    """All runs of up to so many words: where they begin, their number, their text. A null question has none."""
-    tokens = F.filter(F.transform(F.split(question, r"\s+"), lambda t: F.btrim(t, F.lit(AROUND))), lambda t: t != "")
+def tokens(question: Column) -> Column:
+    """The words of a question, without signs around them."""
+    return F.filter(F.transform(F.split(question, r"\s+"), lambda t: F.btrim(t, F.lit(AROUND))), lambda t: t != "")
+
+
+def mentions(questions: DataFrame, question: str, words: int) -> DataFrame:
+    """All runs of up to so many words of each question: where they begin, their number, their text. A null question has none."""
+    own = F.col("tokens_")
 
     def of(n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, F.lit(n)), " ").alias("text")))
+        at = F.when(F.size(own) >= n, F.sequence(F.lit(0), F.size(own) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(own, i + 1, F.lit(n)), " ").alias("text")))
 
-    return F.concat(*(of(n) for n in range(1, words + 1)))
+    # the words are a column of their own, so they are taken apart once and not for each run
+    return questions.withColumn("tokens_", tokens(F.col(question))).select(question, F.inline(F.concat(*(of(n) for n in range(1, words + 1)))))
 
 
 def shortest(schema: Iterable[tuple[str, str, str]], start: str, end: str, hops: int) -> list[Step] | None:
@@ -87,7 +93,7 @@ class SchemaPlan:
         """Rows: asked (distinct questions), id, title, label and target; questions without an entity are left out."""
         spark = questions.sparkSession
         asked = questions.select(F.col(question).alias("asked")).where("asked is not null").distinct()
-        runs = asked.select("asked", F.inline(mentions(F.col("asked"), self.words)))
+        runs = mentions(asked, "asked", self.words)
         labels = sorted({x for a, _, b in self.schema for x in (a, b)})
         names = spark.createDataFrame([(name, x) for x in labels for name in (spoken(x), spoken(x) + "s")], "name string, named string")
         marked = runs.join(F.broadcast(names), F.lower("text") == F.col("name"), "left").drop("name")
