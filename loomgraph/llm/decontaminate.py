@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ WINDOW = 10
 AUTOMATON_CHARS = 4_000_000
 #: A mask's size as a power of two at most (128 MB), its bits for a character of items (about 30 for a window), bits set for a window.
 MASK_BITS, MASK_EACH, MASK_HASHES = 30, 6, 8
+#: Bits of the mask that one task puts together at a time, as a power of two; segment -1 has the windows' numbers of words.
+SEGMENT_BITS, SEGMENTS = 20, "segment bigint, bits binary"
 #: Lots that one task deals out, on average.
 LOTS = 8
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -74,46 +77,98 @@ def _lots(items: DataFrame, chars: int) -> tuple[DataFrame, list[int]]:
 
 
 class Mask:
-    """A Bloom filter of the hashes of item windows, of bounded size: tells which documents may hold any."""
+    """A Bloom filter of the hashes of item windows, of bounded size: tells which documents may hold any. Tasks find the bits that items
+    set, and put them together by segments; whole, it is broadcast."""
 
     def __init__(self, chars: int):
-        self.bits = np.zeros(1 << max(3, min(MASK_BITS, (MASK_EACH * chars).bit_length()) - 3), np.uint8)
+        self.size = 1 << max(SEGMENT_BITS, min(MASK_BITS, (MASK_EACH * chars).bit_length()))
+        self.bits = np.zeros(0, np.uint8)
         self.lengths: set[int] = set()
 
-    def _places(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(8 * len(self.bits) - 1)
-        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+    def _places(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        return mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) & np.uint64(self.size - 1)
 
-    def add(self, items: tuple[tuple[str | None, str], ...], window: int) -> None:
+    def places(self, texts: list[str], window: int) -> tuple[np.ndarray, set[int]]:
+        """The bits that the windows of some items set, in order, and the windows' numbers of words."""
         by_length: dict[int, list[bytes]] = {}
-        for n in (normal(text) for _, text in items):
+        for n in map(normal, texts):
             if words := n.count(b" "):
                 by_length.setdefault(min(words, window), []).append(n)
+        found = [np.zeros(0, np.uint64)]
         for length, normals in by_length.items():
-            self.lengths.add(length)
-            hashes, _ = runs(normals, {length})
-            for k in range(MASK_HASHES):
-                byte, bit = self._places(hashes, k)
-                np.bitwise_or.at(self.bits, byte, bit)
+            hashes = np.unique(runs(normals, {length})[0])
+            found += [self._places(hashes, k) for k in range(MASK_HASHES)]
+        return np.unique(np.concatenate(found)), set(by_length)
+
+    def add(self, items: Iterable[tuple[str | None, str]], window: int) -> None:
+        """Sets the bits of items at hand."""
+        at, lengths = self.places([text for _, text in items], window)
+        self.bits = self.bits if len(self.bits) else np.zeros(self.size >> 3, np.uint8)
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        self.lengths |= lengths
+
+    def fill(self, items: DataFrame, window: int) -> Mask:
+        """Sets the bits of all items. A task holds the bits of one slice of texts, then those of one segment; the driver gets each segment
+        once, the whole mask at most."""
+        mask = self
+
+        def make():
+            def one(_, texts):
+                at, lengths = mask.places(texts, window)
+                segment = at >> np.uint64(SEGMENT_BITS)
+                starts = np.flatnonzero(np.diff(segment, prepend=np.uint64(1 << 40))) if len(at) else np.zeros(0, np.int64)
+                bits = np.split((at & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u4"), starts[1:]) if len(at) else []
+                return [-1, *segment[starts].astype(np.int64).tolist()], [np.array(sorted(lengths), "<u4").tobytes(), *(b.tobytes() for b in bits)]
+
+            return one
+
+        def together(batches):
+            at, held = None, None
+            for b in batches:
+                for segment, bits in zip(b.column(0).to_pylist(), b.column(1)):
+                    if segment != at:
+                        if held is not None:
+                            yield _segment(at, held)
+                        at, held = segment, np.zeros(1 << SEGMENT_BITS >> 3, np.uint8)
+                    own = np.frombuffer(bits.as_py(), "<u4")
+                    np.bitwise_or.at(held, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+            if held is not None:
+                yield _segment(at, held)
+
+        parts = map_texts(items.select(F.lit(0).alias("doc_id"), "text"), SEGMENTS, make)
+        merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(together, SEGMENTS)
+        self.bits = np.zeros(self.size >> 3, np.uint8)
+        each = 1 << SEGMENT_BITS >> 3
+        for r in merged.toLocalIterator():
+            own = np.frombuffer(r.bits, np.uint8)
+            if r.segment < 0:
+                self.lengths = set(np.flatnonzero(np.unpackbits(own, bitorder="little")).tolist())
+            else:
+                self.bits[r.segment * each : (r.segment + 1) * each] = own
+        return self
 
     def suspects(self, normals: list[bytes]) -> np.ndarray:
         """Whether each text may hold a window; one that does always may."""
         hashes, texts = runs(normals, self.lengths)
         for k in range(MASK_HASHES):
-            byte, bit = self._places(hashes, k)
-            there = (self.bits[byte] & bit) > 0
+            at = self._places(hashes, k)
+            there = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1) > 0
             hashes, texts = hashes[there], texts[there]
         out = np.zeros(len(normals), bool)
         out[texts] = True
         return out
 
 
+def _segment(number: int, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["segment", "bits"])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chars: int = AUTOMATON_CHARS, carry: bool = False) -> DataFrame:
     """One row for each document: its words, the hit spans (word numbers first to last, and characters start to end, exclusive), the items.
 
     Each automaton holds at most about chars characters of items (and one item whole), so what a task holds is bounded. A larger
-    benchmark is dealt into lots in Spark; the driver fetches one lot at a time. First their windows go into one mask of bounded size,
-    and a single scan of the corpus keeps the texts of documents that may hold any; then each lot's automaton scans those few. Hits are
+    benchmark is dealt into lots in Spark. First tasks put all windows into one mask of bounded size, and a single scan of the corpus
+    keeps the texts of documents that may hold any; then the driver fetches one lot after another, and its automaton scans those few. Hits are
     joined on the row's number. Null texts have no words, items whose text is null or has none no windows; repeated rows and null ids
     stay. Items without an id hit as others do, and are one null among the items. A text of any length is scanned whole, at about 30
     bytes of memory for one. With carry, a column row holds all columns of the input.
@@ -126,10 +181,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
         return _scan(docs, send(_fetched(items)), window)
     numbered = written(docs.withColumn("number", F.monotonically_increasing_id()), "decontaminate")
     dealt, lots = _lots(items, chars)
-    mask = Mask(total)
-    for lot in lots:
-        mask.add(_fetched(dealt.where(F.col("lot") == lot)), window)
-    sent = send(mask)
+    sent = send(Mask(total).fill(dealt, window))
     rows = written(_suspects(numbered.select(F.col("number").alias("doc_id"), "text"), sent), "suspects")
     sent.destroy()
     parts = rows.select("doc_id", "n_words", F.expr("cast(array() as array<struct<first: bigint, last: bigint, start: bigint, end: bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))

@@ -649,3 +649,17 @@ def test_pipeline_without_labels(spark):
         for _, stage in p.STAGES[1:]:
             out = stage(spark, out, SF)
         assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r[0]) for r in rows[:n])
+
+
+def test_a_mask_filled_by_tasks(spark):
+    """Bits and lengths are those of items put in at once, whatever the segments; no items leave it empty."""
+    items = [(f"i{k}", " ".join(f"w{k}x{j % (k + 3)}" for j in range(k % 40))) for k in range(500)] + [("n", None), ("e", ""), ("p", "?!"), ("i7", "Again, again")]
+    rows = spark.createDataFrame(items, "item string, text string").repartition(7)
+    size = 20_000_000  # several segments
+    want = decontaminate.Mask(size)
+    want.add([(i, t or "") for i, t in items], 10)
+    got = decontaminate.Mask(size).fill(rows, 10)
+    assert len(got.bits) == got.size >> 3 > 2 << decontaminate.SEGMENT_BITS >> 3
+    assert got.lengths == want.lengths and (got.bits == want.bits).all() and want.bits.any()
+    none = decontaminate.Mask(10).fill(rows.limit(0), 10)
+    assert not none.bits.any() and not none.lengths and not none.suspects([b"a b "]).any()
