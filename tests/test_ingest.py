@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import ingest
-from loomgraph.sources.config import Settings
+from loomgraph.sources.config import ConfigurationFile, Settings
 from loomgraph.sources.files import as_json, probe, read_directory, read_text, write_json
 
 
@@ -137,3 +138,43 @@ def test_settings(tmp_path):
         Settings.of({"nope": 1})
     with pytest.raises(ValueError):
         Settings(chunk_overlap=30_000)
+
+
+SECTIONS = """
+rag: {max_results: 7, enable_debug: false}
+data_pipeline:
+  max_chunk_size: 100
+  chunk_overlap: 5
+llm:
+  fast: {name: small, temperature: 0.1}
+observability:
+  langfuse: {host: "${HOST}"}
+prompts:
+  search: |
+    Answer {user_question}
+"""
+
+
+def test_settings_in_sections(tmp_path, monkeypatch):
+    pytest.importorskip("yaml")
+    monkeypatch.setenv("HOST", "elsewhere")
+    path = tmp_path / "all.yaml"
+    with pytest.raises(FileNotFoundError):
+        ConfigurationFile(str(path)).get()
+    path.write_text(SECTIONS)
+    file = ConfigurationFile(str(path))
+    got = file.get()
+    assert got.settings == Settings(max_results=7, chunk_size=100, chunk_overlap=5)
+    assert got.prompts == {"search": "Answer {user_question}\n"} and got.models["fast"]["name"] == "small"
+    assert got.sections["observability"]["langfuse"]["host"] == "${HOST}"  # as written
+    path.write_text("rag: {max_results: 9}\n")
+    assert file.get() is got
+    assert file.reload().settings.max_results == 9 and file.get().prompts == {}
+    for bad in ("rag: [", "just text", "rag: 5", "rag: {max_results: many}", "rag: {max_results: true}", "rag: {max_results: 0}", "prompts: {a: 1}", "llm: {a: {temperature: 1}}"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            file.reload()
+        assert file.get().settings.max_results == 9, bad
+    path.write_text("")
+    with pytest.raises(ValueError):
+        file.reload()
