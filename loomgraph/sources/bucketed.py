@@ -3,23 +3,28 @@
 A key's bucket is a hash of it. Rows whose bucket's filter doesn't know their key are new, and nothing is read for them; the others are
 compared with the keys of their buckets, no other files and no other columns. New rows are added to their buckets as a folder of
 the commit. A merge of rows that are all there commits nothing.
+
+A bucket of many keys has several filters, each for a part of them, and the rows of a batch meet them in lots, so a task holds a
+bounded number of hashes whatever a bucket or a batch has.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import EDGE, NODE, Graph, Tables, node_id
 from loomgraph.sources.commits import Log, Manifest
 from loomgraph.sources.scratch import discard, written
 
-#: Buckets of a table: of about a million rows each at most, so that a task can hold the hashes of one. Bits of a filter for each key that
-#: it is made for, at least FILTER_LEAST, and hashes of a key: one key in 120 that isn't there seems to be.
+#: Buckets of a table. Bits of a filter for each key that it is made for, at least FILTER_LEAST, and hashes of a key: one key in 120 that
+#: isn't there seems to be.
 BUCKETS, BITS, FILTER_LEAST, HASHES = 64, 10, 1 << 13, 5
-FILTERS = "bucket int, image binary"
+#: About the most keys of a filter, rows of a batch that meet one at once, and new rows of a bucket that one task writes.
+FILTER_KEYS, LOT, WRITTEN = 1 << 19, 1 << 18, 1 << 20
+FILTERS = "bucket int, part int, image binary"
 #: Folders of a bucket beyond which a merge that adds to it puts them together.
 FOLDERS = 32
 
@@ -34,7 +39,8 @@ def places(hashes: np.ndarray, bits: int) -> np.ndarray:
 def made_filter(hashes: np.ndarray) -> bytes:
     bits = max(FILTER_LEAST, 1 << (BITS * max(1, len(hashes)) - 1).bit_length())
     on = np.zeros(bits, bool)
-    on[places(hashes, bits).ravel()] = True
+    for some in np.array_split(hashes, 1 + len(hashes) // (1 << 16)):
+        on[places(some, bits).ravel()] = True
     return np.packbits(on).tobytes()
 
 
@@ -44,6 +50,17 @@ def may_hold(image: bytes, hashes: np.ndarray) -> np.ndarray:
     return ((data[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(1)
 
 
+def _share(numbers: dict[int, int], salt: int) -> Column:
+    """A number below that of the row's bucket, by a hash of its key's hash. Null in other buckets."""
+    of = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))
+    return F.pmod(F.xxhash64("hash_", F.lit(salt)), F.element_at(of, F.col("bucket"))).cast("int")
+
+
+def _by_bucket(rows: DataFrame) -> dict[int, int]:
+    """How many rows each bucket has; as many numbers as buckets at most."""
+    return {r.bucket: r.n for r in sorted(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect())}
+
+
 class Bucketed:
     """A table of rows with distinct keys."""
 
@@ -67,7 +84,7 @@ class Bucketed:
         """Adds the rows of new (with repeats) whose keys aren't there. Gives the version, None of a table that stays empty."""
         names = self.spark.createDataFrame([], self.schema).columns
         batch = written(self.bucket_of(new.select(*names).dropDuplicates(list(self.keys))), "merge-batch")
-        touched = sorted(r[0] for r in batch.select("bucket").distinct().collect())  # as many as buckets at most
+        touched = _by_bucket(batch)
         made: list[str] = []
 
         def make(last: Manifest | None) -> dict | None:
@@ -81,43 +98,57 @@ class Bucketed:
         finally:
             discard(batch)
 
-    def _added(self, batch: DataFrame, touched: list[int], last: Manifest | None, folder: str) -> dict | None:
-        held = dict(last.content["buckets"]) if last else {}
-        filters = dict(last.content["filters"]) if last else {}
-        known = self._maybe(batch, [filters[str(b)] + f"/filters/bucket={b}" for b in touched if str(b) in filters])
-        if known is None:
+    def _added(self, batch: DataFrame, touched: dict[int, int], last: Manifest | None, folder: str) -> dict | None:
+        held, filters, parts = ({int(b): x for b, x in (last.content.get(k, {}) if last else {}).items()} for k in ("buckets", "filters", "parts"))
+        asked = self._asked(touched, {b: parts.get(b, 1) for b in touched if b in filters})
+        if asked is None:
             fresh = batch
         else:
-            known = written(known, "merge-known")
-            seen = sorted(r[0] for r in known.select("bucket").distinct().collect())
-            there = self._rows(last, seen).select(*self.keys)
-            old = written(known.join(there, self._same(known, there), "left_semi").select("hash_", *self.keys), "merge-old")
+            known = written(self._maybe(batch, asked, [f"{filters[b]}/filters/bucket={b}" for b in asked[0]]), "merge-known")
+            seen = sorted(_by_bucket(known))
+            there = self.bucket_of(self._rows(last, seen).select(*self.keys)).drop("bucket")
+            old = there.join(known.select("hash_"), "hash_", "left_semi")
             fresh = batch.join(old, self._same(batch, old), "left_anti")
-            discard(known)
         fresh = written(fresh, "merge-fresh")
-        changed = sorted(r[0] for r in fresh.select("bucket").distinct().collect())
+        if asked is not None:
+            discard(known)
+        changed = _by_bucket(fresh)
         if not changed:
             discard(fresh)
             return None
-        long = [b for b in changed if len(held.get(str(b), [])) >= FOLDERS]
-        rows = fresh.drop("hash_")
+        long = [b for b in changed if len(held.get(b, [])) >= FOLDERS]
+        rows = fresh
         if long:
-            rows = rows.unionByName(self.bucket_of(self._rows(last, long)).drop("hash_"))
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/rows")
-        for b in changed:
-            held[str(b)] = [*([] if b in long else held.get(str(b), [])), folder]
+            rows = rows.unionByName(self.bucket_of(self._rows(last, long)))
         # a filter is made anew from the hashes of its bucket, so it keeps its rate as the bucket grows
-        content = {"buckets": held, "filters": filters}
-        keys = self.bucket_of(self._rows(Manifest(0, 0, content), changed).select(*self.keys)).select("bucket", "hash_")
+        now = {b: [*held.get(b, []), folder] for b in changed}
+        sizes = self._sizes(last, [b for b in changed if b in held])
+        sizes = {b: n + sizes.get(b, 0) for b, n in changed.items()}
+        tasks = {b: -(-(sizes[b] if b in long else n) // WRITTEN) for b, n in changed.items()}
+        rows.repartition("bucket", _share(tasks, 2)).drop("hash_").write.partitionBy("bucket").parquet(f"{folder}/rows")
+        held.update({b: [folder] if b in long else now[b] for b in changed})
+        filters.update({b: folder for b in changed})
+        parts.update({b: -(-sizes[b] // FILTER_KEYS) for b in changed})
+        content = {k: {str(b): x for b, x in v.items()} for k, v in (("buckets", held), ("filters", filters), ("parts", parts), ("rows", {**self._counts(last), **sizes}))}
+        keys = self.bucket_of(self._rows(Manifest(0, 0, content), sorted(changed)).select(*self.keys)).select("bucket", "hash_")
 
         def filtered(key: tuple, rows: pa.Table) -> pa.Table:
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([made_filter(rows["hash_"].to_numpy())], pa.binary())], names=["bucket", "image"])
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([made_filter(rows["hash_"].to_numpy())], pa.binary())], names=["bucket", "part", "image"])
 
-        keys.groupBy("bucket").applyInArrow(filtered, FILTERS).write.partitionBy("bucket").parquet(f"{folder}/filters")
-        filters.update({str(b): folder for b in changed})
+        keys.withColumn("part", _share({b: parts[b] for b in changed}, 0)).groupBy("bucket", "part").applyInArrow(filtered, FILTERS).write.partitionBy("bucket").parquet(f"{folder}/filters")
         discard(fresh)
         return content
 
+    @staticmethod
+    def _counts(last: Manifest | None) -> dict[int, int]:
+        return {int(b): n for b, n in (last.content.get("rows", {}) if last else {}).items()}
+
+    def _sizes(self, last: Manifest | None, buckets: list[int]) -> dict[int, int]:
+        """The rows of buckets, as the manifest has them; those of an older manifest without are counted."""
+        own = self._counts(last)
+        rest = [b for b in buckets if b not in own]
+        return {**own, **(_by_bucket(self.bucket_of(self._rows(last, rest).select(*self.keys))) if rest else {})}
+
     @staticmethod
     def _same(a: DataFrame, b: DataFrame):
         out = F.lit(True)
@@ -125,20 +156,31 @@ class Bucketed:
             out = out & a[k].eqNullSafe(b[k])
         return out
 
-    def _maybe(self, batch: DataFrame, paths: list[str]) -> DataFrame | None:
-        """The rows of a batch whose keys the filters may know; None without filters."""
-        if not paths:
-            return None
-        images = self.spark.read.schema("image binary").parquet(*paths)
-        images = images.select(F.regexp_extract(F.col("_metadata.file_path"), r"bucket=(\d+)", 1).cast("int").alias("bucket"), "image")
-        kept = batch.schema
+    @staticmethod
+    def _asked(touched: dict[int, int], parts: dict[int, int]) -> tuple[dict[int, int], dict[int, int]] | None:
+        """Of the buckets with filters, how many parts they have and into how many lots the rows for each are dealt."""
+        return (parts, {b: -(-touched[b] // (n * LOT)) for b, n in parts.items()}) if parts else None
+
+    def _lots(self, batch: DataFrame, asked: tuple[dict[int, int], dict[int, int]]) -> DataFrame:
+        """bucket, part, lot and hash_ of the rows of a batch whose buckets have filters."""
+        parts, lots = asked
+        return batch.where(F.col("bucket").isin(list(parts))).select("bucket", _share(parts, 0).alias("part"), _share(lots, 1).alias("lot"), "hash_")
+
+    def _maybe(self, batch: DataFrame, asked: tuple[dict[int, int], dict[int, int]], paths: list[str]) -> DataFrame:
+        """bucket and hash_ of the rows of a batch whose keys the filters may know. Each lot meets a copy of its filter."""
+        images = self.spark.read.schema("part int, image binary").parquet(*paths)
+        images = images.select(F.regexp_extract(F.col("_metadata.file_path"), r"bucket=(\d+)", 1).cast("int").alias("bucket"), F.coalesce("part", F.lit(0)).alias("part"), "image")
+        most = F.element_at(F.create_map(*(F.lit(x) for pair in asked[1].items() for x in pair)), F.col("bucket"))
+        images = images.withColumn("lot", F.explode(F.sequence(F.lit(0), most - 1)))
 
         def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+            own = left.select(["bucket", "hash_"])
             if not len(left) or not len(right):
-                return left.slice(0, 0)
-            return left.filter(pa.array(may_hold(right["image"][0].as_py(), left["hash_"].to_numpy())))
+                return own.slice(0, 0)
+            return own.filter(pa.array(may_hold(right["image"][0].as_py(), left["hash_"].to_numpy())))
 
-        return batch.groupBy("bucket").cogroup(images.groupBy("bucket")).applyInArrow(probe, kept)
+        by = ("bucket", "part", "lot")
+        return self._lots(batch, asked).groupBy(*by).cogroup(images.groupBy(*by)).applyInArrow(probe, "bucket int, hash_ long")
 
 
 class BucketedGraph:

@@ -105,3 +105,42 @@ def test_equals_merges_of_whole_tables(spark, tmp_path):
         assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
     assert own.match("n", "T").where_contains("n", "title", "T3").count().first().n == want.match("n", "T").where_contains("n", "title", "T3").count().first().n
     assert own.nodes["T"].select(F.countDistinct("id")).first()[0] == own.nodes["T"].count()
+
+
+def test_filters_and_lots_are_bounded(spark, tmp_path, monkeypatch):
+    """A bucket of many keys has a filter for each part of them, and a large batch meets them in lots."""
+    monkeypatch.setattr(bucketed, "FILTER_KEYS", 2000, raising=False)
+    monkeypatch.setattr(bucketed, "LOT", 500, raising=False)
+    t = Bucketed(spark, f"file://{tmp_path}", SCHEMA, ("a", "b"), buckets=2)
+    keys = spark.range(20_000).selectExpr("concat('k', id) AS a", "'x' AS b", "id AS more")
+    t.merge(keys)
+    last = t.log.latest()
+    images = spark.read.parquet(*(f"{folder}/filters/bucket={b}" for b, folder in last.content["filters"].items()))
+    assert images.count() >= 10 and images.selectExpr("max(length(image))").first()[0] <= 1 << 13  # not 16 KB and more, for 10,000 keys
+    batch = t.bucket_of(keys)
+    asked = t._asked({0: 10_000, 1: 10_000}, {int(b): n for b, n in last.content["parts"].items()})
+    lots = t._lots(batch, asked).groupBy("bucket", "part", "lot").count()
+    assert lots.selectExpr("sum(count)", "max(count) <= 1000").first() == (20_000, True)
+    more = spark.range(15_000, 26_000).selectExpr("concat('k', id) AS a", "'x' AS b", "id AS more")
+    t.merge(more)
+    assert t.read().count() == t.read().select("a").distinct().count() == 26_000
+    assert sum(t.log.latest().content["rows"].values()) == 26_000
+    assert t.merge(more).version == 2
+
+
+def test_versions_without_parts_are_read(spark, tmp_path):
+    """Manifests and filters that were made when a bucket had one filter."""
+    t = Bucketed(spark, f"file://{tmp_path}", SCHEMA, ("a", "b"), buckets=2)
+    keys = [(f"k{i}", "x") for i in range(50)]
+    t.merge(rows(spark, *keys))
+    inner = t.log.latest
+
+    def older():
+        last = inner()
+        for name in ("parts", "rows"):
+            last.content.pop(name, None)
+        return last
+
+    t.log.latest = older
+    t.merge(rows(spark, *keys, ("new", "y")))
+    assert t.read().count() == 51
