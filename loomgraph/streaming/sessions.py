@@ -6,10 +6,12 @@ many messages and changes there were. Spark keeps it by session, saves it with e
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,7 +24,7 @@ STATE = "user_id string, created_at long, updated_at long, is_active boolean, me
 CHANGES = "session_id string, user_id string, created_at timestamp, updated_at timestamp, is_active boolean, message_count long, changes long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = CHANGES.replace("timestamp", "long")
-_ORDER = {"create": 0, "append": 1, "deactivate": 2}
+_APPEND, _DEACTIVATE = 1, 2
 
 
 class _Session(StatefulProcessor):
@@ -35,51 +37,56 @@ class _Session(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("session", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            user, created, updated, active, messages, changes = self.state.get()
-        else:
-            user = created = updated = None
-            active, messages, changes = True, 0, 0
-        before = changes
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # every call of the state's or the timers' is a message to the JVM, so there are as few as can be
+        held = self.state.get()
+        user, created, updated, active, messages, changes = held or (None, None, None, True, 0, 0)
+        timer = self._timer(updated) if held and active else None
         # a batch's rows come in no order; only kinds and times are held, which are few bytes a row
-        parts = [r.loc[(r["kind"] != "append") | r["role"].isin(ROLES), ["kind", "user_id", "micros"]] for r in rows]
-        own = pd.concat(parts) if parts else pd.DataFrame(columns=["kind", "user_id", "micros"])
-        own = own[own["micros"].notna() & own["kind"].isin(_ORDER)]
-        own = own.assign(turn=own["kind"].map(_ORDER)).sort_values(["micros", "turn", "user_id"], kind="stable")
-        for kind, who, at in zip(own["kind"], own["user_id"], own["micros"].astype("int64").tolist()):
-            if created is None:
-                if kind != "create":
-                    continue  # no session takes it
-                user, created, updated, changes = who, at, at, changes + 1
+        times, turns, opening = array("q"), array("b"), None
+        for r in rows:
+            if r.turn is None or r.micros is None:
                 continue
-            if kind == "create":
-                continue  # it exists
-            if self.idle is not None and at - updated > self.idle * 1000:
-                active = False
-            active = active and kind != "deactivate"
-            messages += kind == "append"
-            updated, changes = max(updated, at), changes + 1
-        if created is None or changes == before:
-            return
+            if r.turn:
+                times.append(r.micros)
+                turns.append(r.turn)
+            elif created is None:  # the earliest create opens it; of those at one time the first user
+                who = (r.micros, r.user_id is None, r.user_id or "")
+                opening = who if opening is None or who < opening else opening
+        if created is None:
+            if opening is None:
+                return  # no session takes it
+            created = updated = opening[0]
+            user, changes = None if opening[1] else opening[2], 1
+        at, turn = np.frombuffer(times, np.int64), np.frombuffer(turns, np.int8)
+        if held is None:
+            at, turn = at[at >= created], turn[at >= created]
+        elif not len(at):
+            return  # creates of a session that exists
+        if len(at):
+            latest = np.maximum.accumulate(np.concatenate(([updated], np.sort(at))))
+            idle = self.idle is not None and bool((np.diff(latest) > self.idle * 1000).any())
+            active = bool(active and not idle and not (turn == _DEACTIVATE).any())
+            messages, updated, changes = messages + int((turn == _APPEND).sum()), int(latest[-1]), changes + len(at)
         self.state.update((user, created, updated, active, messages, changes))
-        if self.idle is not None:
-            for timer in list(self.handle.listTimers()):
+        new = self._timer(updated) if active else None
+        if timer != new:
+            if timer is not None:
                 self.handle.deleteTimer(timer)
-            if active:
-                self.handle.registerTimer(updated // 1000 + self.idle + 1)
-        yield self._row(key)
+            if new is not None:
+                self.handle.registerTimer(new)
+        yield Row(session_id=key[0], user_id=user, created_at=created, updated_at=updated, is_active=active, message_count=messages, changes=changes)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _timer(self, updated: int) -> int | None:
+        """When a session that was changed last then is idle; an active session has this timer and no other, an inactive one has none."""
+        return None if self.idle is None else updated // 1000 + self.idle + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Nothing has come for too long."""
         user, created, updated, active, messages, changes = self.state.get()
         if active:
             self.state.update((user, created, updated, False, messages, changes + 1))
-            yield self._row(key)
-
-    def _row(self, key) -> pd.DataFrame:
-        user, created, updated, active, messages, changes = self.state.get()
-        return pd.DataFrame({"session_id": [key[0]], "user_id": [user], "created_at": [created], "updated_at": [updated], "is_active": [active], "message_count": [messages], "changes": [changes]})
+            yield Row(session_id=key[0], user_id=user, created_at=created, updated_at=updated, is_active=False, message_count=messages, changes=changes + 1)
 
     def close(self) -> None:
         pass
@@ -95,9 +102,12 @@ def live_sessions(events: DataFrame, idle: str | None = None, late: str = "1 hou
     batch are held together as three short columns: let batches be bounded (maxFilesPerTrigger) where one session may have very many.
     """
     rows = events.where("session_id is not null").withColumn("micros", F.unix_micros("at")).withWatermark("at", late)
+    # rows that go stay in until they are read, as the watermark is theirs, too
+    turn = F.when(F.col("kind") == "create", 0).when((F.col("kind") == "append") & F.col("role").isin(*ROLES), _APPEND).when(F.col("kind") == "deactivate", _DEACTIVATE)
+    rows = rows.select("session_id", "at", "micros", turn.cast("int").alias("turn"), F.when(turn == 0, F.col("user_id")).alias("user_id"))
     gap = None if idle is None else int(pd.Timedelta(idle).total_seconds() * 1000)
     mode = "none" if idle is None else "eventTime"
-    return rows.groupBy("session_id").transformWithStateInPandas(_Session(gap), _OUT, "update", mode).withColumns({c: F.timestamp_micros(c) for c in ("created_at", "updated_at")})
+    return rows.groupBy("session_id").transformWithState(_Session(gap), _OUT, "update", mode).withColumns({c: F.timestamp_micros(c) for c in ("created_at", "updated_at")})
 
 
 def keep(changes: DataFrame, path: str, checkpoint: str):

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.operators.sessions import Store
@@ -143,3 +145,48 @@ def test_idle_sessions_expire(spark, tmp_path):
         spark.createDataFrame(batch, live.EVENTS).coalesce(1).write.mode("append").parquet(into)
         live.keep(live.live_sessions(spark.readStream.schema(live.EVENTS).parquet(into), "3 days"), out, checkpoint).awaitTermination()
     assert {r.session_id: (r.is_active, r.message_count) for r in live.kept(spark, out).collect()} == {"a": (False, 1), "b": (False, 1), "c": (False, 1), "d": (True, 0)}
+
+
+class Noted:
+    """A session's state and timers, as Spark's handle gives them; notes the calls, each of which is a message to the JVM."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_few_calls_of_state_give_what_events_one_by_one_do():
+    draw, idle = random.Random(5), 40
+    for _ in range(300):
+        session, noted, plain = live._Session(idle), Noted(), None
+        session.init(noted)
+        for _ in range(4):
+            events = [(draw.randrange(90) * 1000, draw.choice((0, 1, 1, 1, 2) if draw.random() < 0.2 else (1, 1, 0, None)), draw.choice(("u", "v", None))) for _ in range(draw.randrange(6))]
+            noted.calls, before = 0, plain
+            out = list(session.handleInputRows(("s",), iter([Row(session_id="s", micros=m, turn=t, user_id=u) for m, t, u in events]), None))
+            for m, t, u in sorted((e for e in events if e[1] is not None), key=lambda e: (e[0], e[1], e[2] is None, e[2] or "")):
+                if plain is None:
+                    plain = (u, m, m, True, 0, 1) if t == 0 else None
+                elif t:
+                    user, created, updated, active, messages, changes = plain
+                    plain = (user, created, max(updated, m), active and t != 2 and m - updated <= idle * 1000, messages + (t == 1), changes + 1)
+            assert noted.value == plain and noted.calls <= 4
+            assert [tuple(r)[1:] for r in out] == ([plain] if plain != before else [])
+            assert noted.timers == ({plain[2] // 1000 + idle + 1} if plain and plain[3] else set())
