@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from loomgraph.functions.text import is_blank
 
 SIZE, OVERLAP = 30_000, 200
 SEPARATORS = ("\n\n", "\n", " ")
+#: Texts become Python objects in slices of about this many bytes, and their parts go out with them.
+SLICE = 1_000_000
 
 
 def guard_reason(text: Column | str = "text") -> Column:
@@ -65,13 +69,24 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
     return [*out, text[at:]]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches whose texts, the second column, are of about SLICE bytes; of one row at least."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def chunk_by_separators(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """As chunk_fixed, but cuts at separators; the cuts depend on those before, so this runs on Arrow batches."""
+    """As chunk_fixed, but cuts at separators; the cuts depend on those before, so this runs on slices of Arrow batches."""
     _checked(size, overlap)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             parts = [split_text(t or "", size, overlap) for t in b.column(1).to_pylist()]
             counts = [len(p) for p in parts]
             rows = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int32())
@@ -152,7 +167,7 @@ def chunk_recursively(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             for name, t in zip(b.column(0), b.column(1).to_pylist()):  # a document's parts at once
                 t = t or ""
                 parts = [t[i:j] for i, j in recursive_spans(t, size, overlap)] if len(t) > size else [t]

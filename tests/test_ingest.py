@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomgraph.functions import text as T
 from loomgraph.operators import ingest
@@ -178,3 +180,26 @@ def test_settings_in_sections(tmp_path, monkeypatch):
     path.write_text("")
     with pytest.raises(ValueError):
         file.reload()
+
+
+class Mapped:
+    """Stands for documents whose only partition is these batches; gives what the function of mapInArrow gives."""
+
+    def __init__(self, *batches):
+        self.batches, self.schema = batches, StructType().add("doc_id", "long").add("text", "string")
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+@pytest.mark.parametrize("chunk", [ingest.chunk_by_separators, ingest.chunk_recursively])
+def test_parts_go_out_in_slices_of_a_batch(chunk):
+    texts = [None, "", *("some words " * (500 * i) for i in range(60))]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    out = chunk(Mapped(whole, whole.slice(0, 0)), size=1000, overlap=100)
+    assert sum(b.nbytes for b in out) > 9_000_000 > 4 * max(b.nbytes for b in out)  # not all parts of the batch at once
+    each = [r for i in range(len(texts)) for b in chunk(Mapped(whole.slice(i, 1)), size=1000, overlap=100) for r in b.to_pylist()]
+    assert [r for b in out for r in b.to_pylist()] == each
