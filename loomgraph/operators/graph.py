@@ -77,7 +77,7 @@ class Graph:
     def with_hubs(self, *kinds: str, rows: int = skew.ROWS) -> Graph:
         """The same graph, knowing the hubs of some types or of all: patterns that pass them deal their edges over many tasks. It counts
         the edges of each node once; without it a hub's edges are split by AQE only, which doesn't split where a plan has no shuffle read."""
-        found = {(k, end): skew.frequent(self.edges[k], end, rows) for k in kinds or self.edges for end in ("src", "dst")}
+        found = {(k, end): hubs for k in kinds or self.edges for end, hubs in skew.frequent_of(self.edges[k], ("src", "dst"), rows).items()}
         return Graph(self.nodes, self.edges, {**self.hubs, **found})
 
     def match(self, var: str, label: str | None = None) -> Match:

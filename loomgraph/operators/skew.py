@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from loomgraph.sources.scratch import discard, written
+
 #: Keys that count as frequent at most; rows of one for a task, and to be frequent at all.
 MOST, ROWS = 1000, 100_000
 
 
 def frequent(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame | None:
-    """The keys with more than rows rows and more than one row in MOST, so MOST at most, and over how many tasks to deal each: hub and
-    salts, for a broadcast. None if there are none."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-    few = counts.where(F.col("n") > rows)
-    few = few.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).where(F.col("n") > F.col("all") / MOST)
-    found = few.select("hub", F.ceil(F.col("n") / rows).cast("int").alias("salts")).toArrow()
-    return df.sparkSession.createDataFrame(found) if len(found) else None
+    """As frequent_of, for one column."""
+    return frequent_of(df, [key], rows)[key]
+
+
+def frequent_of(df: DataFrame, keys: Sequence[str], rows: int = ROWS) -> dict[str, DataFrame | None]:
+    """Of each of some columns of one type, the values with more than rows rows and more than one row in MOST, so MOST at most, and over how
+    many tasks to deal each: hub and salts, for a broadcast. None if there are none. All columns are counted in one pass over df."""
+    each = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("key"), F.col(k).alias("hub")) for i, k in enumerate(keys)))))
+    counts = each.where("hub is not null").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n"))
+    seen = Observation()
+    counts = counts.observe(seen, *(F.sum(F.when(F.col("key") == i, F.col("n"))).alias(f"all{i}") for i in range(len(keys))))
+    few = written(counts.where(F.col("n") > rows), "hubs")
+    out = {}
+    for i, k in enumerate(keys):
+        own = few.where((F.col("key") == i) & (F.col("n") > (seen.get[f"all{i}"] or 0) / MOST))
+        found = own.select("hub", F.ceil(F.col("n") / rows).cast("int").alias("salts")).toArrow()
+        out[k] = df.sparkSession.createDataFrame(found) if len(found) else None
+    discard(few)
+    return out
 
 
 def spread(many: DataFrame, many_key: Column, few: DataFrame, few_key: Column, hubs: DataFrame | None) -> DataFrame:

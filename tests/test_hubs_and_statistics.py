@@ -25,6 +25,20 @@ def test_frequent_keys(spark):
     assert skew.frequent(df, "k", 50) is None and skew.frequent(df.limit(0), "k", 1) is None
 
 
+def test_both_ends_are_counted_in_one_pass(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([("a", f"b{i}") for i in range(30)] + [(f"a{i}", "b0") for i in range(60)] + [(None, "b0")] * 5, "src string, dst string")
+    hubs = Graph({}, {"E": edges.mapInArrow(noted, "src string, dst string")}).with_hubs("E", rows=20).hubs
+    assert {k[1]: [tuple(r) for r in v.collect()] for k, v in hubs.items()} == {"src": [("a", 2)], "dst": [("b0", 4)]}
+    assert passed.value == 95
+
+
 @pytest.mark.parametrize("reverse", [False, True])
 def test_hub_patterns_give_the_same_rows(spark, reverse):
     g = star(spark)
