@@ -25,6 +25,23 @@ def triples(graph: Graph) -> DataFrame:
     return edges.groupBy("src_label", "type", "dst_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def schema(graph: Graph) -> list[tuple[str, str, str]]:
+    """Which labels each type joins: triples() without counts, in order.
+
+    A type whose edges all begin at nodes of one label and all end at nodes of one joins these two, so its ends are looked up once each
+    and not its edges. Only types with several labels at an end, or with ends that aren't there, are joined edge by edge.
+    """
+    ends = graph.all_edges().select("type", F.inline(F.array(*(F.struct(F.lit(x).alias("end"), F.col(x).alias("id")) for x in ("src", "dst"))))).distinct()
+    known = ends.join(graph.all_nodes().select("id", "label"), "id", "left")
+    found: dict[str, dict[str, list[str | None]]] = {}
+    for r in known.select("type", "end", "label").distinct().collect():
+        found.setdefault(r.type, {}).setdefault(r.end, []).append(r.label)
+    plain = {t: (*of["src"], t, *of["dst"]) for t, of in found.items() if all(len(x) == 1 and x[0] is not None for x in of.values())}
+    rest = {t: graph.edges[t] for t in found if t not in plain}
+    rows = [(r.src_label, r.type, r.dst_label) for r in triples(Graph(graph.nodes, rest)).collect()] if rest else []
+    return sorted([*plain.values(), *rows])
+
+
 #: Random groups of a property's values whose least values bound its first ones.
 GROUPS = 64
 

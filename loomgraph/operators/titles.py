@@ -82,15 +82,16 @@ def links(mentions: DataFrame, nodes: DataFrame, edits: int = 1, key: str = "men
     """For each mention the nodes whose folded title is within so many edits (one or two) of the folded mention.
 
     Two texts within n edits have a text in common that n deletions at most leave of either, so both sides are joined by what deletions
-    leave, and the candidates' distances are then counted. Rows: key, id, title, distance, and what is carried along of nodes.
+    leave, by its hash, and the candidates' distances are then counted. Rows: key, id, title, distance, and what is carried along of nodes.
     Titles are compared once for each distinct one; empty mentions and titles, and null ones, are linked to nothing.
     """
     if not 1 <= edits <= MOST_EDITS:
         raise ValueError("one or two edits")
     asked = mentions.select(F.col(key).alias("key_"), folded(text).alias("asked")).where("asked <> ''")
     own = nodes.select("id", "title", *carry, folded("title").alias("name")).where("name <> ''")
-    left = asked.select("asked").distinct().select("asked", F.explode(_deletions(F.col("asked"), edits)).alias("rest"))
-    right = own.select("name").distinct().select("name", F.explode(_deletions(F.col("name"), edits)).alias("rest"))
+    rests = lambda name: F.explode(F.transform(_deletions(F.col(name), edits), lambda t: F.xxhash64(t))).alias("rest")
+    left = asked.select("asked").distinct().select("asked", rests("asked"))
+    right = own.select("name").distinct().select("name", rests("name"))
     pairs = left.join(right, "rest").select("asked", "name").distinct().withColumn("distance", F.levenshtein("asked", "name")).where(F.col("distance") <= edits)
     return asked.join(pairs, "asked").join(own, "name").select(F.col("key_").alias(key), "id", "title", "distance", *carry)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import quote_escape
 from loomgraph.operators.graph import DEFAULT_LIMIT, Graph
-from loomgraph.operators.introspect import Statistics, triples
+from loomgraph.operators.introspect import Statistics, schema
 from loomgraph.operators.titles import links
 from loomgraph.plans.retrieval import NO_PLAN, context_json
 from loomgraph.sources.scratch import written
@@ -85,9 +85,9 @@ class SchemaPlan:
 
     @staticmethod
     def of(graph: Graph, statistics: Statistics | None = None, **how) -> SchemaPlan:
-        """With the schema of kept figures, or of a count of all edges."""
-        rows = statistics.triples if statistics else triples(graph)
-        return SchemaPlan(graph, tuple(sorted((r.src_label, r.type, r.dst_label) for r in rows.collect())), **how)
+        """With the schema of kept figures, or as all edges have it."""
+        rows = [(r.src_label, r.type, r.dst_label) for r in statistics.triples.collect()] if statistics else schema(graph)
+        return SchemaPlan(graph, tuple(sorted(rows)), **how)
 
     def entities(self, questions: DataFrame, question: str) -> DataFrame:
         """Rows: asked (distinct questions), id, title, label and target; questions without an entity are left out."""

@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import NODE, Graph
+from loomgraph.operators import introspect
+from loomgraph.operators.graph import EDGE, NODE, Graph
 from loomgraph.plans.linking import SchemaPlan, mentions, shortest, spoken
 from loomgraph.plans.retrieval import NO_PLAN, answer_questions, keyword_guard
 
@@ -92,3 +93,16 @@ def test_in_the_question_path(spark):
     asked = spark.createDataFrame([(1, "Which courses does Nowak teach?"), (2, "Hello")], "qid int, question string")
     rows = {r.qid: r for r in answer_questions(asked, keyword_guard("course"), SchemaPlan(graph(spark), SCHEMA)).collect()}
     assert "Graph theory" in rows[1].answer and rows[2].context == "[]"
+
+
+def test_schema_without_a_join_of_plain_types_edges(spark, monkeypatch):
+    """Types of one label at each end need no look at their edges; others, with labels mixed or ends that aren't there, give the same."""
+    node = lambda *ids: spark.createDataFrame([(i, i, "", None) for i in ids], NODE)
+    edge = lambda *pairs: spark.createDataFrame(list(pairs), EDGE)
+    edges = {"PLAIN": edge(("a1", "b1"), ("a2", "b1")), "MIXED": edge(("a1", "b1"), ("b1", "a1"), ("c1", "c1")), "TORN": edge(("a1", "gone"), ("gone", "b1")), "OPEN": edge(("a1", "b1"), (None, "b1")), "NONE": edge(), "TWICE": edge(("a1", "x"))}
+    g = Graph({"A": node("a1", "a2", "x"), "B": node("b1", "x"), "C": node("c1")}, edges)
+    want = sorted((r.src_label, r.type, r.dst_label) for r in introspect.triples(g).collect())
+    inner, joined = introspect.triples, []
+    monkeypatch.setattr(introspect, "triples", lambda graph: joined.append(sorted(graph.edges)) or inner(graph))
+    assert list(SchemaPlan.of(g).schema) == want and ("A", "PLAIN", "B") in want
+    assert joined == [["MIXED", "OPEN", "TORN", "TWICE"]]
